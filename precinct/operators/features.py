@@ -16,7 +16,7 @@ from precinct.functions.scalars import (
 from precinct.operators.quantiles import median
 from precinct.operators.relational import class_prior, extremes, frequencies, lookup, rate
 from precinct.schema import INCIDENTS, LEAKAGE_COLUMNS, UNKNOWN, Roles
-from precinct.session import broadcast_if_small, settle
+from precinct.session import settle
 
 # Fixed values of the historical mix: classes kept, pseudo-count, folds.
 TOP_CLASSES, SMOOTHING, FOLDS = 12, 20, 5
@@ -167,9 +167,10 @@ class MixTables:
     prior: list[float]
     tags: list[str]
     folds: int
+    sizes: dict[str, int]
 
 
-def _tagged(df: DataFrame, keys: dict[str, Column]) -> Column:
+def _tagged(keys: dict[str, Column]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), k.alias("mix_key")) for t, k in keys.items()]))
 
 
@@ -180,27 +181,37 @@ def fit_mix(train: DataFrame, keys: dict[str, Column], roles: Roles = INCIDENTS,
     All keys are aggregated in one scan: each row yields one (tag, key) pair per mix
     table, and the class sums of a (tag, key, fold) collapse before the shuffle, so a key
     that holds a third of the rows costs one row per map task.  Leaving a fold out is the
-    key total minus the fold's own sums.
+    key total minus the fold's own sums.  Classes come by share; with ``top=None`` all
+    classes are kept, by name.
     """
-    ranked = class_prior(train, roles.target).filter(F.col("rank") <= top if top else F.lit(True))
-    leaders = sorted(ranked.collect(), key=lambda r: r["rank"])  # at most ``top`` classes
+    ranked = class_prior(train, roles.target).filter(F.lit(top is None) | (F.col("rank") <= F.lit(top or 0)))
+    # At most ``top`` rows, or the bounded class list.
+    leaders = sorted(ranked.collect(), key=lambda r: r["rank"] if top else r[roles.target])
     classes, prior = [r[roles.target] for r in leaders], [r["share"] for r in leaders]
 
-    width = range(len(classes))
-    hit = [F.count(F.when(F.col(roles.target) == c, 1)).alias(f"s{i}") for i, c in enumerate(classes)]
-    pairs = train.select(roles.target, fold_of(F.col(roles.id), folds).alias("fold"), _tagged(train, keys).alias("p"))
-    own = settle(pairs.select(roles.target, "fold", "p.*").groupBy("tag", "mix_key", "fold")
-                 .agg(F.count("*").alias("n"), *hit))
-
-    sums = [f"s{i}" for i in width]
-    totals = own.groupBy("tag", "mix_key").agg(*[F.sum(c).alias(c) for c in ["n", *sums]])
-    rest = (own.select("tag", "mix_key", "fold", *[F.col(c).alias(f"o_{c}") for c in ["n", *sums]])
-            .join(totals, ["tag", "mix_key"])
-            .select("tag", "mix_key", "fold", *[(F.col(c) - F.col(f"o_{c}")).alias(c) for c in ["n", *sums]]))
-    both = totals.withColumn("fold", F.lit(-1)).unionByName(rest)
-    smooth = [(F.col(f"s{i}") + F.lit(alpha * prior[i])) / (F.col("n") + F.lit(float(alpha))) for i in width]
-    table = settle(both.select("tag", "mix_key", "fold", "n", F.array(*smooth).alias("mix")))
-    return MixTables(table, classes, prior, list(keys), folds)
+    sums = [f"s{i}" for i in range(len(classes))]
+    hit = [F.count(F.when(F.col(roles.target) == c, 1)).alias(s) for c, s in zip(classes, sums)]
+    pairs = train.select(roles.target, fold_of(F.col(roles.id), folds).alias("fold"), _tagged(keys).alias("p"))
+    own = (pairs.select(roles.target, "fold", "p.*").groupBy("tag", "mix_key", "fold")
+           .agg(F.count("*").alias("n"), F.array(*hit).alias("sums")))
+
+    def smooth(n: Column, counts: Column) -> Column:
+        rest = [(counts[i] + F.lit(alpha * prior[i])) / (n + F.lit(float(alpha))) for i in range(len(classes))]
+        return F.array(*rest)
+
+    # A key has at most ``folds`` rows here: total them, then subtract each fold's own counts.
+    grouped = own.groupBy("tag", "mix_key").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(len(classes))]).alias("sums"),
+        F.collect_list(F.struct("fold", "n", "sums")).alias("own"))
+    none = F.struct(F.lit(-1).alias("fold"), F.lit(0).cast("long").alias("n"),
+                    F.array(*[F.lit(0).cast("long")] * len(classes)).alias("sums"))
+    spread = grouped.select("tag", "mix_key", "n", "sums", F.explode(F.array_append("own", none)).alias("o"))
+    left = F.zip_with("sums", "o.sums", lambda a, b: a - b)
+    rest = spread.select("tag", "mix_key", F.col("o.fold").alias("fold"), (F.col("n") - F.col("o.n")).alias("n"),
+                         left.alias("sums"))
+    table = settle(rest.select("tag", "mix_key", "fold", "n", smooth(F.col("n"), F.col("sums")).alias("mix")))
+    sizes = {r["tag"]: r["count"] for r in table.groupBy("tag").count().collect()}  # one row per mix table
+    return MixTables(table, classes, prior, list(keys), folds, sizes)
 
 
 def smoothed_mix(mix: MixTables, tag: str) -> DataFrame:
@@ -222,7 +233,7 @@ def attach_mix(df: DataFrame, mix: MixTables, keys: dict[str, Column], fold: Col
     for tag in keys:
         part = mix.table.filter(F.col("tag") == tag).select(
             F.col("mix_key").alias(f"__k_{tag}"), F.col("fold").alias("__fold"), F.col("mix").alias(f"mix_{tag}"))
-        out = lookup(out, part, [f"__k_{tag}", "__fold"], {f"mix_{tag}": prior})
+        out = lookup(out, part, [f"__k_{tag}", "__fold"], {f"mix_{tag}": prior}, rows=mix.sizes.get(tag, 0))
     return out.drop("__fold", *[f"__k_{t}" for t in keys])
 
 

@@ -56,13 +56,15 @@ def on_axis(axis: DataFrame, counts: DataFrame, key: str, value: str = "count")
     return axis.join(counts, key, "left").withColumn(value, F.coalesce(value, F.lit(0).cast("long")))
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], defaults: dict[str, object],
+           rows: int | None = None) -> DataFrame:
     """Left join of fitted values with a default for keys the table lacks.
 
-    ``table`` is broadcast only after its rows were counted.  Beyond the bound the
-    join is a sort-merge join whose hot keys AQE splits on the row side.
+    ``table`` is broadcast only after its rows were counted (``rows`` when the caller
+    already knows them).  Beyond the bound the join is a sort-merge join whose hot keys
+    AQE splits on the row side.
     """
-    joined = df.join(broadcast_if_small(table), keys, "left")
+    joined = df.join(broadcast_if_small(table, rows=rows), keys, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), v if isinstance(v, Column) else F.lit(v))
                                for c, v in defaults.items()})
 

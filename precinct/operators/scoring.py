@@ -75,7 +75,7 @@ def summarise(averaged: DataFrame, resolved: DataFrame, classes: list[str], k: i
 def recommend(summary: DataFrame, low_confidence: float = LOW_CONFIDENCE) -> DataFrame:
     """Advice lines: two always, one more when unsure, one more for a High class."""
     name, hour = title(F.col("predicted")), zero_pad(F.col("hourOfDay"))
-    share = F.format_string("%.0f%%", F.col("confidence") * 100)
+    share = F.concat(F.bround(F.col("confidence") * 100, 0).cast("long").cast("string"), F.lit("%"))
     after = [title(F.col("top")[i]["category"]) for i in (1, 2)]
     lines = F.array(
         F.concat(F.lit("Most likely in "), F.col("area_name"), F.lit(": "), name, F.lit(" ("), share, F.lit(").")),

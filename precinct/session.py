@@ -59,8 +59,8 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Hint a broadcast after counting a settled table; otherwise leave it to AQE."""
-    if table.limit(max_rows + 1).count() <= max_rows:
+    if (table.limit(max_rows + 1).count() if rows is None else rows) <= max_rows:
         return F.broadcast(table)
     return table
