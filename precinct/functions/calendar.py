@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 from precinct.schema import WEEKDAYS
 
 
-def calendar_axis(df: DataFrame, ts: str, unit: str = "day") -> DataFrame:
-    """Every day (``day`` date) or month (``month`` yyyy-MM) between the first and last record.
+def calendar_axis(days: DataFrame, day: str = "day", unit: str = "day") -> DataFrame:
+    """Every day or month start from the first to the last counted day, under the same name.
 
-    One row per calendar period, whatever the number of records.
+    ``days`` holds ``day`` and its ``count``.  The count stays in the plan, so the axis
+    reuses the shuffle of the daily counts and the records are scanned once.
     """
-    span = df.agg(F.min(ts).alias("start"), F.max(ts).alias("end"))
-    if unit == "day":
-        days = F.sequence(F.to_date("start"), F.to_date("end"), F.expr("INTERVAL 1 DAY"))
-        return span.select(F.explode(days).alias("day"))
-    months = F.sequence(F.trunc(F.to_date("start"), "MM"), F.trunc(F.to_date("end"), "MM"),
-                        F.expr("INTERVAL 1 MONTH"))
-    return span.select(F.explode(months).alias("m")).select(F.date_format("m", "yyyy-MM").alias("month"))
+    span = days.agg(F.min(day).alias("a"), F.max(day).alias("b"), F.sum("count").alias("n")).filter("n > 0")
+    ends = [F.trunc(c, "MM") if unit == "month" else F.col(c) for c in ("a", "b")]
+    step = F.expr("INTERVAL 1 MONTH" if unit == "month" else "INTERVAL 1 DAY")
+    return span.select(F.explode(F.sequence(*ends, step)).alias(day))
 
 
 def number_axis(spark: SparkSession, low: int, high: int, name: str) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from precinct.functions.calendar import year_month_axis
 from precinct.functions.scalars import fmt_count, fmt_pct
 from precinct.operators.relational import (
-    median_of_counts, recent, top_k_per_group, trend_counts, value_counts, with_area)
+    median_of_counts, recent, trend_counts, value_counts, with_area)
 from precinct.schema import HIGH_SEVERITY, INCIDENTS, MISSING, MODERATE_SEVERITY, Roles, severity
+from precinct.session import settle
 
 HIGH_FACTOR = 3
 TREND_CLASSES = {"theft": "THEFT", "battery": "BATTERY", "robbery": "ROBBERY"}
@@ -18,7 +19,9 @@ TREND_YEARS = (2023, 2024, 2025, 2026)
 
 
 def area_counts(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    return value_counts(df.filter(F.col(roles.ts).isNotNull() & F.col(roles.area).isNotNull()), roles.area)
+    """Rows and outcome rows per area (records without a time are left out), NULL area included."""
+    hit = F.count(F.when(F.col(roles.outcome), 1)).alias("outcomes")
+    return df.filter(F.col(roles.ts).isNotNull()).groupBy(roles.area).agg(F.count("*").alias("count"), hit)
 
 
 def with_risk(counts: DataFrame) -> DataFrame:
@@ -27,39 +30,49 @@ def with_risk(counts: DataFrame) -> DataFrame:
     return counts.withColumn("risk_level", F.when(F.col("count") >= threshold, "High").otherwise("Moderate"))
 
 
+def top_areas(counts: DataFrame, area: str, k: int) -> DataFrame:
+    known = with_risk(counts.filter(F.col(area).isNotNull()))
+    return known.orderBy(F.desc("count"), F.asc(area)).limit(k)
+
+
 def hotspots(df: DataFrame, areas: DataFrame, roles: Roles = INCIDENTS, k: int = 10) -> DataFrame:
     """The areas with most incidents, labelled against all areas."""
-    labelled = with_risk(area_counts(df, roles))
-    top = labelled.orderBy(F.desc("count"), F.asc(roles.area)).limit(k)
-    return with_area(top, areas, roles.area).select(
+    return with_area(top_areas(area_counts(df, roles), roles.area, k), areas, roles.area).select(
         F.col(roles.area).alias("area_id"), "area_name", "risk_level", F.col("count").alias("incident_count"),
         F.col("area_lat").alias("latitude"), F.col("area_lon").alias("longitude"))
 
 
-def overview(df: DataFrame, areas: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    """One row: incidents, share with the outcome flag, number of High hotspots, and their text forms."""
-    dated = df.filter(F.col(roles.ts).isNotNull())
-    high = hotspots(df, areas, roles).agg(F.count(F.when(F.col("risk_level") == "High", 1))).scalar()
-    facts = dated.agg(F.count("*").alias("total_incidents"),
-                      F.avg(F.coalesce(F.col(roles.outcome), F.lit(False)).cast("double")).alias("arrest_rate"))
+def overview(df: DataFrame, roles: Roles = INCIDENTS, k: int = 10) -> DataFrame:
+    """One row: incidents, share with the outcome flag, number of High hotspots, and their text forms.
+
+    Everything is read off the counts per area, which are computed once.
+    """
+    counts = settle(area_counts(df, roles))
+    high = top_areas(counts, roles.area, k).agg(F.count(F.when(F.col("risk_level") == "High", 1))).scalar()
+    facts = counts.agg(F.sum("count").alias("total_incidents"), (F.sum("outcomes") / F.sum("count")).alias("arrest_rate"))
     return facts.select("total_incidents", "arrest_rate", high.alias("high_risk_zones"),
                         fmt_count(F.col("total_incidents")).alias("total_text"),
                         fmt_pct(F.round("arrest_rate", 6)).alias("rate_text"))
 
 
 def trend_grid(df: DataFrame, roles: Roles = INCIDENTS, years=TREND_YEARS, classes=None) -> DataFrame:
-    """Every month of the given years: availability, last date of the year, class counts."""
+    """Every month of the given years: availability, last date of the year, class counts.
+
+    The months of a year are folded into one row (a map of at most twelve entries), so
+    the year's last date and its months come from the same scan.
+    """
     classes = classes or TREND_CLASSES
-    dated = df.filter(F.col(roles.ts).isNotNull())
-    months = trend_counts(dated, roles.ts, roles.target, classes).withColumn("seen", F.lit(True))
-    ends = (dated.groupBy(F.year(roles.ts).alias("year"))
-            .agg(F.date_format(F.max(roles.ts), "yyyy-MM-dd").alias("coverage_end")))
-    grid = (year_month_axis(df.sparkSession, years).join(months, ["year", "month_number"], "left")
-            .join(ends, "year", "left"))
-    zero = F.lit(0).cast("long")
-    month = F.date_format(F.make_date("year", "month_number", F.lit(1)), "MMM yyyy")
-    return grid.select(month.alias("month"), "year", "month_number", F.coalesce("seen", F.lit(False)).alias("available"),
-                       "coverage_end", *[F.coalesce(c, zero).alias(c) for c in (*classes, "other")])
+    names = (*classes, "other")
+    months = trend_counts(df.filter(F.col(roles.ts).isNotNull()), roles.ts, roles.target, classes)
+    entry = F.struct("month_number", F.struct(*names))
+    by_year = months.groupBy("year").agg(
+        F.date_format(F.max("last_record"), "yyyy-MM-dd").alias("coverage_end"),
+        F.map_from_entries(F.collect_list(entry)).alias("months"))
+    grid = (year_month_axis(df.sparkSession, years).join(by_year, "year", "left")
+            .withColumn("m", F.element_at("months", F.col("month_number"))))
+    label = F.date_format(F.make_date("year", "month_number", F.lit(1)), "MMM yyyy")
+    return grid.select(label.alias("month"), "year", "month_number", F.col("m").isNotNull().alias("available"),
+                       "coverage_end", *[F.coalesce(F.col("m")[c], F.lit(0).cast("long")).alias(c) for c in names])
 
 
 def _trend_value(category: str, classes):
@@ -101,16 +114,20 @@ def recent_incidents(df: DataFrame, areas: DataFrame, roles: Roles = INCIDENTS,
 
 
 def area_profile(df: DataFrame, areas: DataFrame, roles: Roles = INCIDENTS, k: int = 3) -> DataFrame:
-    """Every area of the dimension with its count, risk label and commonest classes (nested)."""
+    """Every area of the dimension with its count, risk label and commonest classes (nested).
+
+    Counts per area and class come from one scan; area totals are sums of them.
+    """
     dated = df.filter(F.col(roles.ts).isNotNull() & F.col(roles.area).isNotNull())
-    top = (top_k_per_group(dated, roles.area, roles.target, k)
-           .groupBy(roles.area)
-           .agg(F.sort_array(F.collect_list(F.struct("rank", F.col(roles.target).alias("type"), "count"))).alias("t")))
-    listed = top.select(roles.area, F.transform("t", lambda x: F.struct(x["type"].alias("type"), x["count"].alias("count")))
-                        .alias("top_crimes"))
-    counts = with_risk(area_counts(df, roles))
+    cells = value_counts(dated, roles.area, roles.target)
+    order = Window.partitionBy(roles.area).orderBy(F.desc("count"), F.asc(roles.target))
+    entry = F.struct("rank", F.col(roles.target).alias("type"), "count")
+    grouped = (cells.withColumn("rank", F.row_number().over(order)).groupBy(roles.area)
+               .agg(F.sum("count").alias("total"), F.collect_list(F.when(F.col("rank") <= k, entry)).alias("t")))
+    listed = with_risk(grouped.select(roles.area, F.col("total").alias("count"), F.transform(
+        F.sort_array("t"), lambda x: F.struct(x["type"].alias("type"), x["count"].alias("count"))).alias("top_crimes")))
     dim = areas.withColumnRenamed("area_id", roles.area)
-    return (dim.join(counts, roles.area, "left").join(listed, roles.area, "left")
+    return (dim.join(listed, roles.area, "left")
             .select(F.col(roles.area).alias("area_id"), "name", F.coalesce("risk_level", F.lit("Moderate")).alias("risk_level"),
                     F.coalesce("count", F.lit(0).cast("long")).alias("incident_count"),
                     F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "district", "top_crimes"))

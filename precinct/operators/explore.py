@@ -9,9 +9,10 @@ from precinct.functions.predicates import between, case, coordinate_missing, mis
 from precinct.functions.scalars import bin_centre, bin_floor, to_day, weekday0
 from precinct.operators.quantiles import exact_quantiles
 from precinct.operators.relational import (
-    argmax_row, assert_same_keys, assert_unique_key, attach_zone, coverage, cumulative_share, on_axis, pivot_matrix,
-    share_within, top_groups, union_all, value_counts)
+    argmax_row, assert_one_to_one, attach_zone, coverage, cumulative_share, on_axis, pivot_matrix, share_within, union_all,
+    value_counts)
 from precinct.schema import INCIDENTS, WEEKDAYS, Roles
+from precinct.session import settle
 
 # Broad coordinate screen in degrees, grid width in degrees.
 SCREEN_LAT, SCREEN_LON = (41, 43), (-89, -87)
@@ -28,10 +29,14 @@ def class_distribution(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
 
 def class_imbalance(df: DataFrame, roles: Roles = INCIDENTS, rare_below: int = RARE_BELOW) -> DataFrame:
     """One row: number of classes, extremes, their ratio, majority share, rare classes, top-five share."""
-    counts = value_counts(df, roles.target)
+    return imbalance_of(value_counts(df, roles.target), roles.target, rare_below)
+
+
+def imbalance_of(counts: DataFrame, target: str, rare_below: int = RARE_BELOW) -> DataFrame:
+    """The same summary over class counts."""
     total = counts.agg(F.sum("count")).scalar()
     # One struct per class, most rows first, then by name; the class list is bounded.
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), F.col(roles.target).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), F.col(target).alias("t"))))
     summary = counts.agg(F.count("*").alias("classes"), ordered.alias("ordered"),
                          F.min("count").alias("low"), F.max("count").alias("high"),
                          F.count(F.when(F.col("count") < rare_below, 1)).alias("classes_below_100"))
@@ -52,22 +57,41 @@ def year_counts(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
     return spans.withColumn("calendar_boundary_coverage", F.when(full, FULL_YEAR).otherwise(PARTIAL_YEAR))
 
 
+def day_totals(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
+    """Rows per day that has any: the one scan behind all calendar tables.
+
+    The filter states what the calendar joins would infer for one of their sides only;
+    with it all sides share one shuffle.
+    """
+    return value_counts(df, to_day(F.col(roles.ts)).alias("day")).filter(F.col("day").isNotNull())
+
+
 def matched_calendar_window(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
     """Rows per year inside the month/day window that every year covers (upper day excluded)."""
-    spans = coverage(df.withColumn("eda_year", F.year(roles.ts)), roles.ts, "eda_year")
-    lower = spans.agg(F.max(F.date_format("first_record", "MM-dd"))).scalar()
-    upper = spans.agg(F.min(F.date_format("last_record", "MM-dd"))).scalar()
-    day = F.date_format(roles.ts, "MM-dd")
-    return value_counts(df.filter((day >= lower) & (day < upper)), F.year(roles.ts).alias("eda_year"))
+    days = day_totals(df, roles)
+    lower, upper = (matched_bounds(days).select(c).scalar() for c in ("lower", "upper"))
+    month_day = F.date_format("day", "MM-dd")
+    inside = F.when((month_day >= lower) & (month_day < upper), F.col("count"))
+    # A conditional sum, not a filter: a filter would move below the daily counts and split the shared scan.
+    return days.groupBy(F.year("day").alias("eda_year")).agg(F.sum(inside).alias("count")).filter(F.col("count") > 0)
+
+
+def matched_bounds(days: DataFrame) -> DataFrame:
+    """One row: latest first and earliest last month/day over the years."""
+    ends = days.filter("count > 0").groupBy(F.year("day")).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    return ends.agg(F.max(F.date_format("a", "MM-dd")).alias("lower"), F.min(F.date_format("b", "MM-dd")).alias("upper"))
 
 
 def month_counts(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
     """Rows per month on the complete month axis; the first and last month are flagged."""
-    counts = value_counts(df, F.date_format(roles.ts, "yyyy-MM").alias("month"))
-    ends = counts.agg(F.min("month").alias("a"), F.max("month").alias("b"))
-    months = on_axis(calendar_axis(df, roles.ts, "month"), counts, "month")
-    return months.withColumn("boundary_month", (F.col("month") == ends.select("a").scalar())
-                             | (F.col("month") == ends.select("b").scalar()))
+    return months_of(day_totals(df, roles))
+
+
+def months_of(days: DataFrame) -> DataFrame:
+    counts = days.groupBy(F.trunc("day", "MM").alias("m")).agg(F.sum("count").alias("count")).filter(F.col("m").isNotNull())
+    ends = counts.filter("count > 0").agg(F.array(F.min("m"), F.max("m"))).scalar()
+    return on_axis(calendar_axis(counts, "m", "month"), counts, "m").select(
+        F.date_format("m", "yyyy-MM").alias("month"), "count", F.array_contains(ends, F.col("m")).alias("boundary_month"))
 
 
 def peak_month(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
@@ -81,33 +105,42 @@ def hour_counts(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
 
 def weekday_exposure(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
     """Rows per weekday, calendar days observed, and rows per calendar day."""
-    counts = value_counts(df, weekday0(F.col(roles.ts)).alias("eda_weekday"))
-    days = (calendar_axis(df, roles.ts).groupBy(weekday0(F.col("day")).alias("eda_weekday"))
-            .agg(F.count("*").alias("observed_calendar_days")))
+    return weekdays_of(day_totals(df, roles))
+
+
+def weekdays_of(days: DataFrame) -> DataFrame:
+    weekday = weekday0(F.col("day")).alias("eda_weekday")
+    exposed = (on_axis(calendar_axis(days, "day"), days, "day").groupBy(weekday)
+               .agg(F.sum("count").alias("count"), F.count("*").alias("observed_calendar_days")))
     names = F.array(*[F.lit(d) for d in WEEKDAYS])
-    axis = number_axis(df.sparkSession, 0, 6, "eda_weekday")
-    return (on_axis(axis, counts, "eda_weekday").join(days, "eda_weekday", "left")
-            .withColumns({"records_per_calendar_day": F.col("count") / F.col("observed_calendar_days"),
-                          "weekday": names[F.col("eda_weekday")]}))
+    axis = number_axis(days.sparkSession, 0, 6, "eda_weekday")
+    return on_axis(axis, exposed, "eda_weekday").withColumns({
+        "records_per_calendar_day": F.col("count") / F.col("observed_calendar_days"),
+        "weekday": names[F.col("eda_weekday")]})
 
 
 def daily_counts(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    counts = value_counts(df, to_day(F.col(roles.ts)).alias("day"))
-    return on_axis(calendar_axis(df, roles.ts), counts, "day")
+    days = day_totals(df, roles)
+    return on_axis(calendar_axis(days, "day"), days, "day")
 
 
 def daily_iqr_flags(df: DataFrame, roles: Roles = INCIDENTS, factor: float = 1.5) -> DataFrame:
-    """Daily totals with zero days, the IQR flag and the boundary flag.
+    """Daily totals with zero days, the IQR flag and the boundary flag."""
+    return flags_of(day_totals(df, roles), factor)
 
-    The quartiles are taken over one number per calendar day.
-    """
-    daily = daily_counts(df, roles)
-    facts = daily.agg(F.percentile("count", 0.25).alias("q1"), F.percentile("count", 0.75).alias("q3"),
+
+def flags_of(days: DataFrame, factor: float = 1.5) -> DataFrame:
+    """IQR flags over daily totals.  The quartiles are taken over one number per calendar day."""
+    daily = on_axis(calendar_axis(days, "day"), days, "day")
+    facts = daily.agg(F.percentile("count", F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
                       F.min("day").alias("a"), F.max("day").alias("b"))
-    q1, q3, a, b = (facts.select(c).scalar() for c in ("q1", "q3", "a", "b"))
-    n, reach = F.col("count"), (q3 - q1) * F.lit(factor)
-    return daily.withColumns({"flag_iqr": (n < q1 - reach) | (n > q3 + reach),
-                              "boundary_day": (F.col("day") == a) | (F.col("day") == b)})
+    bounds = facts.select(F.struct(
+        (F.col("q")[0] - (F.col("q")[1] - F.col("q")[0]) * factor).alias("low"),
+        (F.col("q")[1] + (F.col("q")[1] - F.col("q")[0]) * factor).alias("high"), "a", "b").alias("x")).scalar()
+    n = F.col("count")
+    return daily.withColumn("__x", bounds).select(
+        "day", "count", ((n < F.col("__x.low")) | (n > F.col("__x.high"))).alias("flag_iqr"),
+        ((F.col("day") == F.col("__x.a")) | (F.col("day") == F.col("__x.b"))).alias("boundary_day"))
 
 
 def unusual_days(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
@@ -210,12 +243,15 @@ def category_mix_all(df: DataFrame, fields, roles: Roles = INCIDENTS) -> DataFra
 
 
 def mix_maximum(df: DataFrame, field: str, roles: Roles = INCIDENTS, classes: int = 5, groups: int = 15) -> DataFrame:
-    """Highest share among the most frequent classes and groups."""
+    """Highest share among the most frequent classes and groups (both read off the mix counts)."""
     mix = category_mix(df, field, roles)
-    shown_classes = top_groups(df, roles.target, classes).select(roles.target)
-    totals = mix.groupBy("group_value").agg(F.sum("count").alias("count"))
-    shown_groups = totals.orderBy(F.desc("count"), "group_value").limit(groups).select("group_value")
-    view = mix.join(shown_classes, roles.target, "left_semi").join(shown_groups, "group_value", "left_semi")
+
+    def leaders(col: str, k: int) -> DataFrame:
+        totals = mix.groupBy(col).agg(F.sum("count").alias("count"))
+        return totals.orderBy(F.desc("count"), col).limit(k).select(col)
+
+    view = mix.join(leaders(roles.target, classes), roles.target, "left_semi").join(
+        leaders("group_value", groups), "group_value", "left_semi")
     return view.orderBy(F.desc("within_group_pct"), "group_value", roles.target).limit(1)
 
 
@@ -229,9 +265,7 @@ def zone_mix(df: DataFrame, zones: DataFrame | None, zone_col: str = "area_group
     if zones is None:
         return None, None, "Pending: no zone table supplied."
     if check:
-        assert_unique_key(df, roles.id, "incidents")
-        assert_unique_key(zones, roles.id, "zones")
-        assert_same_keys(df, zones, roles.id)
+        assert_one_to_one(df, zones, roles.id)
     joined = attach_zone(df.select(roles.id, roles.target), zones, zone_col, roles.id)
     counts = value_counts(joined, missing_label(F.col("zone")).alias("zone"), roles.target)
     totals = counts.groupBy("zone").agg(F.sum("count").alias("count"))
@@ -239,48 +273,63 @@ def zone_mix(df: DataFrame, zones: DataFrame | None, zone_col: str = "area_group
 
 # ------------------------------------------------------------- text and manifest
 
-def findings(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    """Ten numbered sentences filled from the aggregates.
+def dimension_counts(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
+    """Row counts of every exploratory dimension in one scan: (dimension, group_value, count, first, last).
 
-    Every sentence is one row computed from small aggregate tables.
+    Each row yields one pair per dimension; the pairs collapse map-side, so the shuffle
+    carries one row per group and map task.
     """
-    spark = df.sparkSession
-    one = spark.range(1)
+    ts = F.col(roles.ts)
+    groups = {"class": F.col(roles.target), "day": to_day(ts).cast("string"), "hour": F.hour(ts).cast("string"),
+              **{c: missing_label(F.col(c)) for c in (*roles.codes, roles.context)},
+              "coordinates": coordinate_state(F.col(roles.lat), F.col(roles.lon))}
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), g.alias("group_value")) for d, g in groups.items()])
+    return (df.select(ts.alias("ts"), F.explode(pairs).alias("p")).groupBy("p.dimension", "p.group_value")
+            .agg(F.count("*").alias("count"), F.min("ts").alias("first_record"), F.max("ts").alias("last_record")))
+
+
+def findings(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
+    """Ten numbered sentences filled from the aggregates of one scan."""
+    facts = settle(dimension_counts(df, roles))
+
+    def part(dimension: str, name: str = "group_value") -> DataFrame:
+        chosen = facts.filter(F.col("dimension") == dimension)
+        return chosen.select(F.col("group_value").alias(name), "count", "first_record", "last_record")
 
     def row(n: int, text: Column, source: DataFrame) -> DataFrame:
         return source.select(F.lit(n).alias("n"), text.alias("text"))
 
-    facts = coverage(df, roles.ts)
-    balance = class_imbalance(df, roles)
-    spans = coverage(df.withColumn("y", F.year(roles.ts)), roles.ts, "y")
-    window = spans.agg(F.max(F.date_format("first_record", "MM-dd")).alias("a"),
-                       F.min(F.date_format("last_record", "MM-dd")).alias("b"))
-    hour = argmax_row(hour_counts(df, roles), "count", "eda_hour").select("eda_hour").scalar()
-    month = peak_month(df, roles).select("month").scalar()
-    week = argmax_row(weekday_exposure(df, roles), "count", "eda_weekday")
-    leads = [F.format_string(f"{c} %s", argmax_row(geo_counts(df, c), "count", c).select(c).scalar())
+    one = df.sparkSession.range(1)
+    days = part("day").select(F.to_date("group_value").alias("day"), "count")
+    balance = imbalance_of(part("class", roles.target), roles.target)
+    cover = part("class").agg(F.sum("count").alias("rows"), F.min("first_record").alias("a"), F.max("last_record").alias("b"))
+    hours = part("hour").select(F.col("group_value").cast("int").alias("hour"), "count")
+    hour = argmax_row(hours, "count", "hour").select("hour").scalar()
+    month = argmax_row(months_of(days), "count", "month").select("month").scalar()
+    week = argmax_row(weekdays_of(days), "count", "eda_weekday")
+    leads = [F.format_string(f"{c} %s", argmax_row(part(c), "count", "group_value").select("group_value").scalar())
              for c in roles.codes]
-    days = daily_iqr_flags(df, roles).agg(F.count(F.when(F.col("flag_iqr"), 1)).alias("flags"),
-                                          F.count(F.when(F.col("count") == 0, 1)).alias("zeros"))
-    when = [F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("first_record", "last_record")]
-    parts = [
-        row(1, F.format_string(f"Coverage: %d records in {len(df.columns)} columns from %s to %s.",
-                               F.col("count"), *when), facts),
+    flags = flags_of(days).agg(F.count(F.when(F.col("flag_iqr"), 1)).alias("flags"),
+                               F.count(F.when(F.col("count") == 0, 1)).alias("zeros"))
+    inside = F.coalesce(F.sum(F.when(F.col("group_value") == "within_broad_screen", F.col("count"))), F.lit(0).cast("long"))
+    mapped = part("coordinates").agg(F.sum("count").alias("rows"), inside.alias("mapped"))
+    return union_all(
+        row(1, F.format_string(f"Coverage: %d records in {len(df.columns)} columns from %s to %s.", "rows",
+                               F.date_format("a", "yyyy-MM-dd HH:mm"), F.date_format("b", "yyyy-MM-dd HH:mm")), cover),
         row(2, F.format_string("Class balance: %s holds %.2f%% of the records; %s is the smallest class.",
                                "largest_class", F.round("majority_share_pct", 2), F.col("smallest_class")), balance),
         row(3, F.format_string("Rare classes: %d of %d classes have fewer than 100 records; the top five hold %.2f%%.",
                                "classes_below_100", F.col("classes"), F.round("top_5_share_pct", 2)), balance),
-        row(4, F.format_string("Comparable window: %s inclusive to %s exclusive in every year.", "a", F.col("b")), window),
+        row(4, F.format_string("Comparable window: %s inclusive to %s exclusive in every year.", "lower", F.col("upper")),
+            matched_bounds(days)),
         row(5, F.concat(F.lit("Peaks: month "), month, F.format_string(", hour %02d:00.", hour)), one),
         row(6, F.format_string("Weekdays: %s has the largest total (%d records).", "weekday", F.col("count")), week),
         row(7, F.concat(F.lit("Largest geographic groups: "), F.concat_ws("; ", *leads), F.lit(".")), one),
-        row(8, F.format_string("Coordinates: %d of %d records enter the density grid, %d do not.",
-                               "mapped", F.col("rows"), F.col("excluded")), mapped_totals(df, roles)),
-        row(9, F.format_string("Context: %s is the most frequent location (%d records).", roles.context, F.col("count")),
-            argmax_row(location_counts(df, roles), "count", roles.context)),
-        row(10, F.format_string("Review: %d flagged days and %d days without records.", "flags", F.col("zeros")), days),
-    ]
-    return union_all(*parts)
+        row(8, F.format_string("Coordinates: %d of %d records enter the density grid, %d do not.", "mapped", F.col("rows"),
+                               F.col("rows") - F.col("mapped")), mapped),
+        row(9, F.format_string("Context: %s is the most frequent location (%d records).", "group_value", F.col("count")),
+            argmax_row(part(roles.context), "count", "group_value")),
+        row(10, F.format_string("Review: %d flagged days and %d days without records.", "flags", F.col("zeros")), flags))
 
 
 def run_manifest(df: DataFrame, run_id: str, source: str, version: int, outputs, roles: Roles = INCIDENTS) -> DataFrame:

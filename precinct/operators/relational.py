@@ -90,18 +90,33 @@ def assert_unique_key(df: DataFrame, key: str, label: str = "table") -> None:
         raise ValueError(f"{label}: {key} must be non-null and unique")
 
 
+def key_match(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row of facts about a key on two tables, from one shuffle of the key column.
+
+    Keys are counted per side before the shuffle, so a repeated key costs one row per task.
+    """
+    def side(df: DataFrame, left: int) -> DataFrame:
+        return df.select(key, F.lit(left).cast("long").alias("l"), F.lit(1 - left).cast("long").alias("r"))
+
+    counts = side(a, 1).unionByName(side(b, 0)).groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    known, left, right = F.col(key).isNotNull(), F.col("l"), F.col("r")
+    return counts.agg(
+        F.count(F.when(known & (left > 0) & (right == 0), 1)).alias("only_left"),
+        F.count(F.when(known & (right > 0) & (left == 0), 1)).alias("only_right"),
+        F.count(F.when(known & (left > 1), 1)).alias("repeated_left"),
+        F.count(F.when(known & (right > 1), 1)).alias("repeated_right"),
+        F.coalesce(F.sum(F.when(~known, left)), F.lit(0).cast("long")).alias("null_left"),
+        F.coalesce(F.sum(F.when(~known, right)), F.lit(0).cast("long")).alias("null_right"))
+
+
 def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Number of keys of each side that the other lacks."""
-    left = a.select(key).join(b.select(key), key, "left_anti").agg(F.count("*").alias("n"))
-    right = b.select(key).join(a.select(key), key, "left_anti").agg(F.count("*").alias("n"))
-    return (left.withColumn("side", F.lit("only_left"))
-            .unionByName(right.withColumn("side", F.lit("only_right"))))
+    return tall(key_match(a, b, key), {s: [F.col(s)] for s in ("only_left", "only_right")}, "side", ["n"])
 
 
 def same_keys(a: DataFrame, b: DataFrame, key: str) -> bool:
-    """Whether both sides hold the same keys (stops at the first difference)."""
-    return (a.select(key).join(b.select(key), key, "left_anti").isEmpty()
-            and b.select(key).join(a.select(key), key, "left_anti").isEmpty())
+    facts = key_match(a, b, key).first()
+    return facts["only_left"] == 0 and facts["only_right"] == 0
 
 
 def assert_same_keys(a: DataFrame, b: DataFrame, key: str) -> None:
@@ -109,6 +124,13 @@ def assert_same_keys(a: DataFrame, b: DataFrame, key: str) -> None:
         raise ValueError(f"Both tables must hold the same {key} values")
 
 
+def assert_one_to_one(a: DataFrame, b: DataFrame, key: str) -> None:
+    """Key non-null and unique on both sides, and present on both."""
+    facts = key_match(a, b, key).first().asDict()
+    if any(facts.values()):
+        raise ValueError(f"{key} must match one to one: {facts}")
+
+
 def keep_top_classes(df: DataFrame, target: str, k: int) -> DataFrame:
     """Rows of the k most frequent classes (ties by class name)."""
     top = settle(top_groups(df, target, k).select(target))
@@ -203,10 +225,10 @@ def class_weights(train: DataFrame, target: str) -> DataFrame:
 
 
 def trend_counts(df: DataFrame, ts: str, target: str, classes: dict[str, str]) -> DataFrame:
-    """Counts per year and month: named classes and everything else."""
+    """Counts per year and month (named classes and everything else) and the last record."""
     named = [F.count(F.when(F.col(target) == value, 1)).alias(name) for name, value in classes.items()]
     rest = F.count(F.when(~F.coalesce(F.col(target).isin(*classes.values()), F.lit(False)), 1)).alias("other")
-    return df.groupBy(F.year(ts).alias("year"), F.month(ts).alias("month_number")).agg(*named, rest)
+    return df.groupBy(F.year(ts).alias("year"), F.month(ts).alias("month_number")).agg(*named, rest, F.max(ts).alias("last_record"))
 
 
 def pivot_matrix(long: DataFrame, row: str, col: str, value: str, columns) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from precinct.functions.predicates import in_window
 from precinct.functions.scalars import hex_number
-from precinct.operators.relational import lookup, value_counts
+from precinct.operators.relational import value_counts
 from precinct.schema import INCIDENTS, Roles
 from precinct.session import broadcast_if_small, settle
 
@@ -34,13 +34,16 @@ def time_split(df: DataFrame, train_end: str, validation_end: str, ts: str = "da
 
 
 def split_coverage(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    """Rows, time range and rows with a class unseen in training, per split."""
-    seen = df.filter(F.col("split") == TRAIN).select(roles.target).distinct()
-    seen = settle(seen.withColumn("seen", F.lit(True)))
-    marked = lookup(df, seen, [roles.target], {"seen": False})
-    return marked.groupBy("split").agg(
-        F.count("*").alias("rows"), F.min(roles.ts).alias("start"), F.max(roles.ts).alias("end"),
-        F.count(F.when(~F.col("seen"), 1)).alias("unseen_targets"))
+    """Rows, time range and rows with a class unseen in training, per split.
+
+    One scan: rows are counted per split and class, the rest is read off those few rows.
+    """
+    cells = df.groupBy("split", roles.target).agg(
+        F.count("*").alias("n"), F.min(roles.ts).alias("a"), F.max(roles.ts).alias("b"))
+    seen = F.max((F.col("split") == TRAIN).cast("int")).over(Window.partitionBy(roles.target)) == 1
+    return cells.withColumn("seen", seen).groupBy("split").agg(
+        F.sum("n").alias("rows"), F.min("a").alias("start"), F.max("b").alias("end"),
+        F.sum(F.when(F.col("seen"), 0).otherwise(F.col("n"))).alias("unseen_targets"))
 
 
 def stratified_split(df: DataFrame, target: str, share: float = 0.2, key: str = "unique_key",
@@ -49,23 +52,21 @@ def stratified_split(df: DataFrame, target: str, share: float = 0.2, key: str =
 
     Exact to the row (``round(share * rows)`` per class) without ranking a whole class
     in one task: hashes are counted by bucket, the bucket where a class reaches its
-    quota is found from those counts, and only rows of that bucket are ranked.
+    quota is found from those counts, and only the rows of that bucket are ranked to find
+    the last hash and id that still belong to the test part.  ``key`` must be unique.
     """
     shift = 1 << (32 - bucket_bits)
     text = F.concat(F.lit(seed), F.col(key).cast("string"))
-    hashed = (df.withColumn("__h", hex_number(text, 8))
-              .withColumn("__b", F.floor(F.col("__h") / F.lit(shift)).cast("long")))
-    buckets = value_counts(hashed, target, "__b")
+    place = F.struct(hex_number(text, 8).alias("h"), F.col(key).alias("k"))
+    hashed = df.select(target, place.alias("p")).withColumn("b", F.floor(F.col("p.h") / F.lit(shift)).cast("long"))
+    buckets = value_counts(hashed, target, "b")
     quota = F.round(F.sum("count").over(Window.partitionBy(target)) * F.lit(share)).cast("long")
-    upto = F.sum("count").over(Window.partitionBy(target).orderBy("__b"))
-    reached = (buckets.select(target, "__b", quota.alias("q"), upto.alias("upto"), "count")
-               .withColumn("before", F.col("upto") - F.col("count"))
+    upto = F.sum("count").over(Window.partitionBy(target).orderBy("b"))
+    reached = (buckets.select(target, "b", quota.alias("q"), (upto - F.col("count")).alias("before"), upto.alias("upto"))
                .filter((F.col("before") < F.col("q")) & (F.col("upto") >= F.col("q"))))
-    edges = settle(reached.select(target, F.col("__b").alias("__edge"), (F.col("q") - F.col("before")).alias("__need")))
-    rows = hashed.join(broadcast_if_small(edges), target, "left")
-    at_edge = F.coalesce(F.col("__b") == F.col("__edge"), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(target, "__b").orderBy("__h", key))
-    ranked = rows.filter(at_edge).withColumn("part", F.when(rank <= F.col("__need"), "test").otherwise("train"))
-    plain = rows.filter(~at_edge).withColumn(
-        "part", F.when(F.col("__b") < F.col("__edge"), "test").otherwise("train"))
-    return plain.unionByName(ranked).drop("__h", "__b", "__edge", "__need")
+    edges = broadcast_if_small(settle(reached.select(target, "b", (F.col("q") - F.col("before")).alias("need"))))
+    rank = F.row_number().over(Window.partitionBy(target).orderBy("p"))
+    last = (hashed.join(edges, [target, "b"]).withColumn("rank", rank).filter(F.col("rank") == F.col("need"))
+            .select(target, F.col("p").alias("__last")))
+    rows = df.join(broadcast_if_small(settle(last)), target, "left")
+    return rows.withColumn("part", F.when(place <= F.col("__last"), "test").otherwise("train")).drop("__last")

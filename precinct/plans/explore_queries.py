@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from precinct.operators import dashboard, explore
 from precinct.operators.features import add_area_group, fit_medians
+from precinct.operators.relational import top_k_per_group
 from precinct.operators.splits import time_split
 from precinct.plans.common import AREAS_SQL, CLASSES, over, query, r6, union_sql
 from precinct.plans.quality_queries import AREA_GROUP, MEDIANS
@@ -324,6 +325,26 @@ def findings(spark, folder):
     return explore.findings(incidents(spark, folder))
 
 
+DIMENSIONS = {"class": "primary_type", "day": "CAST(CAST(date AS DATE) AS VARCHAR)", "hour": "CAST(hour(date) AS VARCHAR)",
+              **{c: f"coalesce(CAST({c} AS VARCHAR), '[MISSING]')" for c in
+                 ("beat", "district", "ward", "community_area", "location_description")}, "coordinates": STATE}
+
+
+@query("dimension_counts", over(union_sql(
+    f"SELECT '{d}' AS dimension, {e} AS group_value, count(*) AS \"count\", min(date) AS first_record, max(date) AS last_record "
+    "FROM inc GROUP BY 2" for d, e in DIMENSIONS.items())))
+def dimension_counts(spark, folder):
+    return explore.dimension_counts(incidents(spark, folder))
+
+
+@query("top_classes_per_area", over(
+    'SELECT community_area, primary_type, n AS "count", CAST(rn AS INT) AS rank FROM (SELECT community_area, primary_type, '
+    "count(*) AS n, row_number() OVER (PARTITION BY community_area ORDER BY count(*) DESC, primary_type) AS rn FROM inc "
+    "GROUP BY 1, 2) WHERE rn <= 3"))
+def top_classes_per_area(spark, folder):
+    return top_k_per_group(incidents(spark, folder), "community_area", "primary_type", 3)
+
+
 @query("run_manifest")
 def run_manifest(spark, folder):
     return explore.run_manifest(incidents(spark, folder), "run-1", "incident view", 1, ["class_distribution"])
@@ -350,7 +371,7 @@ def hotspots(spark, folder):
     "printf('%.1f%%', round(avg(CASE WHEN arrest THEN 1 ELSE 0 END), 6) * 100) AS rate_text FROM inc",
     an=AREA_N, risk=RISK, hot=HOT))
 def overview(spark, folder):
-    return dashboard.overview(incidents(spark, folder), area_dimension(spark))
+    return dashboard.overview(incidents(spark, folder))
 
 
 YEAR_LIST = ", ".join(str(y) for y in YEARS)
