@@ -14,7 +14,7 @@ from precinct.operators.splits import time_split, with_split
 from precinct.plans.common import SPLIT, over, query, r6
 from precinct.plans.feature_queries import predictions
 from precinct.plans.quality_queries import AREA_GROUP, MEDIANS
-from precinct.session import settle
+from precinct.session import store
 from precinct.sources.testviews import TRAIN_END, VALIDATION_END, incidents
 
 TARGET = "primary_type"
@@ -25,7 +25,7 @@ def encoded(spark, folder, scale: bool = False):
     inc = with_split(incidents(spark, folder), TRAIN_END, VALIDATION_END)
     train = inc.filter(F.col("split") == "train")
     medians = features.fit_medians(train)
-    rows = settle(models.model_rows(inc, medians))
+    rows = store(models.model_rows(inc, medians), partition_by="split")
     fit_on = rows.filter(F.col("split") == "train")
     encoder = models.fit_encoder(fit_on, scale_numeric=scale)
     labels = models.fit_labels(fit_on, TARGET)
@@ -72,19 +72,19 @@ def preprocessing_metadata(spark, folder):
 @query("logistic_regression")
 def logistic_regression(spark, folder):
     made, classes, _ = encoded(spark, folder, scale=True)
-    return _validation_scores(models.fit_logistic(settle(_split(made, "train")), classes, max_iter=50), made)
+    return _validation_scores(models.fit_logistic(store(_split(made, "train")), classes, max_iter=50), made)
 
 
 @query("decision_tree")
 def decision_tree(spark, folder):
     made, classes, _ = encoded(spark, folder)
-    return _validation_scores(models.fit_tree(settle(_split(made, "train")), classes, max_depth=8), made)
+    return _validation_scores(models.fit_tree(store(_split(made, "train")), classes, max_depth=8), made)
 
 
 @query("random_forest")
 def random_forest(spark, folder):
     made, classes, _ = encoded(spark, folder)
-    return _validation_scores(models.fit_forest(settle(_split(made, "train")), classes, trees=10, max_depth=6), made)
+    return _validation_scores(models.fit_forest(store(_split(made, "train")), classes, trees=10, max_depth=6), made)
 
 
 @query("interim_forest")
@@ -98,7 +98,7 @@ def interim_forest(spark, folder):
 @query("boosted_trees")
 def boosted_trees(spark, folder):
     made, classes, _ = encoded(spark, folder)
-    return _validation_scores(models.fit_boosted(settle(_split(made, "train")), classes, rounds=3, max_depth=3), made)
+    return _validation_scores(models.fit_boosted(store(_split(made, "train")), classes, rounds=3, max_depth=3), made)
 
 
 FINAL_NUMERIC = ("hour", "minute", "day_of_week", "month", "day", "is_midnight", "on_the_hour", "first_of_month", "is_weekend",
@@ -122,7 +122,7 @@ def boosted_trees_final(spark, folder):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     rows, mixed = final_rows(spark, folder)
-    rows = settle(rows)
+    rows = store(rows, partition_by="split")
     train = _split(rows, "train")
     gaps = ["latitude", "longitude", "rot45_a", "rot45_b", "ward_num", "community_area_num"]
     levels = ["location_description", "district"]
@@ -132,7 +132,8 @@ def boosted_trees_final(spark, folder):
                               handleInvalid="keep")]
     made = Pipeline(stages=stages).fit(train).transform(rows)
     labels = models.fit_labels(train, TARGET)
-    made = settle(models.attach_labels(made, labels, TARGET).select("unique_key", TARGET, "split", "label", "features"))
+    made = store(models.attach_labels(made, labels, TARGET).select("unique_key", TARGET, "split", "label", "features"),
+                 partition_by="split")
     fitted = models.fit_final(_split(made, "train"), _split(made, "validation"), class_names(train, TARGET), rounds=3,
                               max_depth=3)
     pred = fitted.transform(_split(made, "test")).select(F.col(TARGET).alias("actual"), "predicted", "probability")
@@ -143,7 +144,7 @@ def boosted_trees_final(spark, folder):
 def tuned_selection(spark, folder):
     from precinct.operators.selection import rank_results
     made, classes, _ = encoded(spark, folder, scale=True)
-    train, validation = settle(models.balanced(_split(made, "train"), TARGET)), settle(_split(made, "validation"))
+    train, validation = store(models.balanced(_split(made, "train"), TARGET)), store(_split(made, "validation"))
     grids = {"Logistic_Regression": {"c": [0.1], "weight": ["weight"], "max_iter": [20]},
              "Decision_Tree": {"max_depth": [4], "min_leaf": [20], "weight": [None, "weight"]}}
     results, _ = models.tune(train, validation, classes, TARGET, "view", grids=grids, baselines={
@@ -162,13 +163,13 @@ def class_decision_weights(spark, folder):
 @query("feature_importance")
 def feature_importance(spark, folder):
     made, classes, _ = encoded(spark, folder)
-    fitted = models.fit_tree(settle(_split(made, "train")), classes, max_depth=6)
+    fitted = models.fit_tree(store(_split(made, "train")), classes, max_depth=6)
     return models.importance(fitted, made)
 
 
 @query("batch_prediction")
 def batch_prediction(spark, folder):
     made, classes, encoder = encoded(spark, folder)
-    fitted = models.fit_tree(settle(_split(made, "train")), classes, max_depth=6)
+    fitted = models.fit_tree(store(_split(made, "train")), classes, max_depth=6)
     train, _, test = time_split(incidents(spark, folder), TRAIN_END, VALIDATION_END)
     return models.predict_raw(test, fitted, encoder, features.fit_medians(train)).select("unique_key", "predicted")

@@ -1,13 +1,14 @@
-"""Session settings and the two helpers that depend on the cluster.
+"""Session settings and the helpers that depend on the cluster.
 
-``settle`` cuts lineage through a reliable checkpoint, so that a lost executor
-costs a re-read and not a recomputation.  ``broadcast_if_small`` is the only
+``settle`` (small tables) and ``store`` (row-level tables) cut lineage through the shared
+checkpoint folder, so that a lost executor costs a re-read and not a recomputation.  ``broadcast_if_small`` is the only
 place in the package that hints a broadcast: it first counts the side, and
 leaves the join to AQE (sort-merge with skew splitting) when it is too large.
 """
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write a large table once, as Parquet in the shared checkpoint folder, and read it back.
+
+    For row-level tables that several jobs read: unlike a checkpoint the copy is columnar
+    and compressed, later reads take only the columns they need, and ``partition_by`` lets
+    a reader of one split skip the files of the others.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    writer = df.write.mode("error")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Hint a broadcast after counting a settled table; otherwise leave it to AQE."""
     if (table.limit(max_rows + 1).count() if rows is None else rows) <= max_rows:
