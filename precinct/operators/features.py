@@ -16,7 +16,7 @@ from precinct.functions.scalars import (
 from precinct.operators.quantiles import median
 from precinct.operators.relational import class_prior, extremes, frequencies, lookup, rate
 from precinct.schema import INCIDENTS, LEAKAGE_COLUMNS, UNKNOWN, Roles
-from precinct.session import settle
+from precinct.session import broadcast_if_small, settle
 
 # Fixed values of the historical mix: classes kept, pseudo-count, folds.
 TOP_CLASSES, SMOOTHING, FOLDS = 12, 20, 5
@@ -226,32 +226,47 @@ def out_of_fold_mix(mix: MixTables, tag: str) -> DataFrame:
     return rows.select("mix_key", "fold", "n", *[F.col("mix")[i].alias(f"mix_{c}") for i, c in enumerate(mix.classes)])
 
 
+def mix_column(tag: str, i: int) -> str:
+    return f"mix_{tag}_{i}"
+
+
 def attach_mix(df: DataFrame, mix: MixTables, keys: dict[str, Column], fold: Column) -> DataFrame:
-    """Add array columns ``mix_<tag>``; ``fold`` is the row's own fold, or -1 for rows outside training."""
-    prior = F.array(*[F.lit(p) for p in mix.prior])
+    """Add one column per key and class (``mix_<tag>_<i>``, prior where the key is unseen).
+
+    ``fold`` is the row's own fold, or -1 for rows outside training.  All tables are
+    joined first (broadcast when their counted size allows it), so small tables leave
+    the rows where they are: no shuffle, one projection before and one after the joins.
+    """
+    width = range(len(mix.classes))
     out = df.withColumns({"__fold": fold, **{f"__k_{t}": k for t, k in keys.items()}})
     for tag in keys:
         part = mix.table.filter(F.col("tag") == tag).select(
-            F.col("mix_key").alias(f"__k_{tag}"), F.col("fold").alias("__fold"), F.col("mix").alias(f"mix_{tag}"))
-        out = lookup(out, part, [f"__k_{tag}", "__fold"], {f"mix_{tag}": prior}, rows=mix.sizes.get(tag, 0))
-    return out.drop("__fold", *[f"__k_{t}" for t in keys])
+            F.col("mix_key").alias(f"__k_{tag}"), F.col("fold").alias("__fold"),
+            *[F.col("mix")[i].alias(mix_column(tag, i)) for i in width])
+        out = out.join(broadcast_if_small(part, rows=mix.sizes.get(tag, 0)), [f"__k_{tag}", "__fold"], "left")
+    shares = [F.coalesce(F.col(mix_column(t, i)), F.lit(mix.prior[i])).alias(mix_column(t, i)) for t in keys for i in width]
+    return out.select(*df.columns, *shares)
 
 
-def training_fold(mix: MixTables, in_training: Column, roles: Roles = INCIDENTS) -> Column:
-    return F.when(in_training, fold_of(F.col(roles.id), mix.folds)).otherwise(F.lit(-1))
+def vote(mix: MixTables, tags) -> list[Column]:
+    """Mean of the attached shares over some keys, one column per class."""
+    tags = list(tags)
+    return [sum((F.col(mix_column(t, i)) for t in tags[1:]), F.col(mix_column(tags[0], i))) / len(tags)
+            for i in range(len(mix.classes))]
 
 
-def spread_mix(df: DataFrame, mix: MixTables) -> DataFrame:
-    """Replace each array column by one column per class (class names cut to 12 characters)."""
-    wide = {f"mix_{t}_{c[:12]}": F.col(f"mix_{t}")[i] for t in mix.tags for i, c in enumerate(mix.classes)}
-    return df.withColumns(wide).drop(*[f"mix_{t}" for t in mix.tags])
+def training_fold(mix: MixTables, in_training: Column, roles: Roles = INCIDENTS) -> Column:
+    return F.when(in_training, fold_of(F.col(roles.id), mix.folds)).otherwise(F.lit(-1))
 
 
 def add_mix_features(df: DataFrame, mix: MixTables, in_training: Column, roles: Roles = INCIDENTS,
                      keys: dict[str, Column] | None = None) -> DataFrame:
     """Mix columns for all rows: out of fold on training rows, full training tables elsewhere."""
     chosen = keys or mix_keys(roles)
-    return spread_mix(attach_mix(df, mix, chosen, training_fold(mix, in_training, roles)), mix)
+    attached = attach_mix(df, mix, chosen, training_fold(mix, in_training, roles))
+    # Class names are cut to 12 characters.
+    return attached.withColumnsRenamed({mix_column(t, i): f"mix_{t}_{c[:12]}"
+                                        for t in chosen for i, c in enumerate(mix.classes)})
 
 
 def mix_vote(df: DataFrame, mix: MixTables, keys: dict[str, Column], fold: Column) -> DataFrame:
@@ -260,11 +275,7 @@ def mix_vote(df: DataFrame, mix: MixTables, keys: dict[str, Column], fold: Colum
     Adds ``probability`` aligned with ``mix.classes`` and ``predicted``.
     """
     scored = attach_mix(df, mix, keys, fold)
-    tags = list(keys)
-    mean = [sum((F.col(f"mix_{t}")[i] for t in tags[1:]), F.col(f"mix_{tags[0]}")[i]) / len(tags)
-            for i in range(len(mix.classes))]
-    return with_predicted(scored.withColumn("probability", F.array(*mean)).drop(*[f"mix_{t}" for t in tags]),
-                          mix.classes)
+    return with_predicted(scored.select(*df.columns, F.array(*vote(mix, keys)).alias("probability")), mix.classes)
 
 
 def with_predicted(df: DataFrame, classes: list[str]) -> DataFrame:

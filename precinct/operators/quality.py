@@ -15,6 +15,7 @@ from precinct.functions.predicates import FALSE_TEXT, TRUE_TEXT, blank_or_null,
 from precinct.functions.scalars import norm_text
 from precinct.operators.relational import assert_unique_key, drop_exact_duplicates, tall
 from precinct.schema import INCIDENTS, REQUEST_SCHEMA, WEEKDAYS, Roles, require_columns
+from precinct.session import broadcast_if_small, settle
 
 
 def _count(condition: Column) -> Column:
@@ -173,10 +174,15 @@ def validate_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, judged.filter(F.size("reasons") > 0).select("request_id", "reasons")
 
 
+def _levels(levels: DataFrame, col: str) -> DataFrame:
+    """Distinct known values, broadcast after counting them: the requests then stay where they are."""
+    return broadcast_if_small(settle(levels.select(F.col(levels.columns[0]).alias(col)).distinct()))
+
+
 def reject_unknown(df: DataFrame, levels: DataFrame, col: str = "locationDescription") -> DataFrame:
     """Requests whose location the training data never shows."""
-    return df.join(levels.select(F.col(levels.columns[0]).alias(col)).distinct(), col, "left_anti")
+    return df.join(_levels(levels, col), col, "left_anti")
 
 
 def keep_known(df: DataFrame, levels: DataFrame, col: str = "locationDescription") -> DataFrame:
-    return df.join(levels.select(F.col(levels.columns[0]).alias(col)).distinct(), col, "left_semi")
+    return df.join(_levels(levels, col), col, "left_semi")

@@ -197,7 +197,7 @@ def mix_steps(keys: dict[str, str]) -> dict[str, str]:
 
 
 def _mix(spark, folder, keys=None, top=features.TOP_CLASSES):
-    train = features.normalise_raw(_train(spark, folder))
+    train = features.normalise_raw(time_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)[0])
     return features.fit_mix(train, keys or features.mix_keys(), top=top)
 
 
@@ -224,7 +224,7 @@ def oof_mix_location(spark, folder):
         for t in KEYS for i, c in enumerate(CLASSES)) + " FROM vals GROUP BY 1", **mix_steps(KEYS)))
 def mix_features_all(spark, folder):
     mix = _mix(spark, folder)
-    rows = features.normalise_raw(with_split(incidents(spark, folder), TRAIN_END, VALIDATION_END))
+    rows = features.normalise_raw(with_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END))
     made = features.add_mix_features(rows, mix, F.col("split") == "train")
     return made.select("unique_key", *[f"mix_{t}_{c[:12]}" for t in mix.tags for c in mix.classes])
 
@@ -249,7 +249,7 @@ def predictions(spark, folder, keys=None, split: str | None = None):
     """Mix predictor over the holdout rows (classes by name)."""
     keys = keys or features.mix_keys()
     mix = _mix(spark, folder, keys, top=None)
-    rows = features.normalise_raw(with_split(incidents(spark, folder), TRAIN_END, VALIDATION_END))
+    rows = features.normalise_raw(with_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END))
     rows = rows.filter(F.col("split") == split if split else F.col("split") != "train")
     return features.mix_vote(rows, mix, keys, F.lit(-1)).withColumnRenamed("primary_type", "actual"), mix.classes
 
@@ -393,15 +393,12 @@ def candidate_confusion(spark, folder) -> DataFrame:
     """Confusion cells of all candidates on every split, from one scoring pass (training rows out of fold)."""
     keys = features.mix_keys()
     mix = _mix(spark, folder, keys, top=None)
-    rows = features.normalise_raw(with_split(incidents(spark, folder), TRAIN_END, VALIDATION_END))
+    rows = features.normalise_raw(with_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END))
     scored = features.attach_mix(rows, mix, keys, features.training_fold(mix, F.col("split") == "train"))
-    names, width = F.array(*[F.lit(c) for c in mix.classes]), range(len(mix.classes))
+    names = F.array(*[F.lit(c) for c in mix.classes])
     entries = []
     for name, (_, _, tags, _, _) in CANDIDATES.items():
-        if tags:
-            total = [sum((F.col(f"mix_{t}")[i] for t in tags[1:]), F.col(f"mix_{tags[0]}")[i]) / len(tags) for i in width]
-        else:
-            total = [F.lit(p) for p in mix.prior]
+        total = features.vote(mix, tags) if tags else [F.lit(p) for p in mix.prior]
         array = F.array(*total)
         entries.append(F.struct(F.lit(name).alias("candidate"), F.element_at(
             names, F.array_position(array, F.array_max(array)).cast("int")).alias("predicted")))

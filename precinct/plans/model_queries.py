@@ -22,7 +22,7 @@ TARGET = "primary_type"
 
 def encoded(spark, folder, scale: bool = False):
     """(encoded rows with split and label, classes, encoder)."""
-    inc = with_split(incidents(spark, folder), TRAIN_END, VALIDATION_END)
+    inc = with_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
     train = inc.filter(F.col("split") == "train")
     medians = features.fit_medians(train)
     rows = store(models.model_rows(inc, medians), partition_by="split")
@@ -89,7 +89,7 @@ def random_forest(spark, folder):
 
 @query("interim_forest")
 def interim_forest(spark, folder):
-    inc = incidents(spark, folder)
+    inc = incidents(spark, folder, spread=True)
     fitted, _, test = models.fit_interim(inc, features.fit_medians(inc), top=5, trees=5, max_depth=5)
     pred = fitted.transform(test).select(F.col(TARGET).alias("actual"), "predicted")
     return evaluation.per_class(evaluation.confusion(pred, fitted.classes))
@@ -108,7 +108,7 @@ FINAL_NUMERIC = ("hour", "minute", "day_of_week", "month", "day", "is_midnight",
 
 def final_rows(spark, folder):
     """Rows with all features of the final model: row features, frequencies and the six mix tables."""
-    inc = with_split(incidents(spark, folder), TRAIN_END, VALIDATION_END)
+    inc = with_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
     rows = features.final_features(inc)
     train = rows.filter(F.col("split") == "train")
     mix = features.fit_mix(train, features.mix_keys())

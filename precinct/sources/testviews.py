@@ -24,17 +24,28 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table over all cores when it arrives in fewer partitions than there are cores.
+
+    A small file with a single row group would otherwise keep the whole job on one core.
+    A table of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _nulled(every: int, key: str, value):
     return F.when(F.col(key) % every != 0, value)
 
 
-def incidents(spark: SparkSession, folder: str) -> DataFrame:
-    """One incident per order."""
+def incidents(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """One incident per order; ``spread`` for consumers whose work per row is heavy."""
     key = F.col("o_orderkey")
     hours = F.when(key % 11 == 0, 0).otherwise((key * 7) % 24).cast("int")
     minutes = F.when(key % 5 == 0, 0).otherwise((key * 13) % 60).cast("int")
     cust = F.col("c_custkey")
-    joined = (load(spark, folder, "orders")
+    orders = load(spark, folder, "orders")
+    joined = ((spread_small(orders, "o_orderkey") if spread else orders)
               .join(load(spark, folder, "customer"), F.col("o_custkey") == cust)
               .join(load(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")))
     return joined.select(
@@ -62,12 +73,13 @@ def incidents_with_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return rows.unionByName(rows.filter(F.col("unique_key") % 7 == 0))
 
 
-def requests(spark: SparkSession, folder: str) -> DataFrame:
+def requests(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """One scoring request per order; some fields are absent, out of range or unknown."""
     key = F.col("o_orderkey")
     day = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), (key % 7).cast("int") + 1)
     segment = F.col("c_mktsegment")
-    joined = load(spark, folder, "orders").join(
+    orders = load(spark, folder, "orders")
+    joined = (spread_small(orders, "o_orderkey") if spread else orders).join(
         load(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
         key.alias("request_id"),

@@ -87,9 +87,9 @@ def test_mix_of_a_row_ignores_its_own_label(mixed, tiny):
     changed = rows.withColumn("primary_type", F.when(F.col("unique_key") == 1, "BATTERY").otherwise(F.col("primary_type")))
     other = features.fit_mix(changed.filter("split = 'train'"), keys, folds=3)
     raw = lambda m: features.attach_mix(rows.filter("unique_key = 1"), m, keys, features.training_fold(m, F.lit(True))) \
-        .select("mix_loc").first()[0]
+        .select([features.mix_column("loc", i) for i in range(len(m.classes))]).first()
     # Only the prior may differ, because it is the share over all of training.
-    before = dict(zip(mix.classes, (v * 0 + v for v in raw(mix))))
+    before = dict(zip(mix.classes, raw(mix)))
     after = dict(zip(other.classes, raw(other)))
     prior_a, prior_b = dict(zip(mix.classes, mix.prior)), dict(zip(other.classes, other.prior))
     n = [before[c] - after[c] for c in before]
@@ -103,7 +103,8 @@ def test_unseen_key_gets_the_prior_without_broadcast_too(spark, mixed):
     odd = rows.limit(1).withColumn("location_description", F.lit("NOWHERE"))
     for sizes in (mix.sizes, {t: 10**9 for t in mix.tags}):
         other = features.MixTables(mix.table, mix.classes, mix.prior, mix.tags, mix.folds, sizes)
-        assert features.attach_mix(odd, other, keys, F.lit(-1)).first()["mix_loc"] == pytest.approx(mix.prior)
+        row = features.attach_mix(odd, other, keys, F.lit(-1)).first()
+        assert [row[features.mix_column("loc", i)] for i in range(len(mix.classes))] == pytest.approx(mix.prior)
 
 
 def test_midnight_share(tiny):
