@@ -14,7 +14,7 @@ from precinct.functions.predicates import coordinate_missing, parse_bool
 from precinct.functions.scalars import (
     code_text, cyclic, fold_of, grid_cell, hour_block, mix_key, norm_text, rot45, weekday0)
 from precinct.operators.quantiles import median
-from precinct.operators.relational import class_prior, extremes, frequencies, lookup, rate
+from precinct.operators.relational import extremes, frequencies, lookup, rate
 from precinct.schema import INCIDENTS, LEAKAGE_COLUMNS, UNKNOWN, Roles
 from precinct.session import broadcast_if_small, settle
 
@@ -178,22 +178,25 @@ def fit_mix(train: DataFrame, keys: dict[str, Column], roles: Roles = INCIDENTS,
             alpha: float = SMOOTHING, folds: int = FOLDS) -> MixTables:
     """Smoothed class shares of every key, for all training rows and with each fold left out.
 
-    All keys are aggregated in one scan: each row yields one (tag, key) pair per mix
-    table, and the class sums of a (tag, key, fold) collapse before the shuffle, so a key
-    that holds a third of the rows costs one row per map task.  Leaving a fold out is the
-    key total minus the fold's own sums.  Classes come by share; with ``top=None`` all
-    classes are kept, by name.
+    One scan of the training rows: each row yields one (tag, key) pair per mix table, and
+    the pairs are counted per (tag, key, fold, class) before the shuffle, so a key that
+    holds a third of the rows costs a few rows per map task.  All the rest works on those
+    counts; leaving a fold out is the key total minus the fold's own sums.  Classes come by
+    share; with ``top=None`` all classes are kept, by name.
     """
-    ranked = class_prior(train, roles.target).filter(F.lit(top is None) | (F.col("rank") <= F.lit(top or 0)))
-    # At most ``top`` rows, or the bounded class list.
-    leaders = sorted(ranked.collect(), key=lambda r: r["rank"] if top else r[roles.target])
-    classes, prior = [r[roles.target] for r in leaders], [r["share"] for r in leaders]
-
-    sums = [f"s{i}" for i in range(len(classes))]
-    hit = [F.count(F.when(F.col(roles.target) == c, 1)).alias(s) for c, s in zip(classes, sums)]
-    pairs = train.select(roles.target, fold_of(F.col(roles.id), folds).alias("fold"), _tagged(keys).alias("p"))
-    own = (pairs.select(roles.target, "fold", "p.*").groupBy("tag", "mix_key", "fold")
-           .agg(F.count("*").alias("n"), F.array(*hit).alias("sums")))
+    target = roles.target
+    pairs = train.select(target, fold_of(F.col(roles.id), folds).alias("fold"), _tagged(keys).alias("p"))
+    cells = settle(pairs.select(target, "fold", "p.*").groupBy("tag", "mix_key", "fold", target)
+                   .agg(F.count("*").alias("n")))
+
+    # Every record is in each tag once, so one tag holds the class totals; one row per class.
+    totals = cells.filter(F.col("tag") == next(iter(keys))).groupBy(target).agg(F.sum("n").alias("n")).collect()
+    order = (lambda r: (-r["n"], r[target])) if top else (lambda r: r[target])
+    leaders, rows = sorted(totals, key=order)[:top], sum(r["n"] for r in totals)
+    classes, prior = [r[target] for r in leaders], [r["n"] / rows for r in leaders]
+
+    hits = [F.coalesce(F.sum(F.when(F.col(target) == c, F.col("n"))), F.lit(0).cast("long")) for c in classes]
+    own = cells.groupBy("tag", "mix_key", "fold").agg(F.sum("n").alias("n"), F.array(*hits).alias("sums"))
 
     def smooth(n: Column, counts: Column) -> Column:
         rest = [(counts[i] + F.lit(alpha * prior[i])) / (n + F.lit(float(alpha))) for i in range(len(classes))]

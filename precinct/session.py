@@ -60,6 +60,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write a large table once, as Parquet in the shared checkpoint folder, and read it back.
 
@@ -68,8 +74,7 @@ def store(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     a reader of one split skip the files of the others.
     """
     spark = df.sparkSession
-    ensure_checkpoint_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     writer = df.write.mode("error")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
