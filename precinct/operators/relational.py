@@ -73,13 +73,12 @@ def with_area(df: DataFrame, areas: DataFrame, area: str, unknown: str | None =
     """Attach name, centre and default district; an unlisted id gets a made-up name.
 
     ``unknown`` names rows of unlisted or absent ids; without it they read "Area n".
-    The dimension has 77 rows.
     """
     dim = areas.select(F.col("area_id").alias(area), F.col("name").alias("area_name"),
                        F.col("lat").alias("area_lat"), F.col("lon").alias("area_lon"),
                        F.col("district").alias("area_district"))
     fallback = F.lit(unknown) if unknown else F.concat(F.lit("Area "), F.col(area).cast("string"))
-    return (df.join(F.broadcast(dim), area, "left")
+    return (df.join(broadcast_if_small(dim), area, "left")
             .withColumns({"area_name": F.coalesce("area_name", fallback),
                           "area_lat": F.coalesce("area_lat", F.lit(DEFAULT_CENTRE[0])),
                           "area_lon": F.coalesce("area_lon", F.lit(DEFAULT_CENTRE[1]))}))
