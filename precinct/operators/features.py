@@ -111,13 +111,22 @@ def normalise_raw(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
 
 # ------------------------------------------------------------- fitted encodings
 
-def frequency_encode(train: DataFrame, df: DataFrame, cols) -> DataFrame:
-    """Training share of each value; a value training lacks gets 0."""
-    for c in cols:
-        df = lookup(df, settle(frequencies(train, c, f"{c}_freq")), [c], {f"{c}_freq": 0.0})
+def fit_frequencies(train: DataFrame, cols) -> dict[str, DataFrame]:
+    """Training share of each value, one small table per column."""
+    return {c: settle(frequencies(train, c, f"{c}_freq")) for c in cols}
+
+
+def apply_frequencies(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Add ``<column>_freq``; a value training lacks gets 0."""
+    for c, table in tables.items():
+        df = lookup(df, table, [c], {f"{c}_freq": 0.0})
     return df
 
 
+def frequency_encode(train: DataFrame, df: DataFrame, cols) -> DataFrame:
+    return apply_frequencies(df, fit_frequencies(train, cols))
+
+
 def midnight_share(train: DataFrame, roles: Roles = INCIDENTS, k: int = 8) -> DataFrame:
     """Classes with the largest share of records logged at 00:00."""
     at_midnight = (F.hour(roles.ts) == 0) & (F.minute(roles.ts) == 0)
@@ -262,11 +271,12 @@ def training_fold(mix: MixTables, in_training: Column, roles: Roles = INCIDENTS)
     return F.when(in_training, fold_of(F.col(roles.id), mix.folds)).otherwise(F.lit(-1))
 
 
-def add_mix_features(df: DataFrame, mix: MixTables, in_training: Column, roles: Roles = INCIDENTS,
+def add_mix_features(df: DataFrame, mix: MixTables, in_training: Column | None, roles: Roles = INCIDENTS,
                      keys: dict[str, Column] | None = None) -> DataFrame:
-    """Mix columns for all rows: out of fold on training rows, full training tables elsewhere."""
+    """Mix columns for all rows: out of fold on training rows (None: there are none), full training tables elsewhere."""
     chosen = keys or mix_keys(roles)
-    attached = attach_mix(df, mix, chosen, training_fold(mix, in_training, roles))
+    fold = F.lit(-1) if in_training is None else training_fold(mix, in_training, roles)
+    attached = attach_mix(df, mix, chosen, fold)
     # Class names are cut to 12 characters.
     return attached.withColumnsRenamed({mix_column(t, i): f"mix_{t}_{c[:12]}"
                                         for t in chosen for i, c in enumerate(mix.classes)})

@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.operators import evaluation, features, models
+from precinct.operators import evaluation, features, models, scoring
 from precinct.operators.relational import class_names
 from precinct.operators.splits import time_split, with_split
 from precinct.plans.common import SPLIT, over, query, r6
 from precinct.plans.feature_queries import predictions
 from precinct.plans.quality_queries import AREA_GROUP, MEDIANS
+from precinct.plans.scoring_queries import expanded_requests
 from precinct.session import store
 from precinct.sources.testviews import TRAIN_END, VALIDATION_END, incidents
 
@@ -101,43 +102,25 @@ def boosted_trees(spark, folder):
     return _validation_scores(models.fit_boosted(store(_split(made, "train")), classes, rounds=3, max_depth=3), made)
 
 
-FINAL_NUMERIC = ("hour", "minute", "day_of_week", "month", "day", "is_midnight", "on_the_hour", "first_of_month", "is_weekend",
-                 "domestic_int", "latitude", "longitude", "rot45_a", "rot45_b", "coordinates_missing", "beat_num",
-                 "district_num", "ward_num", "community_area_num", "location_description_freq", "beat_freq")
-
-
-def final_rows(spark, folder):
-    """Rows with all features of the final model: row features, frequencies and the six mix tables."""
-    inc = with_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
-    rows = features.final_features(inc)
-    train = rows.filter(F.col("split") == "train")
-    mix = features.fit_mix(train, features.mix_keys())
-    rows = features.frequency_encode(train, rows, ["location_description", "beat"])
-    rows = features.add_mix_features(rows, mix, F.col("split") == "train")
-    return rows, [f"mix_{t}_{c[:12]}" for t in mix.tags for c in mix.classes]
+def final_model(spark, folder) -> models.FinalModel:
+    train, validation, _ = time_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
+    return models.fit_final_model(train, validation, rounds=3, max_depth=3)
 
 
 @query("boosted_trees_final")
 def boosted_trees_final(spark, folder):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    rows, mixed = final_rows(spark, folder)
-    rows = store(rows, partition_by="split")
-    train = _split(rows, "train")
-    gaps = ["latitude", "longitude", "rot45_a", "rot45_b", "ward_num", "community_area_num"]
-    levels = ["location_description", "district"]
-    stages = [models.median_imputer(gaps),
-              StringIndexer(inputCols=levels, outputCols=[f"{c}_idx" for c in levels], handleInvalid="keep"),
-              VectorAssembler(inputCols=[*FINAL_NUMERIC, *mixed, *[f"{c}_idx" for c in levels]], outputCol="features",
-                              handleInvalid="keep")]
-    made = Pipeline(stages=stages).fit(train).transform(rows)
-    labels = models.fit_labels(train, TARGET)
-    made = store(models.attach_labels(made, labels, TARGET).select("unique_key", TARGET, "split", "label", "features"),
-                 partition_by="split")
-    fitted = models.fit_final(_split(made, "train"), _split(made, "validation"), class_names(train, TARGET), rounds=3,
-                              max_depth=3)
-    pred = fitted.transform(_split(made, "test")).select(F.col(TARGET).alias("actual"), "predicted", "probability")
-    return evaluation.topk_accuracy(pred, fitted.classes)
+    model = final_model(spark, folder)
+    _, _, test = time_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
+    pred = model.transform(test).select(F.col(TARGET).alias("actual"), "predicted", "probability")
+    return evaluation.topk_accuracy(pred, model.fitted.classes)
+
+
+@query("score_requests_final")
+def score_requests_final(spark, folder):
+    """Requests expanded over dates and minutes, scored by the final model, averaged per request."""
+    model = final_model(spark, folder)
+    scored = scoring.score(expanded_requests(spark, folder), model)
+    return scoring.long_probabilities(scoring.average_probabilities(scored, model.fitted.classes), model.fitted.classes)
 
 
 @query("tuned_selection")

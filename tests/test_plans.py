@@ -13,7 +13,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 MODELS = {"logistic_regression", "decision_tree", "random_forest", "interim_forest", "boosted_trees", "boosted_trees_final",
-          "tuned_selection", "class_decision_weights", "feature_importance", "batch_prediction"}
+          "score_requests_final", "tuned_selection", "class_decision_weights", "feature_importance", "batch_prediction"}
 EVERY = os.environ.get("ALL_ORACLES")
 SAMPLE = ["missing_profile", "cardinality", "duplicate_profile", "repeated_key_rows", "validity_checks", "clean_dedup",
           "quartiles_exact", "snapshot_digest", "class_distribution", "class_imbalance", "matched_calendar_window",
