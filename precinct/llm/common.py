@@ -1,6 +1,7 @@
 """Helpers shared by the text operators: streaming over whole texts, split columns, shared folders."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Bytes of text that one call of a task's function sees at most, unless a single text is larger.
 CHUNK_BYTES = 4 << 20
 
@@ -36,6 +38,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(first, n - first)
 
 
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers' path (where driver and workers see the same folder and no copy was shipped)."""
+    context = df.sparkSession.sparkContext
+    known = context.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
+    return df.mapInArrow(function, schema)
+
+
 def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
     """Apply ``function`` to bounded record batches; it returns the columns of ``schema`` as a dict of lists or arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,7 +60,7 @@ def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def file_system(uri: str):

@@ -36,3 +36,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark)
     write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=2)
     return read_token_files(spark, folder)
+
+
+@register
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.simhash import linked_groups
+    return linked_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)

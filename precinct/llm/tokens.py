@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precinct.llm.common import file_system, pieces, texts
+from precinct.llm.common import file_system, map_arrow, pieces, texts
 
 # How byte-level BPE files of this family cut a text before merging.  Written for Python's ``re``; it
 # differs from the tokenizer's own classes only on the characters in ODD, and texts that hold one go to the tokenizer whole.
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 "part": [task.partitionId()], "file": [name], "width": pa.array([code.dtype.itemsize], pa.int32()),
                 "docs": [len(ids)], "tokens": [total], "without_id": [no_id]})
 
-    written = ordered.mapInArrow(write, "part long, file string, width int, docs long, tokens long, without_id long")
+    written = map_arrow(ordered, write, "part long, file string, width int, docs long, tokens long, without_id long")
     rows = sorted(written.collect())  # one row per part
     bases = np.cumsum([[0, 0], *([r.docs, r.tokens] for r in rows)], axis=0).tolist()
     manifest = spark.createDataFrame(
@@ -177,4 +177,4 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                         [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
                         + [("ids", pa.binary())] * with_ids))
 
-    return manifest.select("file", "width", "docs", "without_id", "token_base").repartition(max(1, parts)).mapInArrow(read, schema)
+    return map_arrow(manifest.select("file", "width", "docs", "without_id", "token_base").repartition(max(1, parts)), read, schema)
