@@ -42,3 +42,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precinct.llm.simhash import linked_groups
     return linked_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@register
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.decontaminate import overlaps
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.common import remainder
+    from precinct.llm.knn import fit, score, training_labels
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score(docs, fit(docs, training_labels(labels, 3, 1), "quality"))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
