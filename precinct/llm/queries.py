@@ -57,3 +57,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, fit(docs, training_labels(labels, 3, 1), "quality"))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.pii import find, fit
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, fit(docs))

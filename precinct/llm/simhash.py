@@ -221,3 +221,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     roots = components(edges)
     named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return stored.join(named, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when of each group of near copies the one with the smallest doc_id stays.
+
+    Rows equal in doc_id and text are one document and one of them stays; of rows that share a doc_id with different texts
+    none goes if one of them stays.  Rows without a doc_id stay.
+    """
+    groups = similar_groups(docs.select("doc_id", "text"), shingle, similarity).where("doc_id is not null")
+    gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
