@@ -64,3 +64,38 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precinct.llm.pii import find, fit
     docs = table(spark, sf_dir, "documents")
     return find(docs, fit(docs))
+
+
+@register
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.rules import Cascade, judge
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, Cascade(docs))
+
+
+ORACLES["op4_quality_rules"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM t)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY doc_id),
+s AS (
+  SELECT t.doc_id, text, words, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (
+    n_symbols > 0.3 * n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR n_dup_lines > 0.5 * n_lines
+    OR length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) > 0.6 * (length(text) - length(regexp_replace(text, '\p{L}', '', 'g')))
+    OR length(text) - length(replace(text, '!', '')) > 0.5 * n_words
+    OR len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) < 0.5 * n_words
+    OR len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) > 0.3 * n_words) AS kept
+FROM b
+"""
