@@ -99,3 +99,9 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     OR len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) > 0.3 * n_words) AS kept
 FROM b
 """
+
+
+@register
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.licences import scan
+    return scan(table(spark, sf_dir, "documents"))
