@@ -105,3 +105,12 @@ FROM b
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precinct.llm.licences import scan
     return scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.common import remainder
+    from precinct.llm.toxicity import fit, score, training_labels
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score(docs, fit(docs, training_labels(labels, 4, 2), "toxic"))
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
