@@ -114,3 +114,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, fit(docs, training_labels(labels, 4, 2), "toxic"))
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.common import remainder
+    from precinct.llm.hmm import score
+    return score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
