@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from precinct.schema import MISSING
+from precinct.schema import MISSING, WHITE_SPACE
 
 TRUE_TEXT = ("true", "1", "1.0")
 FALSE_TEXT = ("false", "0", "0.0")
@@ -38,7 +38,7 @@ def is_member(col: Column, values) -> Column:
 
 
 def blank_or_null(col: Column) -> Column:
-    return col.isNull() | (F.trim(col) == "")
+    return col.isNull() | (F.btrim(col, F.lit(WHITE_SPACE)) == "")
 
 
 def is_finite(col: Column) -> Column:
@@ -59,7 +59,7 @@ def missing_label(col: Column, label: str = MISSING) -> Column:
 
 def parse_bool(col: Column) -> Column:
     """True for true / 1 / 1.0 in any case; everything else, NULL included, is False."""
-    return F.coalesce(F.lower(F.trim(col.cast("string"))).isin(*TRUE_TEXT), F.lit(False))
+    return F.coalesce(F.lower(F.btrim(col.cast("string"), F.lit(WHITE_SPACE))).isin(*TRUE_TEXT), F.lit(False))
 
 
 def case(branches: list[tuple[Column, object]], default) -> Column:

@@ -7,11 +7,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from precinct.schema import UNKNOWN
+from precinct.schema import UNKNOWN, WHITE_SPACE
+
+
+def strip(col: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
+
+
+def not_nan(col: Column) -> Column:
+    """The number, or NULL for NaN."""
+    return F.when(~F.isnan(col), col)
 
 
 def norm_text(col: Column, upper: bool = True) -> Column:
-    trimmed = F.trim(col)
+    trimmed = strip(col)
     return F.upper(trimmed) if upper else F.lower(trimmed)
 
 
@@ -96,7 +106,7 @@ def rot45(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 def code_text(col: Column) -> Column:
     """Whole-number code as text; unparsable or missing becomes ``Unknown``."""
-    return F.coalesce(col.try_cast("double").cast("long").cast("string"), F.lit(UNKNOWN))
+    return F.coalesce(col.try_cast("double").try_cast("long").cast("string"), F.lit(UNKNOWN))
 
 
 def argmax(array: Column) -> Column:

@@ -19,7 +19,8 @@ SCREEN_LAT, SCREEN_LON = (41, 43), (-89, -87)
 GRID_DEGREES = 0.01
 RARE_BELOW = 100
 
-FULL_YEAR, PARTIAL_YEAR = "Jan 1-Dec 31 endpoints", "Partial calendar year"
+# The two states of a year.
+FULL_YEAR, PARTIAL_YEAR = "Jan 1–Dec 31 endpoints", "Partial calendar year"
 
 # ---------------------------------------------------------------- class balance
 
@@ -35,15 +36,13 @@ def class_imbalance(df: DataFrame, roles: Roles = INCIDENTS, rare_below: int = R
 def imbalance_of(counts: DataFrame, target: str, rare_below: int = RARE_BELOW) -> DataFrame:
     """The same summary over class counts."""
     total = counts.agg(F.sum("count")).scalar()
-    # One struct per class, most rows first, then by name; the class list is bounded.
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), F.col(target).alias("t"))))
-    summary = counts.agg(F.count("*").alias("classes"), ordered.alias("ordered"),
+    by_rank = F.struct((-F.col("count")).alias("c"), F.col(target).alias("t"))  # most rows first, then by name
+    top5 = counts.orderBy(F.desc("count"), target).limit(5).agg(F.sum("count")).scalar()
+    summary = counts.agg(F.count("*").alias("classes"), F.min(by_rank).alias("first"), F.max(by_rank).alias("last"),
                          F.min("count").alias("low"), F.max("count").alias("high"),
                          F.count(F.when(F.col("count") < rare_below, 1)).alias("classes_below_100"))
-    top5 = F.aggregate(F.slice("ordered", 1, 5), F.lit(0).cast("long"), lambda acc, x: acc - x["c"])
     return summary.select(
-        "classes", F.col("ordered")[0]["t"].alias("largest_class"),
-        F.element_at("ordered", -1)["t"].alias("smallest_class"),
+        "classes", F.col("first.t").alias("largest_class"), F.col("last.t").alias("smallest_class"),
         (F.col("high") / F.col("low")).alias("largest_smallest_ratio"),
         (F.col("high") / total * 100).alias("majority_share_pct"), "classes_below_100",
         (top5 / total * 100).alias("top_5_share_pct"))
@@ -170,6 +169,7 @@ def sparse_groups(df: DataFrame, roles: Roles = INCIDENTS, below: int = RARE_BEL
                                          F.count("*").alias("total_groups"))
 
 
+# The names of the four states.
 def coordinate_state(lat: Column, lon: Column) -> Column:
     absent = coordinate_missing(lat, lon)
     on_globe = between(lat, -90, 90) & between(lon, -180, 180)

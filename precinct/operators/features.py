@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from precinct.functions.predicates import coordinate_missing, parse_bool
 from precinct.functions.scalars import (
-    code_text, cyclic, fold_of, grid_cell, hour_block, mix_key, norm_text, rot45, weekday0)
+    code_text, cyclic, fold_of, grid_cell, hour_block, mix_key, norm_text, not_nan, rot45, weekday0)
 from precinct.operators.quantiles import median
 from precinct.operators.relational import extremes, frequencies, lookup, rate
 from precinct.schema import INCIDENTS, LEAKAGE_COLUMNS, UNKNOWN, Roles
@@ -105,8 +105,8 @@ def normalise_raw(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
     place = norm_text(F.coalesce(F.col(roles.context), F.lit(UNKNOWN)))
     numeric = {f"{c}_num": F.col(c).try_cast("double") for c in roles.codes}
     return (df.withColumns({**numeric, "domestic_int": parse_bool(F.col(roles.flag)).cast("int"),
-                            roles.lat: F.col(roles.lat).try_cast("double"),
-                            roles.lon: F.col(roles.lon).try_cast("double")})
+                            roles.lat: not_nan(F.col(roles.lat).try_cast("double")),
+                            roles.lon: not_nan(F.col(roles.lon).try_cast("double"))})
             .withColumns({**{c: code_text(F.col(c)) for c in roles.codes}, roles.context: place}))
 
 # ------------------------------------------------------------- fitted encodings
@@ -277,8 +277,7 @@ def add_mix_features(df: DataFrame, mix: MixTables, in_training: Column | None,
     chosen = keys or mix_keys(roles)
     fold = F.lit(-1) if in_training is None else training_fold(mix, in_training, roles)
     attached = attach_mix(df, mix, chosen, fold)
-    # Class names are cut to 12 characters.
-    return attached.withColumnsRenamed({mix_column(t, i): f"mix_{t}_{c[:12]}"
+    return attached.withColumnsRenamed({mix_column(t, i): f"mix_{t}_{c}"
                                         for t in chosen for i, c in enumerate(mix.classes)})
 
 

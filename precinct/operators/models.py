@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precinct.functions.predicates import parse_bool
+from precinct.functions.scalars import norm_text
 from precinct.operators.evaluation import METRICS, assert_no_leakage, confusion, overall, per_class
 from precinct.operators.features import (
     MixTables, add_area_group, add_cyclic, add_domestic_int, add_mix_features, add_temporal, apply_frequencies, final_features,
@@ -244,7 +246,7 @@ def fit_final_model(train: DataFrame, validation: DataFrame, roles: Roles = INCI
     shares, mix = fit_frequencies(base, ["location_description", "beat"]), fit_mix(base, mix_keys(roles), roles)
     own = store(_final_inputs(train, shares, mix, F.lit(True), roles))
     held = store(_final_inputs(validation, shares, mix, None, roles))
-    mixed = [f"mix_{t}_{c[:12]}" for t in mix.tags for c in mix.classes]
+    mixed = [f"mix_{t}_{c}" for t in mix.tags for c in mix.classes]
     index = [f"{c}_idx" for c in FINAL_LEVELS]
     inputs = [*FINAL_NUMERIC, *mixed, *index]
     assert_no_leakage(inputs)
@@ -264,10 +266,13 @@ INTERIM_NUMERIC = ("hour", "month", "day_of_week", "is_weekend", "domestic", "co
 
 
 def interim_rows(df: DataFrame, medians: tuple[float, float], roles: Roles = INCIDENTS) -> DataFrame:
-    """The twelve inputs of the interim model (absent codes are 0, absent location OTHER)."""
-    filled = handle_missing(add_temporal(df, roles.ts), medians, roles, codes=roles.codes, preset="interim")
-    place = F.upper(F.trim(F.col(roles.context)))
-    return filled.withColumns({"domestic": F.col(roles.flag).cast("int"), roles.context: place})
+    """The twelve inputs of the interim model (absent codes and flag are 0, absent location OTHER).
+
+    Rows without a date or a class are no training rows.
+    """
+    usable = df.filter(F.col(roles.ts).isNotNull() & F.col(roles.target).isNotNull())
+    filled = handle_missing(add_temporal(usable, roles.ts), medians, roles, codes=roles.codes, preset="interim")
+    return filled.withColumns({roles.flag: parse_bool(F.col(roles.flag)).cast("int"), roles.context: norm_text(F.col(roles.context))})
 
 
 def fit_interim(df: DataFrame, medians: tuple[float, float], top: int = 15, trees: int = 100, max_depth: int = 18,
@@ -345,7 +350,7 @@ def tune(train: DataFrame, validation: DataFrame, classes: list[str], target: st
     order = sorted((dict(zip(at, r)) for r in rows if dict(zip(at, r))["converged"]),
                    key=lambda r: (-r["macro_f1"], -r["weighted_f1"], r["training_seconds"], r["model"]))
     if len(order) < min(families, 2):
-        raise RuntimeError("At least two converged baselines are required")
+        raise RuntimeError("Tuning needs two baselines that converged")
     for best in order[:families]:
         for i, params in enumerate(grid_points(grids[best["model"]]), start=1):
             key = (best["model"], f"tuned_{i:02d}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precinct.functions.predicates import FALSE_TEXT, TRUE_TEXT, blank_or_null, is_infinite, out_of_range
-from precinct.functions.scalars import norm_text
+from precinct.functions.scalars import norm_text, strip
 from precinct.operators.relational import assert_unique_key, drop_exact_duplicates, tall
 from precinct.schema import INCIDENTS, REQUEST_SCHEMA, WEEKDAYS, Roles, require_columns
 from precinct.session import broadcast_if_small, settle
@@ -154,7 +154,7 @@ def request_reasons(df: DataFrame) -> Column:
     for c, (low, high) in REQUEST_RANGES.items():
         checks[c].append(out_of_range(F.col(c), low, high))
     place = F.col("locationDescription")
-    checks["locationDescription"].append((F.trim(place) == "") | (F.length(place) > LOCATION_LENGTH))
+    checks["locationDescription"].append((strip(place) == "") | (F.length(place) > LOCATION_LENGTH))
     checks["dayOfWeek"].append(~F.col("dayOfWeek").isin(*WEEKDAYS))
     extra = {c: [F.col(c).isNotNull()] for c in df.columns if c not in known}
     entries = [F.when(F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in conds]),

@@ -220,13 +220,13 @@ def oof_mix_location(spark, folder):
 
 @query("mix_features_all", over(
     "SELECT unique_key, " + ", ".join(
-        f"{r6(f'''max(CASE WHEN tag = '{t}' THEN v{i} END)''')} AS \"mix_{t}_{c[:12]}\""
+        f"{r6(f'''max(CASE WHEN tag = '{t}' THEN v{i} END)''')} AS \"mix_{t}_{c}\""
         for t in KEYS for i, c in enumerate(CLASSES)) + " FROM vals GROUP BY 1", **mix_steps(KEYS)))
 def mix_features_all(spark, folder):
     mix = _mix(spark, folder)
     rows = features.normalise_raw(with_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END))
     made = features.add_mix_features(rows, mix, F.col("split") == "train")
-    return made.select("unique_key", *[f"mix_{t}_{c[:12]}" for t in mix.tags for c in mix.classes])
+    return made.select("unique_key", *[f"mix_{t}_{c}" for t in mix.tags for c in mix.classes])
 
 # ------------------------------------------- evaluation of the mix predictor
 
@@ -389,11 +389,13 @@ CANDIDATES = {
 }
 
 
-def candidate_confusion(spark, folder) -> DataFrame:
-    """Confusion cells of all candidates on every split, from one scoring pass (training rows out of fold)."""
+def candidate_confusion(spark, folder, splits: tuple[str, ...] = ()) -> DataFrame:
+    """Confusion cells of all candidates on some splits (all by default), from one scoring pass (training rows out of fold)."""
     keys = features.mix_keys()
     mix = _mix(spark, folder, keys, top=None)
     rows = features.normalise_raw(with_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END))
+    if splits:
+        rows = rows.filter(F.col("split").isin(*splits))
     scored = features.attach_mix(rows, mix, keys, features.training_fold(mix, F.col("split") == "train"))
     names = F.array(*[F.lit(c) for c in mix.classes])
     entries = []
@@ -408,12 +410,11 @@ def candidate_confusion(spark, folder) -> DataFrame:
 
 def candidate_results(spark, folder, split: str = "validation") -> DataFrame:
     """Result rows of the comparison: model, tag, metrics, training seconds, converged."""
-    scores = evaluation.overall(settle(candidate_confusion(spark, folder)), by=("candidate", "split"))
+    scores = evaluation.overall(settle(candidate_confusion(spark, folder, (split,) if split else ())), by=("candidate", "split"))
     about = F.create_map(*[x for n, (m, t, _, s, c) in CANDIDATES.items() for x in (
         F.lit(n), F.struct(F.lit(m).alias("model"), F.lit(t).alias("tag"), F.lit(s).alias("training_seconds"),
                            F.lit(c).alias("converged")))])
-    chosen = scores.filter(F.col("split") == split) if split else scores
-    return (chosen.withColumn("about", about[F.col("candidate")])
+    return (scores.withColumn("about", about[F.col("candidate")])
             .select("about.*", F.col("split").alias("basis"), F.lit("view").alias("experiment_id"),
                     *evaluation.METRICS))
 

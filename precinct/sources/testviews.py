@@ -24,14 +24,9 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table over all cores when it arrives in fewer partitions than there are cores.
-
-    A small file with a single row group would otherwise keep the whole job on one core.
-    A table of many splits is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Dealt out by key to the session's shuffle width."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _nulled(every: int, key: str, value):
@@ -39,13 +34,13 @@ def _nulled(every: int, key: str, value):
 
 
 def incidents(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
-    """One incident per order; ``spread`` for consumers whose work per row is heavy."""
+    """One incident per order; ``spread`` deals the orders out anew, for consumers whose work per row outweighs a shuffle."""
     key = F.col("o_orderkey")
     hours = F.when(key % 11 == 0, 0).otherwise((key * 7) % 24).cast("int")
     minutes = F.when(key % 5 == 0, 0).otherwise((key * 13) % 60).cast("int")
     cust = F.col("c_custkey")
     orders = load(spark, folder, "orders")
-    joined = ((spread_small(orders, "o_orderkey") if spread else orders)
+    joined = ((_dealt(orders, "o_orderkey") if spread else orders)
               .join(load(spark, folder, "customer"), F.col("o_custkey") == cust)
               .join(load(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")))
     return joined.select(
@@ -79,7 +74,7 @@ def requests(spark: SparkSession, folder: str, spread: bool = False) -> DataFram
     day = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), (key % 7).cast("int") + 1)
     segment = F.col("c_mktsegment")
     orders = load(spark, folder, "orders")
-    joined = (spread_small(orders, "o_orderkey") if spread else orders).join(
+    joined = (_dealt(orders, "o_orderkey") if spread else orders).join(
         load(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
         key.alias("request_id"),

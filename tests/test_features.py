@@ -79,7 +79,7 @@ def test_mix_equals_brute_force_in_and_out_of_training(mixed):
     for r in plain:
         want = brute_force(train, r["key"], r["fold"] if r["split"] == "train" else None)
         for c, v in want.items():
-            assert got[r["unique_key"]][f"mix_loc_{c[:12]}"] == pytest.approx(v)
+            assert got[r["unique_key"]][f"mix_loc_{c}"] == pytest.approx(v)
 
 
 def test_mix_of_a_row_ignores_its_own_label(mixed, tiny):
