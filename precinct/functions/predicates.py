@@ -33,10 +33,6 @@ def in_window(ts: Column, low: str | None, high: str | None) -> Column:
     return keep
 
 
-def is_member(col: Column, values) -> Column:
-    return col.isin(*values)
-
-
 def blank_or_null(col: Column) -> Column:
     return col.isNull() | (F.btrim(col, F.lit(WHITE_SPACE)) == "")
 

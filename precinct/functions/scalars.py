@@ -55,18 +55,10 @@ def weekday0(ts: Column) -> Column:
     return F.weekday(ts)
 
 
-def date_part(part: str, ts: Column) -> Column:
-    return {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute}[part](ts)
-
-
 def to_day(ts: Column) -> Column:
     return F.to_date(ts)
 
 
-def fmt_ts(ts: Column, pattern: str) -> Column:
-    return F.date_format(ts, pattern)
-
-
 def cyclic(col: Column, period: int, offset: int = 0) -> tuple[Column, Column]:
     """Sine and cosine of a value on a circle of ``period`` steps."""
     angle = (col - F.lit(offset)).cast("double") * F.lit(2.0 * math.pi) / F.lit(float(period))
@@ -114,11 +106,6 @@ def argmax(array: Column) -> Column:
     return (F.array_position(array, F.array_max(array)) - 1).cast("int")
 
 
-def weighted_mean(values: Column, weights: Column) -> Column:
-    """Aggregate: weighted mean of a column."""
-    return F.sum(values * weights) / F.sum(weights)
-
-
 def vector_size(col: Column) -> Column:
     return F.size(vector_to_array(col))
 

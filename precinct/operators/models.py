@@ -9,8 +9,10 @@ from __future__ import annotations
 import itertools
 import json
 import time
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier,
@@ -73,10 +75,6 @@ def median_imputer(cols) -> Imputer:
     return Imputer(inputCols=list(cols), outputCols=list(cols), strategy="median")
 
 
-def zero_fill(df: DataFrame, cols) -> DataFrame:
-    return df.fillna(0, subset=list(cols))
-
-
 def fit_labels(train: DataFrame, target: str, by: str = "name") -> DataFrame:
     """Label table (class, ordinal label) by name or by frequency."""
     return settle({"name": label_by_name, "frequency": label_by_frequency}[by](train, target))
@@ -90,10 +88,6 @@ def attach_labels(df: DataFrame, labels: DataFrame, target: str, unseen: str = "
     return out
 
 
-def final_projection(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    return df.select(roles.id, roles.ts, roles.target, "label", "features")
-
-
 def split_summary(df: DataFrame) -> DataFrame:
     """Rows, vector sizes and missing labels per split."""
     size = F.size(vector_to_array("features"))
@@ -173,30 +167,41 @@ def fit_forest(train: DataFrame, classes: list[str], trees: int = 100, max_depth
                                          featureSubsetStrategy=features, **_common(weight)), train, classes)
 
 
+POOL = 4  # classes fitted at the same time
+
+
 def fit_boosted(train: DataFrame, classes: list[str], rounds: int = 100, max_depth: int = 5, rate: float = 0.1,
                 subsample: float = 0.8, columns: str = "0.8", min_leaf: int = 1, weight: str | None = None,
-                validation: DataFrame | None = None, tolerance: float = 0.01, max_bins: int = 32) -> Fitted:
-    """Boosted trees, one class against the rest.
+                validation: DataFrame | None = None, patience: int = 50, max_bins: int = 32, pool: int = POOL) -> Fitted:
+    """Boosted trees, one class against the rest, some classes at a time.
 
-    With validation rows, boosting of a class stops when its validation loss no longer
-    improves by ``tolerance``.
+    With validation rows the best round of each class is kept: boosting goes on until ``patience`` rounds bring no lower
+    validation loss (or ``rounds`` are done).  ``min_leaf`` bounds rows per leaf, not their second derivatives, and there
+    is no penalty on leaf values.
     """
-    rows, extra = train, {}
-    if validation is not None:
-        rows = (train.withColumn("__holdout", F.lit(False))
-                .unionByName(validation.withColumn("__holdout", F.lit(True)), allowMissingColumns=True))
-        extra = dict(validationIndicatorCol="__holdout", validationTol=tolerance)
-    if weight:
-        extra["weightCol"] = weight
-    start, models = time.perf_counter(), []
-    for i in range(len(classes)):
-        binary = rows.withColumn("__label", (F.col("label") == float(i)).cast("double"))
-        model = GBTClassifier(featuresCol="features", labelCol="__label", maxIter=rounds, maxDepth=max_depth, stepSize=rate,
-                              subsamplingRate=subsample, featureSubsetStrategy=columns, minInstancesPerNode=min_leaf,
-                              maxBins=max_bins, seed=SEED, **extra).fit(binary)
-        models.append(_quiet(model, i))
-    return Fitted(models, classes, seconds=time.perf_counter() - start,
-                  facts={"trees": [m.getNumTrees for m in models]})
+    def one(i: int) -> tuple[GBTClassificationModel, int]:
+        def fit(n: int) -> GBTClassificationModel:
+            binary = train.withColumn("__label", (F.col("label") == float(i)).cast("double"))
+            return GBTClassifier(featuresCol="features", labelCol="__label", maxIter=n, maxDepth=max_depth, stepSize=rate,
+                                 subsamplingRate=subsample, featureSubsetStrategy=columns, minInstancesPerNode=min_leaf,
+                                 maxBins=max_bins, seed=SEED, **({"weightCol": weight} if weight else {})).fit(binary)
+        if validation is None:
+            return fit(rounds), rounds
+        held = validation.withColumn("__label", (F.col("label") == float(i)).cast("double"))
+        tried = min(rounds, 2 * patience)
+        while True:
+            model = fit(tried)  # the seed makes the first rounds of a longer run equal to those of a shorter one
+            losses = model.evaluateEachIteration(held)
+            best = min(range(len(losses)), key=losses.__getitem__) + 1
+            if tried == rounds or best + patience <= tried:
+                return (model if best == tried else fit(best)), tried
+            tried = min(rounds, 2 * tried)
+
+    start = time.perf_counter()
+    with ThreadPoolExecutor(pool) as threads:
+        found = list(threads.map(inheritable_thread_target(train.sparkSession)(one), range(len(classes))))
+    return Fitted([_quiet(model, i) for i, (model, _) in enumerate(found)], classes, seconds=time.perf_counter() - start,
+                  facts={"best_round": [model.getNumTrees for model, _ in found], "rounds": [tried for _, tried in found]})
 
 
 def _quiet(model: GBTClassificationModel, i: int) -> GBTClassificationModel:
@@ -232,6 +237,24 @@ class FinalModel:
         rows = _final_inputs(df, self.frequencies, self.mix, None, self.roles)
         return self.fitted.transform(self.encoder.transform(rows))
 
+    def save(self, path: str) -> None:
+        """Write everything that scoring needs under ``path``."""
+        mix = self.mix
+        tables = {"mix": mix.table} | {f"frequency_{c}": t for c, t in self.frequencies.items()}
+        facts = dict(classes=mix.classes, prior=mix.prior, tags=mix.tags, folds=mix.folds, sizes=mix.sizes,
+                     frequencies=list(self.frequencies), roles=asdict(self.roles), fitted=self.fitted.facts)
+        save_state(mix.table.sparkSession, path, self.fitted, self.encoder, tables, facts)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "FinalModel":
+        fitted, encoder, tables, facts = load_state(spark, path)
+        for i, model in enumerate(fitted.models):
+            _quiet(model, i)
+        fitted.facts = facts["fitted"]
+        mix = MixTables(tables["mix"], facts["classes"], facts["prior"], facts["tags"], facts["folds"], facts["sizes"])
+        roles = Roles(**{k: tuple(v) if isinstance(v, list) else v for k, v in facts["roles"].items()})
+        return cls({c: tables[f"frequency_{c}"] for c in facts["frequencies"]}, mix, encoder, fitted, roles)
+
 
 def _final_inputs(df: DataFrame, shares: dict[str, DataFrame], mix: MixTables, in_training, roles: Roles) -> DataFrame:
     return add_mix_features(apply_frequencies(final_features(df, roles), shares), mix, in_training, roles)
@@ -335,6 +358,10 @@ def grid_points(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
+def _standing(row: dict) -> tuple:
+    return -row["macro_f1"], -row["weighted_f1"], row["training_seconds"], row["model"]
+
+
 def tune(train: DataFrame, validation: DataFrame, classes: list[str], target: str, experiment: str,
          baselines: dict[str, dict], grids: dict[str, dict] = GRIDS, families: int = 2
          ) -> tuple[DataFrame, dict[tuple[str, str], Fitted]]:
@@ -342,21 +369,23 @@ def tune(train: DataFrame, validation: DataFrame, classes: list[str], target: st
 
     Returns the result rows (one per candidate) and the fitted candidates; none is refitted.
     """
-    fitted, rows = {}, []
-    for name, params in baselines.items():
-        fitted[(name, "baseline")], row = run_candidate(name, "baseline", train, validation, classes, target, experiment, **params)
-        rows.append(row)
-    at = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
-    order = sorted((dict(zip(at, r)) for r in rows if dict(zip(at, r))["converged"]),
-                   key=lambda r: (-r["macro_f1"], -r["weighted_f1"], r["training_seconds"], r["model"]))
-    if len(order) < min(families, 2):
+    columns = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+    fitted: dict[tuple[str, str], Fitted] = {}
+
+    def evaluated(candidates: list[tuple[str, str, dict]]) -> list[dict]:
+        rows = []
+        for name, tag, params in candidates:
+            fitted[name, tag], row = run_candidate(name, tag, train, validation, classes, target, experiment, **params)
+            rows.append(dict(zip(columns, row)))
+        return rows
+
+    first = evaluated([(name, "baseline", params) for name, params in baselines.items()])
+    leading = sorted((row for row in first if row["converged"]), key=_standing)
+    if len(leading) < min(families, 2):
         raise RuntimeError("Tuning needs two baselines that converged")
-    for best in order[:families]:
-        for i, params in enumerate(grid_points(grids[best["model"]]), start=1):
-            key = (best["model"], f"tuned_{i:02d}")
-            fitted[key], row = run_candidate(*key, train, validation, classes, target, experiment, **params)
-            rows.append(row)
-    return train.sparkSession.createDataFrame(rows, RESULT_SCHEMA), fitted
+    second = evaluated([(row["model"], f"tuned_{i:02d}", params) for row in leading[:families]
+                        for i, params in enumerate(grid_points(grids[row["model"]]), start=1)])
+    return train.sparkSession.createDataFrame([tuple(r[c] for c in columns) for r in first + second], RESULT_SCHEMA), fitted
 
 
 def importance(fitted: Fitted, encoded: DataFrame, k: int = 15) -> DataFrame:
@@ -412,24 +441,35 @@ def _step_scores(pred: DataFrame, classes: list[str], weights: list[float], k: i
     return [r["f1"] for r in sorted(macro, key=lambda r: r["trial"])]
 
 
+@dataclass(frozen=True)
+class Ascent:
+    """State of the search for decision weights: the weights so far and the macro F1 they reach."""
+
+    weights: tuple[float, ...]
+    value: float
+
+    def step(self, rows: DataFrame, classes: list[str], k: int, tried: list[float], min_gain: float) -> "Ascent":
+        """The best of the tried weights of class ``k``, if it gains enough (the smallest among equals)."""
+        reached = self
+        for weight, value in zip(tried, _step_scores(rows, classes, list(self.weights), k, tried)):
+            if value > reached.value + min_gain:
+                reached = Ascent(self.weights[:k] + (weight,) + self.weights[k + 1:], value)
+        return reached
+
+
 def tune_class_weights(pred: DataFrame, classes: list[str], passes: int = PASSES, multipliers=MULTIPLIERS,
                        min_gain: float = MIN_GAIN) -> tuple[list[float], float]:
     """Per-class decision weights by coordinate ascent on macro F1.
 
-    ``pred`` holds ``actual`` and ``probability``; it is stored once, and every
-    coordinate step is one aggregate over it.
+    ``pred`` holds ``actual`` and ``probability``; it is stored once, and every coordinate step is one aggregate over
+    it.  The first pass tries the multipliers themselves, later ones multiples of the weight reached.
     """
-    rows = store(pred.select("actual", "probability"))
-    weights = [1.0] * len(classes)
-    best = _step_scores(rows, classes, weights, 0, [1.0])[0]
-    for it in range(passes):
-        for k in range(len(classes)):
-            tried = [weights[k] * g if it else g for g in sorted(multipliers)]
-            for w, value in zip(tried, _step_scores(rows, classes, weights, k, tried)):
-                if value > best + min_gain:
-                    best, chosen = value, w
-                    weights = [*weights[:k], chosen, *weights[k + 1:]]
-    return weights, best
+    rows, factors = store(pred.select("actual", "probability")), sorted(multipliers)
+    equal = [1.0] * len(classes)
+    state = Ascent(tuple(equal), _step_scores(rows, classes, equal, 0, [1.0])[0])
+    for number, k in itertools.product(range(passes), range(len(classes))):
+        state = state.step(rows, classes, k, [f * state.weights[k] if number else f for f in factors], min_gain)
+    return list(state.weights), state.value
 
 
 def apply_class_weights(pred: DataFrame, classes: list[str], weights: list[float]) -> DataFrame:

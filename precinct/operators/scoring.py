@@ -13,6 +13,8 @@ from precinct.schema import HIGH_SEVERITY, MODERATE_SEVERITY, severity
 # Minutes that share the weight not given to the full hour.
 OTHER_MINUTES = (10, 20, 30, 40, 50)
 LOW_CONFIDENCE = 0.4
+# Inputs of a request as resolved; ``date`` is the first matching time, also when the row has been expanded.
+RESOLVED = ("first_date", "location_description", "district", "community_area", "area_name", "dayOfWeek", "hourOfDay", "request_month", "request_year")
 
 
 def resolve_requests(requests: DataFrame, areas: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def resolve_requests(requests: DataFrame, areas: DataFrame) -> DataFrame:
     r = with_area(requests, areas, "communityArea")
     when = first_matching_date(F.col("year"), F.col("month"), weekday_number(F.col("dayOfWeek")), F.col("hourOfDay"))
     return r.select(
-        "request_id", when.alias("date"), F.col("locationDescription").alias("location_description"), "beat",
+        "request_id", when.alias("date"), when.alias("first_date"), F.col("locationDescription").alias("location_description"), "beat",
         F.coalesce("district", "area_district").alias("district"), "ward",
         F.col("communityArea").alias("community_area"), F.coalesce("latitude", "area_lat").alias("latitude"),
         F.coalesce("longitude", "area_lon").alias("longitude"), "domestic",
@@ -45,12 +47,24 @@ def expand_requests(resolved: DataFrame, on_hour_share: Column) -> DataFrame:
             .drop("__on_hour", "__dates", "__n", "__minute", "__date"))
 
 
-def average_probabilities(scored: DataFrame, classes: list[str], key: str = "request_id") -> DataFrame:
-    """Weighted mean probability per request: one conditional-free sum per class, no exploding of classes."""
+def average_probabilities(scored: DataFrame, classes: list[str], key: str = "request_id", keep=()) -> DataFrame:
+    """Weighted mean probability per request: one conditional-free sum per class, no exploding of classes.
+
+    ``keep`` names columns that are equal in all rows of a request and stay with it.  The weights of a request add up to
+    one; more than that means that two requests share an id, which is an error.
+    """
     sums = [(F.sum(F.col("probability")[i] * F.col("weight")) / F.sum("weight")).alias(f"p{i}")
             for i in range(len(classes))]
-    means = scored.groupBy(key).agg(*sums)
-    return means.select(key, F.array(*[F.col(f"p{i}") for i in range(len(classes))]).alias("probability"))
+    means = scored.groupBy(key).agg(*sums, *[F.first(c).alias(c) for c in keep], F.sum("weight").alias("__total"))
+    repeated = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string"))).cast(scored.schema[key].dataType)
+    return means.select(F.when(F.col("__total") > 1.5, repeated).otherwise(F.col(key)).alias(key), F.array(*[F.col(f"p{i}") for i in range(len(classes))]).alias("probability"), *keep)
+
+
+def averaged_over(day: Column, month: Column, year: Column, hour: Column) -> Column:
+    """The times a request's probabilities are averaged over, in words."""
+    name = F.date_format(F.make_date(F.lit(2000), month, F.lit(1)), "MMMM")
+    at = zero_pad(hour)
+    return F.concat(F.lit("every "), day, F.lit(" in "), name, F.lit(" "), year.cast("string"), F.lit(" at "), at, F.lit(":00-"), at, F.lit(":59"))
 
 
 def long_probabilities(averaged: DataFrame, classes: list[str], key: str = "request_id") -> DataFrame:
@@ -59,17 +73,21 @@ def long_probabilities(averaged: DataFrame, classes: list[str], key: str = "requ
             .select(key, names[F.col("i")].alias("category"), "p"))
 
 
-def summarise(averaged: DataFrame, resolved: DataFrame, classes: list[str], k: int = 5,
-              high=HIGH_SEVERITY, moderate=MODERATE_SEVERITY) -> DataFrame:
-    """Top classes with rounded probabilities, predicted class, confidence, severity, inputs as resolved."""
-    tops = top_probabilities(averaged, classes, k, keep=["request_id"])
+def summarise(averaged: DataFrame, classes: list[str], k: int = 5, high=HIGH_SEVERITY, moderate=MODERATE_SEVERITY,
+              model: str = "final") -> DataFrame:
+    """Top classes with rounded probabilities, predicted class, confidence, severity, and the inputs as resolved.
+
+    ``averaged`` carries the resolved inputs (RESOLVED), so that they are not worked out and joined a second time.
+    """
+    tops = top_probabilities(averaged, classes, k, keep=["request_id", *RESOLVED])
     rounded = F.transform("top", lambda t: F.struct(t["category"].alias("category"),
                                                     F.round(t["probability"], 3).alias("probability")))
-    answer = tops.select("request_id", rounded.alias("top"))
+    answer = tops.select("request_id", *RESOLVED, rounded.alias("top"))
     first = F.col("top")[0]
-    return (answer.withColumns({"predicted": first["category"], "confidence": first["probability"]})
-            .withColumn("severity", severity(F.col("predicted"), high, moderate))
-            .join(resolved, "request_id"))
+    return (answer.withColumns({"predicted": first["category"], "confidence": first["probability"], "model_name": F.lit(model)})
+            .withColumns({"severity": severity(F.col("predicted"), high, moderate),
+                          "area": F.concat("area_name", F.lit(" ("), F.col("community_area").cast("string"), F.lit(")")),
+                          "averaged_over": averaged_over(F.col("dayOfWeek"), F.col("request_month"), F.col("request_year"), F.col("hourOfDay"))}))
 
 
 def recommend(summary: DataFrame, low_confidence: float = LOW_CONFIDENCE) -> DataFrame:

@@ -1,10 +1,14 @@
 """Encoding and model queries over the incident view.
 
-The registered settings are lighter than the defaults of the operators, so that one
-run of all queries stays short; they use all rows.
+Settings are the operators' defaults, but for boosting and the search over grids: Spark's boosted trees take one job per
+level, round and class, so the default 2000 rounds don't end in a run of all queries (see README); ROUNDS says what is
+registered.  A fit is made once per session and table folder and serves every query that looks at it.
 """
 from __future__ import annotations
 
+import functools
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +18,37 @@ from precinct.operators.splits import time_split, with_split
 from precinct.plans.common import SPLIT, over, query, r6
 from precinct.plans.feature_queries import predictions
 from precinct.plans.quality_queries import AREA_GROUP, MEDIANS
-from precinct.plans.scoring_queries import expanded_requests
-from precinct.session import store
+from precinct.plans.scoring_queries import _resolved, expanded_requests
+from precinct.session import shared_path, store
 from precinct.sources.testviews import TRAIN_END, VALIDATION_END, incidents
 
 TARGET = "primary_type"
+_FITS: dict = {}
+ROUNDS, FINAL_ROUNDS, PATIENCE = 5, 8, 3
+
+
+def once(build):
+    """Keep what a fit returns for the session and the folder."""
+    @functools.wraps(build)
+    def kept(spark, folder):
+        key = (spark.sparkContext.applicationId, folder, build.__name__)
+        if key not in _FITS:
+            _FITS[key] = build(spark, folder)
+        return _FITS[key]
+    return kept
+
+
+SUPPORT = ("SELECT primary_type AS class, count(*) AS support, true AS probabilities_sum_to_one, true AS every_class_known "
+           "FROM sp WHERE split = '{}' GROUP BY 1")
+
+
+def facts(fitted, rows: DataFrame) -> DataFrame:
+    """Per true class: rows scored, whether each row's probabilities add up to one, whether each answer is a known class."""
+    scored = fitted.transform(rows)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    return scored.groupBy(F.col(TARGET).alias("class")).agg(
+        F.count("*").alias("support"), F.min(F.abs(total - 1) < 1e-6).alias("probabilities_sum_to_one"),
+        F.min(F.col("predicted").isin(*fitted.classes)).alias("every_class_known"))
 
 
 def encoded(spark, folder, scale: bool = False):
@@ -70,89 +100,194 @@ def preprocessing_metadata(spark, folder):
     return models.metadata(_split(made, "train"), medians, named)
 
 
+@once
+def logistic_regression_fit(spark, folder):
+    made, classes, encoder = encoded(spark, folder, scale=True)
+    return models.fit_logistic(store(_split(made, "train")), classes), made, encoder
+
+
 @query("logistic_regression")
 def logistic_regression(spark, folder):
-    made, classes, _ = encoded(spark, folder, scale=True)
-    return _validation_scores(models.fit_logistic(store(_split(made, "train")), classes, max_iter=50), made)
+    return _validation_scores(*logistic_regression_fit(spark, folder)[:2])
+
+
+@query("logistic_regression_facts", over(SUPPORT.format("validation"), sp=SPLIT))
+def logistic_regression_facts(spark, folder):
+    fitted, made, _ = logistic_regression_fit(spark, folder)
+    return facts(fitted, _split(made, "validation"))
+
+
+@once
+def decision_tree_fit(spark, folder):
+    made, classes, encoder = encoded(spark, folder)
+    return models.fit_tree(store(_split(made, "train")), classes), made, encoder
 
 
 @query("decision_tree")
 def decision_tree(spark, folder):
-    made, classes, _ = encoded(spark, folder)
-    return _validation_scores(models.fit_tree(store(_split(made, "train")), classes, max_depth=8), made)
+    return _validation_scores(*decision_tree_fit(spark, folder)[:2])
+
+
+@query("decision_tree_facts", over(SUPPORT.format("validation"), sp=SPLIT))
+def decision_tree_facts(spark, folder):
+    fitted, made, _ = decision_tree_fit(spark, folder)
+    return facts(fitted, _split(made, "validation"))
+
+
+@once
+def random_forest_fit(spark, folder):
+    made, classes, encoder = encoded(spark, folder)
+    return models.fit_forest(store(_split(made, "train")), classes), made, encoder
 
 
 @query("random_forest")
 def random_forest(spark, folder):
-    made, classes, _ = encoded(spark, folder)
-    return _validation_scores(models.fit_forest(store(_split(made, "train")), classes, trees=10, max_depth=6), made)
+    return _validation_scores(*random_forest_fit(spark, folder)[:2])
+
+
+@query("random_forest_facts", over(SUPPORT.format("validation"), sp=SPLIT))
+def random_forest_facts(spark, folder):
+    fitted, made, _ = random_forest_fit(spark, folder)
+    return facts(fitted, _split(made, "validation"))
+
+
+@once
+def interim_fit(spark, folder):
+    inc = incidents(spark, folder, spread=True)
+    medians = features.fit_medians(inc)
+    return *models.fit_interim(inc, medians), medians
 
 
 @query("interim_forest")
 def interim_forest(spark, folder):
-    inc = incidents(spark, folder, spread=True)
-    fitted, _, test = models.fit_interim(inc, features.fit_medians(inc), top=5, trees=5, max_depth=5)
+    fitted, _, test, _ = interim_fit(spark, folder)
     pred = fitted.transform(test).select(F.col(TARGET).alias("actual"), "predicted")
     return evaluation.per_class(evaluation.confusion(pred, fitted.classes))
 
 
+@once
+def boosted_fit(spark, folder):
+    made, classes, encoder = encoded(spark, folder)
+    return models.fit_boosted(store(_split(made, "train")), classes, rounds=ROUNDS), made, encoder
+
+
 @query("boosted_trees")
 def boosted_trees(spark, folder):
-    made, classes, _ = encoded(spark, folder)
-    return _validation_scores(models.fit_boosted(store(_split(made, "train")), classes, rounds=3, max_depth=3), made)
+    return _validation_scores(*boosted_fit(spark, folder)[:2])
+
+
+@query("boosted_trees_facts", over(SUPPORT.format("validation"), sp=SPLIT))
+def boosted_trees_facts(spark, folder):
+    fitted, made, _ = boosted_fit(spark, folder)
+    return facts(fitted, _split(made, "validation"))
 
 
+@once
 def final_model(spark, folder) -> models.FinalModel:
+    """Fitted, written, and read back: what is scored with is the saved model."""
     train, validation, _ = time_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
-    return models.fit_final_model(train, validation, rounds=3, max_depth=3)
+    path = shared_path(spark)
+    models.fit_final_model(train, validation, rounds=FINAL_ROUNDS, max_depth=4, patience=PATIENCE).save(path)
+    return models.FinalModel.load(spark, path)
+
+
+def _test(spark, folder) -> DataFrame:
+    return time_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)[2]
 
 
 @query("boosted_trees_final")
 def boosted_trees_final(spark, folder):
     model = final_model(spark, folder)
-    _, _, test = time_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
-    pred = model.transform(test).select(F.col(TARGET).alias("actual"), "predicted", "probability")
+    pred = model.transform(_test(spark, folder)).select(F.col(TARGET).alias("actual"), "predicted", "probability")
     return evaluation.topk_accuracy(pred, model.fitted.classes)
 
 
+@query("final_model_facts", over(SUPPORT.format("test"), sp=SPLIT))
+def final_model_facts(spark, folder):
+    model = final_model(spark, folder)
+
+    class Scorer:
+        classes, transform = model.fitted.classes, staticmethod(model.transform)
+    return facts(Scorer, _test(spark, folder))
+
+
+@query("final_model_rounds", over("SELECT DISTINCT primary_type AS class, true AS best_is_tried, true AS patience_kept FROM sp WHERE split = 'train'", sp=SPLIT))
+def final_model_rounds(spark, folder):
+    """Best round and rounds tried of each class: the patience follows the best one, unless the bound was reached."""
+    model = final_model(spark, folder)
+    known = model.fitted.facts
+    rows = [(c, 1 <= best <= tried, tried == FINAL_ROUNDS or tried - best >= PATIENCE)
+            for c, best, tried in zip(model.fitted.classes, known["best_round"], known["rounds"])]
+    return spark.createDataFrame(rows, "class string, best_is_tried boolean, patience_kept boolean")
+
+
+@query("previous_and_final")
+def previous_and_final(spark, folder):
+    """All metrics of the previous booster and of the final model on validation and test, the final one also with
+    decision weights tuned on validation and applied once to test."""
+    model, (previous, made, _) = final_model(spark, folder), boosted_fit(spark, folder)
+    _, validation, test = time_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
+    results = []
+
+    def measured(name: str, basis: str, pred: DataFrame, classes: list[str]) -> None:
+        cells = evaluation.confusion(pred.select("actual", "predicted"), classes)
+        top3 = evaluation.topk_accuracy(pred, classes).select("top3_accuracy").scalar().alias("top3_accuracy")
+        results.append(evaluation.overall(cells).select(F.lit(name).alias("model"), F.lit(basis).alias("basis"), *evaluation.METRICS, top3))
+
+    for basis, raw in (("validation", validation), ("test", test)):
+        measured("previous", basis, previous.transform(_split(made, basis)).withColumnRenamed(TARGET, "actual"), previous.classes)
+        scored = store(model.transform(raw).select(F.col(TARGET).alias("actual"), "predicted", "probability"))
+        measured("final", basis, scored, model.fitted.classes)
+        if basis == "validation":
+            weights, _ = models.tune_class_weights(scored, model.fitted.classes)
+        else:
+            measured("final weighted", basis, models.apply_class_weights(scored, model.fitted.classes, weights), model.fitted.classes)
+    return reduce(DataFrame.unionByName, results)
+
+
 @query("score_requests_final")
 def score_requests_final(spark, folder):
-    """Requests expanded over dates and minutes, scored by the final model, averaged per request."""
+    """Requests expanded over dates and minutes, scored by the saved final model, averaged per request."""
     model = final_model(spark, folder)
     scored = scoring.score(expanded_requests(spark, folder), model)
     return scoring.long_probabilities(scoring.average_probabilities(scored, model.fitted.classes), model.fitted.classes)
 
 
+@query("score_requests_interim")
+def score_requests_interim(spark, folder):
+    """Requests scored once each by the interim model."""
+    fitted, encoder, _, _ = interim_fit(spark, folder)
+    rows = scoring.interim_features(_resolved(spark, folder))
+    scored = fitted.transform(encoder.transform(rows)).select("request_id", "probability")
+    return scoring.long_probabilities(scored, fitted.classes)
+
+
 @query("tuned_selection")
 def tuned_selection(spark, folder):
     from precinct.operators.selection import rank_results
     made, classes, _ = encoded(spark, folder, scale=True)
     train, validation = store(models.balanced(_split(made, "train"), TARGET)), store(_split(made, "validation"))
-    grids = {"Logistic_Regression": {"c": [0.1], "weight": ["weight"], "max_iter": [20]},
-             "Decision_Tree": {"max_depth": [4], "min_leaf": [20], "weight": [None, "weight"]}}
-    results, _ = models.tune(train, validation, classes, TARGET, "view", grids=grids, baselines={
-        "Logistic_Regression": {"max_iter": 50}, "Decision_Tree": {"max_depth": 6}})
+    families = ("Logistic_Regression", "Decision_Tree")
+    results, _ = models.tune(train, validation, classes, TARGET, "view", baselines={name: {} for name in families})
     return rank_results(results)
 
 
 @query("class_decision_weights")
 def class_decision_weights(spark, folder):
     pred, classes = predictions(spark, folder, split="validation")
-    weights, best = models.tune_class_weights(pred, classes, passes=1)
+    weights, best = models.tune_class_weights(pred, classes)
     return spark.createDataFrame(list(zip(classes, weights)), "class string, weight double").withColumn(
         "validation_macro_f1", F.lit(best))
 
 
 @query("feature_importance")
 def feature_importance(spark, folder):
-    made, classes, _ = encoded(spark, folder)
-    fitted = models.fit_tree(store(_split(made, "train")), classes, max_depth=6)
+    fitted, made, _ = decision_tree_fit(spark, folder)
     return models.importance(fitted, made)
 
 
 @query("batch_prediction")
 def batch_prediction(spark, folder):
-    made, classes, encoder = encoded(spark, folder)
-    fitted = models.fit_tree(store(_split(made, "train")), classes, max_depth=6)
+    fitted, _, encoder = decision_tree_fit(spark, folder)
     train, _, test = time_split(incidents(spark, folder), TRAIN_END, VALIDATION_END)
     return models.predict_raw(test, fitted, encoder, features.fit_medians(train)).select("unique_key", "predicted")

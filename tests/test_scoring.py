@@ -31,8 +31,8 @@ def test_weights_of_a_request_sum_to_one(spark):
 def answer(spark, first, second):
     rows = scoring.expand_requests(resolved(spark), F.lit(0.4))
     p = F.when(F.minute("date") == 0, F.array(*[F.lit(x) for x in first])).otherwise(F.array(*[F.lit(x) for x in second]))
-    averaged = scoring.average_probabilities(rows.withColumn("probability", p), CLASSES)
-    return scoring.summarise(averaged, resolved(spark), CLASSES)
+    averaged = scoring.average_probabilities(rows.withColumn("probability", p), CLASSES, keep=scoring.RESOLVED)
+    return scoring.summarise(averaged, CLASSES)
 
 
 def test_average_summary_and_advice(spark):
@@ -56,3 +56,14 @@ def test_scoring_is_deterministic(spark):
 def test_interim_inputs(spark):
     row = scoring.interim_features(resolved(spark)).first()
     assert (row["ward"], row["beat"], row["is_weekend"]) == (0, 711, 1)
+
+
+def test_two_requests_with_one_id_are_an_error(spark):
+    rows = scoring.expand_requests(resolved(spark).unionAll(resolved(spark)), F.lit(0.4)).withColumn("probability", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    with pytest.raises(Exception, match="request_id is not unique"):
+        scoring.average_probabilities(rows, CLASSES).collect()
+
+
+def test_times_in_words(spark):
+    row = answer(spark, (1.0, 0.0, 0.0), (1.0, 0.0, 0.0)).first()
+    assert row["averaged_over"].startswith("every Saturday in July 2026 at 23:00-23:59") and row["model_name"] == "final" and row["area"].endswith(")")
