@@ -1,7 +1,7 @@
 """Toxicity by a lexicon met through Levenshtein automata, weighed by the words around each hit.
 
 The lexicon is learned: words that labelled toxic documents hold clearly more often than others, with a few general ones
-to begin with.  Its trie is intersected with Levenshtein automata (no edit for words of up to 4 letters, one up to 8,
+to begin with.  Its trie is intersected with Levenshtein automata (no edit for words of up to 4 letters, one up to 11,
 two beyond) into one deterministic automaton, which all words of all texts run through together, a letter a step; most end
 after two or three letters.  Around each hit a window of words tells quotation (quotation marks, verbs of reporting)
 from abuse (second person, further hits).  A logistic model turns a document's sums into a score.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.llm.common import map_texts, remainder, texts
+from precinct.llm.simhash import shingle_hashes
 from precinct.session import store
 
 # General terms of abuse that the lexicon starts with, and words of the windows.
@@ -25,7 +26,7 @@ SECOND_PERSON = frozenset("you your yours u ur du dich dir dein deine ihr euch t
 QUOTES = frozenset("\"'«»„“”‘’‹›")
 
 SAMPLE = 32768  # labelled rows that lexicon and model are learned from at most
-SUPPORT, LEAST = 3, 1.2  # toxic documents a word must stand in; lower bound of its log ratio
+SUPPORT, LEAST, ERRORS = 4, 1.2, 2.0  # toxic documents a word must stand in; log ratio it must exceed by so many standard errors
 SEED_WEIGHT = 2.0
 WINDOW = 5
 FEATURES = 12
@@ -33,7 +34,7 @@ OTHER = 1  # class of letters in no term; 0 is not a letter
 
 
 def allowed(term: str) -> int:
-    return 0 if len(term) <= 4 else 1 if len(term) <= 8 else 2
+    return 0 if len(term) <= 4 else 1 if len(term) <= 11 else 2
 
 
 def _letters() -> np.ndarray:
@@ -81,11 +82,12 @@ class Automaton:
                     if e <= most[child] and e < state.get(child, 99):
                         state[child] = e
                         queue.append(child)
-            return tuple(sorted(state.items()))
+            return tuple(sorted(node * 4 + e for node, e in state.items()))
 
         def step(state: tuple, c: str | None) -> tuple:
             new: dict[int, int] = {}
-            for node, e in state:
+            for coded in state:
+                node, e = coded >> 2, coded & 3
                 for letter, child in children[node].items():
                     cost = e + (letter != c)
                     if cost <= most[child] and cost < new.get(child, 99):
@@ -99,7 +101,7 @@ class Automaton:
         while queue:
             state = queue.pop()
             row = np.zeros(width, np.int32)
-            relevant = {c for node, _ in state for c in children[node]}
+            relevant = {c for coded in state for c in children[coded >> 2]}
             for c in [None, *sorted(relevant)]:
                 after = step(state, c)
                 if after not in seen:
@@ -114,7 +116,7 @@ class Automaton:
         self.table = np.stack(rows)
         self.term, self.edits = np.full(len(rows), -1, np.int32), np.zeros(len(rows), np.int32)
         for state, number in seen.items():
-            ends = [(e, word[node]) for node, e in state if word[node] >= 0 and e <= allowed(terms[word[node]])]
+            ends = [(s & 3, word[s >> 2]) for s in state if word[s >> 2] >= 0 and s & 3 <= allowed(terms[word[s >> 2]])]
             if ends:
                 self.edits[number], self.term[number] = min(ends)
 
@@ -191,7 +193,7 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) -> Lexic
     for word, t, o in counts:
         if t >= SUPPORT:
             ratio = np.log((t + 0.5) / (toxic + 1)) - np.log((o + 0.5) / (other + 1))
-            if ratio - 1.5 * np.sqrt(1 / t + 1 / (o + 1)) >= LEAST:
+            if ratio - ERRORS * np.sqrt(1 / t + 1 / (o + 1)) >= LEAST:
                 weights[word] = float(ratio)
     return Lexicon(weights)
 
@@ -228,14 +230,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) ->
     """Learn from at most ``sample`` labelled rows, chosen by a hash of the id.
 
     The model's features of each half of the sample come from a lexicon of the other half, so that words that are in the
-    lexicon by chance don't look better than they are.  Rows with a null id or label, and ids that are not in ``docs``,
+    lexicon by chance don't look better than they are.  Of sampled documents that share the smallest hash of their
+    three-word shingles (copies, mostly) and the label, one is learned from: words of a copied document are no evidence of their own.  Rows with a null id or label, and ids that are not in ``docs``,
     play no part.
     """
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
               .groupBy("doc_id").agg((F.max("label") >= 0.5).cast("int").alias("label")))
     there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     ids = chosen.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = store(texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", (F.xxhash64(F.col("doc_id") + 1) % 2 == 0).cast("int").alias("half")))
+
+    def shown(batch: pa.RecordBatch) -> dict:
+        copy = [min(shingle_hashes(t, 3), default=0) >> 1 for t in batch.column(1).to_pylist()]
+        return {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | {"copy": copy}
+
+    half = (F.xxhash64(F.col("doc_id") + 1) % 2 == 0).cast("int").alias("half")
+    sampled = store(map_texts(texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", half), shown,
+                              "doc_id long, text string, label int, half int, copy long"))
+    first = sampled.groupBy("copy", "label").agg(F.min("doc_id").alias("doc_id"))
+    rows = store(sampled.join(first, ["copy", "label", "doc_id"]).select("doc_id", "text", "label", "half"))
     size = {(r.half, r.label): r.n for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
 
     def count(batch: pa.RecordBatch) -> dict:
