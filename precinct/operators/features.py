@@ -255,7 +255,7 @@ def attach_mix(df: DataFrame, mix: MixTables, keys: dict[str, Column], fold: Col
         part = mix.table.filter(F.col("tag") == tag).select(
             F.col("mix_key").alias(f"__k_{tag}"), F.col("fold").alias("__fold"),
             *[F.col("mix")[i].alias(mix_column(tag, i)) for i in width])
-        out = out.join(broadcast_if_small(part, rows=mix.sizes.get(tag, 0)), [f"__k_{tag}", "__fold"], "left")
+        out = out.join(broadcast_if_small(part, row_bytes=64 + 8 * len(mix.classes), rows=mix.sizes.get(tag, 0)), [f"__k_{tag}", "__fold"], "left")
     shares = [F.coalesce(F.col(mix_column(t, i)), F.lit(mix.prior[i])).alias(mix_column(t, i)) for t in keys for i in width]
     return out.select(*df.columns, *shares)
 

@@ -7,15 +7,15 @@ leaves the join to AQE (sort-merge with skew splitting) when it is too large.
 """
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows allowed on a hinted broadcast side.  The widest side we ever hint holds a
-# short key and an array of twelve doubles (about 160 bytes): 32 MB at this bound.
-BROADCAST_ROWS = 200_000
+# Bytes allowed on a hinted broadcast side: counted rows times a width that the caller states (a key and a few numbers by default).
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 160
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,7 +48,7 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
+    elif re.fullmatch(r"local(\[[^]]*\])?", context.master):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="precinct-checkpoint-"))
     else:
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
@@ -80,8 +80,9 @@ def store(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+def broadcast_if_small(table: DataFrame, row_bytes: int = ROW_BYTES, rows: int | None = None) -> DataFrame:
     """Hint a broadcast after counting a settled table; otherwise leave it to AQE."""
-    if (table.limit(max_rows + 1).count() if rows is None else rows) <= max_rows:
+    most = BROADCAST_BYTES // row_bytes
+    if (table.limit(most + 1).count() if rows is None else rows) <= most:
         return F.broadcast(table)
     return table

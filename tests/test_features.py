@@ -110,3 +110,12 @@ def test_unseen_key_gets_the_prior_without_broadcast_too(spark, mixed):
 def test_midnight_share(tiny):
     rows = features.midnight_share(tiny, k=2).collect()
     assert [(r[0], r[1]) for r in rows] == [("ROBBERY", 1.0), ("THEFT", pytest.approx(1 / 6))]
+
+
+def test_classes_with_a_common_beginning_keep_their_columns(spark):
+    rows = spark.createDataFrame([(i, "NON-CRIMINAL" + (" (SUBJECT SPECIFIED)" if i % 3 else ""), "HOME") for i in range(30)],
+                                 "unique_key long, primary_type string, location_description string")
+    mix = features.fit_mix(rows, {"loc": F.col("location_description")})
+    made = features.add_mix_features(rows, mix, None, keys={"loc": F.col("location_description")})
+    columns = [c for c in made.columns if c.startswith("mix_loc_")]
+    assert len(set(columns)) == 2 and made.select(*columns).count() == 30

@@ -68,3 +68,10 @@ def test_formats(spark):
     got = one(spark, scalars.fmt_count(F.lit(662472)), scalars.fmt_pct(F.lit(0.1234)), scalars.zero_pad(F.lit(7)),
               scalars.title(F.lit("MOTOR VEHICLE THEFT")), scalars.prefix(F.lit("CRIMINAL DAMAGE"), 12))
     assert tuple(got) == ("662,472", "12.3%", "07", "Motor Vehicle Theft", "CRIMINAL DAM")
+
+
+def test_dirty_codes_flags_and_white_space(spark):
+    from precinct.functions import predicates
+    nan = F.lit("nan")
+    assert one(spark, scalars.code_text(nan), scalars.code_text(F.lit("1e30")), scalars.code_text(F.lit(" 12.0 ")))[:2] == ("Unknown", "Unknown")
+    assert one(spark, scalars.norm_text(F.lit("\tshop \xa0\n")), predicates.blank_or_null(F.lit("\t\x0b")), scalars.not_nan(F.lit(float("nan")))) == ("SHOP", True, None)

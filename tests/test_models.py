@@ -70,8 +70,9 @@ def test_convergence_flag(made):
 
 
 def test_early_stopping_needs_fewer_trees(made):
-    fitted = models.fit_boosted(train_of(made), made[1], rounds=12, max_depth=2, validation=made[0].filter("split = 'validation'"))
-    assert all(n <= 12 for n in fitted.facts["trees"]) and min(fitted.facts["trees"]) < 12
+    fitted = models.fit_boosted(train_of(made), made[1], rounds=12, max_depth=2, validation=made[0].filter("split = 'validation'"), patience=3)
+    assert [m.getNumTrees for m in fitted.models] == fitted.facts["best_round"]
+    assert all(1 <= best <= tried and (tried == 12 or tried - best >= 3) for best, tried in zip(fitted.facts["best_round"], fitted.facts["rounds"]))
 
 
 def test_importance_names_features(made):

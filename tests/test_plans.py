@@ -8,19 +8,21 @@ from precinct.functions.predicates import in_window
 from precinct.operators import relational as rel
 from precinct.operators.splits import time_split
 from precinct.plans import quality_queries
+from precinct.plans.registry import ORACLES, QUERIES
 from precinct.sources.testviews import load
 from conftest import SF
 from pyspark.sql import functions as F
 
 MODELS = {"logistic_regression", "decision_tree", "random_forest", "interim_forest", "boosted_trees", "boosted_trees_final",
-          "score_requests_final", "tuned_selection", "class_decision_weights", "feature_importance", "batch_prediction"}
+          "score_requests_final", "tuned_selection", "class_decision_weights", "feature_importance", "batch_prediction", "previous_and_final", "score_requests_interim"}
 EVERY = os.environ.get("ALL_ORACLES")
 SAMPLE = ["missing_profile", "cardinality", "duplicate_profile", "repeated_key_rows", "validity_checks", "clean_dedup",
           "quartiles_exact", "snapshot_digest", "class_distribution", "class_imbalance", "matched_calendar_window",
           "month_counts", "weekday_exposure", "daily_iqr_flags_events", "sparse_groups", "density_grid", "category_mix_all",
           "zone_mix", "findings", "overview", "trend_grid", "area_profile_top3", "time_split_coverage", "stratified_split",
           "mix_features_all", "overall_with_unseen", "topk_accuracy", "select_winner", "validate_requests", "expand_requests",
-          "score_summary", "encode_assemble"]
+          "score_summary", "encode_assemble", "csv_round_trip", "overlapping_parts", "resolved_source", "catalog_listing", "described_schema",
+          "saved_and_stored", "decision_tree_facts"]
 
 
 def plan(df):
@@ -28,9 +30,9 @@ def plan(df):
 
 
 def test_contract_is_consistent():
-    queries, oracles = contract.queries(), contract.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) > 130
-    assert set(queries) - set(oracles) <= MODELS | {"approx_distinct_review", "approx_quartiles", "run_manifest"}
+    assert set(contract.oracle_sql()) <= set(contract.queries()) and len(contract.queries()) > 150
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(QUERIES) - set(ORACLES) <= MODELS | {"approx_distinct_review", "approx_quartiles", "run_manifest"}
 
 
 def test_entry_has_rows_and_a_schema(spark):
@@ -44,14 +46,15 @@ def engine():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()) if EVERY else SAMPLE)
+@pytest.mark.parametrize("name", sorted(ORACLES) if EVERY else SAMPLE)
 def test_query_equals_its_sql(spark, engine, name):
     from oracle import compare
     assert compare(spark, engine, name, contract.queries()[name], contract.oracle_sql()[name], SF) is None
 
 
 @pytest.mark.parametrize("name", ["missing_profile", "class_distribution", "month_counts", "hotspots", "category_mix_all", "confusion",
-                                  "mix_features_all", "average_probabilities", "repeated_key_rows", "zone_mix", "per_class_metrics"])
+                                  "mix_features_all", "average_probabilities", "repeated_key_rows", "zone_mix", "per_class_metrics",
+                                  "select_winner", "score_summary", "recommendations", "class_imbalance", "csv_round_trip", "valid_requests", "findings"])
 def test_plans_hold_no_cross_join_and_no_python(spark, name):
     text = plan(contract.queries()[name](spark, SF))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|ArrowEvalPython|BatchEvalPython|FlatMapGroups", text)

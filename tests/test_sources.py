@@ -75,3 +75,30 @@ def test_digest_ignores_order_and_counts_copies(tiny):
 
 def test_preview(tiny):
     assert tables.preview(tiny, 3).count() == 3
+
+
+def test_csv_is_bound_by_name_and_keeps_quotes(spark, tmp_path):
+    folder = tmp_path / "turned"
+    folder.mkdir()
+    (folder / "part.csv").write_text('v,extra,id\n"SAY ""HI"", THEN",x,7\n')
+    schema = spark.createDataFrame([], "id long, v string").schema
+    assert rows_of(tables.read_incidents_csv(spark, str(folder), schema)) == [(7, 'SAY "HI", THEN')]
+    (folder / "other.csv").write_text("id,extra,v\n8,y,b\n")
+    with pytest.raises(Exception):
+        tables.read_incidents_csv(spark, str(folder), schema).collect()
+    with pytest.raises(ValueError, match="lacks the columns"):
+        tables.read_incidents_csv(spark, str(folder), spark.createDataFrame([], "id long, w string").schema)
+
+
+def test_bad_records_are_errors(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("id,v\nseven,a\n")
+    with pytest.raises(Exception):
+        tables.read_incidents_csv(spark, str(tmp_path / "bad.csv"), spark.createDataFrame([], "id long, v string").schema).collect()
+
+
+def test_latest_version_lists_folders(spark, tmp_path):
+    root = str(tmp_path / "versions")
+    assert tables.latest_version(spark, root) is None
+    assert [tables.write_snapshot(spark.range(n), root) for n in (1, 2, 3)] == [1, 2, 3]
+    (tmp_path / "versions" / "v=note").mkdir()
+    assert tables.latest_version(spark, root) == 3 and tables.read_snapshot(spark, root)[0].count() == 3
