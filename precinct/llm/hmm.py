@@ -34,6 +34,7 @@ FREQUENT = 2.0**-20
 SMOOTH = 0.1
 COUNTED = 300_000  # different words a task holds before it hands on their counts
 TOKENS = 2_000_000  # tokens of the sequences that one recursion runs over together
+LEVELS = (1024, 4096)  # lengths from which sequences are grouped apart
 SEQUENCE = 1 << 20  # in learning, longer sequences are taken in parts of this length
 
 
@@ -169,49 +170,60 @@ class Model:
         return out
 
     def expected(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Expected counts of starts, moves and emissions, by scaled forward and backward recursions."""
+        """Expected counts of starts, moves and emissions, by scaled forward and backward recursions (in single precision).
+
+        Columns are sequences, so that a step reads and writes whole rows; what a step needs of the emissions is looked up
+        once for all steps, for a block of them at a time.
+        """
         k, m = self.emit.shape
         flat, _, starts, reach = self._steps(sequences)
-        emit = np.ascontiguousarray(self.emit.T)
         offsets = np.concatenate([[0], np.cumsum(reach)])
-        alpha, scale = np.empty((len(flat), k), np.float32), np.empty(len(flat), np.float32)
         symbols = np.empty(len(flat), np.int64)
-        a = None
+        for t, n in enumerate(reach):
+            np.take(flat, starts[:n] + t, out=symbols[offsets[t]:offsets[t] + n])
+        emit, move = self.emit.astype(np.float32), np.ascontiguousarray(self.move.astype(np.float32))
+        emitting = emit[:, symbols]
+        alpha, a = np.empty((k, len(flat)), np.float32), None
+        scale, into = np.empty(len(flat), np.float32), np.ascontiguousarray(move.T)
         for t, n in enumerate(reach):
             here = slice(offsets[t], offsets[t] + n)
-            symbols[here] = flat[starts[:n] + t]
-            b = emit[symbols[here]]
-            a = self.initial * b if t == 0 else (a[:n] @ self.move) * b
-            c = a.sum(axis=1)
-            a = a / c[:, None]
-            alpha[here], scale[here] = a, c
-        moves = np.zeros((k, k))
-        back, beta = np.ascontiguousarray(self.move.T), np.ones((reach[-1], k))
+            a = (self.initial[:, None].astype(np.float32) if t == 0 else into @ a[:, :n]) * emitting[:, here]
+            c = a.sum(axis=0)
+            a /= c
+            alpha[:, here], scale[here] = a, c
+        emitting /= scale
+        moves, beta = np.zeros((k, k)), np.ones((k, reach[-1]), np.float32)
         for t in range(len(reach) - 2, -1, -1):
-            n, later = reach[t], slice(offsets[t + 1], offsets[t + 2])
-            w = emit[symbols[later]] * beta / scale[later][:, None]
-            moves += alpha[offsets[t]:offsets[t] + reach[t + 1]].T.astype(float) @ w
-            alpha[later] *= beta  # from here on the share of each state
-            beta = np.ones((n, k))
-            beta[:reach[t + 1]] = w @ back
-        alpha[:reach[0]] *= beta
-        emitted = np.stack([np.bincount(symbols, alpha[:, j], m) for j in range(k)])
-        return np.concatenate([alpha[:reach[0]].sum(axis=0, dtype=float), (moves * self.move).ravel(), emitted.ravel()])
+            n, after = reach[t], reach[t + 1]
+            later = slice(offsets[t + 1], offsets[t + 1] + after)
+            w = emitting[:, later] * beta
+            moves += alpha[:, offsets[t]:offsets[t] + after] @ w.T
+            alpha[:, later] *= beta  # from here on the share of each state
+            beta = np.ones((k, n), np.float32)
+            np.matmul(move, w, out=beta[:, :after])
+        alpha[:, :reach[0]] *= beta
+        emitted = np.stack([np.bincount(symbols, alpha[j], m) for j in range(k)])
+        return np.concatenate([alpha[:, :reach[0]].sum(axis=1, dtype=float), (moves * self.move).ravel(), emitted.ravel()])
 
 
 def _grouped(batches):
-    """Rows of the batches (key, symbols) in groups of about TOKENS tokens."""
-    keys, held, size = [], [], 0
+    """Rows of the batches (key, symbols) in groups of about TOKENS tokens.
+
+    Sequences of like length go together: a recursion takes as many steps as its longest sequence is long.
+    """
+    groups = {level: ([], []) for level in range(len(LEVELS) + 1)}
+    sizes = dict.fromkeys(groups, 0)
     for batch in batches:
         for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            keys.append(key)
-            held.append(np.frombuffer(raw.as_buffer(), np.uint16).copy())
-            size += len(held[-1])
-            if size >= TOKENS:
-                yield keys, held
-                keys, held, size = [], [], 0
-    if held:
-        yield keys, held
+            symbols = np.frombuffer(raw.as_buffer(), np.uint16).copy()
+            level = sum(len(symbols) >= least for least in LEVELS)
+            groups[level][0].append(key)
+            groups[level][1].append(symbols)
+            sizes[level] += len(symbols)
+            if sizes[level] >= TOKENS:
+                yield groups[level]
+                groups[level], sizes[level] = ([], []), 0
+    yield from (group for group in groups.values() if group[0])
 
 
 def one_round(sequences: DataFrame, model: Model) -> Model:
