@@ -82,15 +82,13 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
     patterns = exact_patterns(np.flatnonzero(left), capacity)
     if len(patterns):
         x = non_negative_fit(patterns, left)
-        for rounding in (True, False):  # first as fitted, then whatever still fits exactly
-            for i in np.argsort(-x, kind="stable").tolist():
-                need = Counter(k for k in patterns[i].tolist() if k)
-                n = min(int(left[k]) // m for k, m in need.items())
-                n = min(n, max(1, int(round(x[i])))) if rounding else n
-                if n:
-                    plan.append((tuple(need.elements()), n))
-                    for k, m in need.items():
-                        left[k] -= n * m
+        for i in np.argsort(-x, kind="stable").tolist():
+            need = Counter(k for k in patterns[i].tolist() if k)
+            n = min(int(round(x[i])), *(int(left[k]) // m for k, m in need.items()))
+            if n:
+                plan.append((tuple(need.elements()), n))
+                for k, m in need.items():
+                    left[k] -= n * m
     return plan + best_fit(left, capacity)
 
 

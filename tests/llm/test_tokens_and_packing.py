@@ -102,13 +102,23 @@ def test_plans_use_every_length_and_little_room(seed, lengths):
         for length in pattern:
             used[length] += n
     assert used == histogram
-    n, least = sum(n for _, n in plan), -(-int(drawn.sum()) // 1024)
-    if lengths == "long":  # above half: at most one or two to a sequence
-        assert n <= 0.62 * len(drawn)
-    elif lengths == "one":
-        assert n == 334
-    else:
-        assert n <= 1.004 * least
+    n = sum(n for _, n in plan)
+    assert n <= 1.002 * one_by_one(drawn, 1024) + 1
+    if lengths in ("uniform", "short"):
+        assert n <= 1.004 * -(-int(drawn.sum()) // 1024)
+
+
+def one_by_one(drawn, capacity):
+    """Sequences of best-fit decreasing, piece by piece."""
+    spaces, n = collections.Counter(), 0
+    for length in sorted(drawn.tolist(), reverse=True):
+        space = next((s for s in range(length, capacity) if spaces[s]), None)
+        if space is None:
+            space, n = capacity, n + 1
+        else:
+            spaces[space] -= 1
+        spaces[space - length] += 1
+    return n
 
 
 def test_fit_is_non_negative_and_near():
