@@ -25,7 +25,7 @@ from precinct.llm.common import file_system, map_arrow, pieces, texts
 # differs from the tokenizer's own classes only on the characters in ODD, and texts that hold one go to the tokenizer whole.
 CUT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85²³¹¼½¾ɐ-\U0010ffff]")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 
 
 class Encoder:
