@@ -1,13 +1,15 @@
 """Toxicity by a lexicon met through Levenshtein automata, weighed by the words around each hit.
 
 The lexicon is learned: words that labelled toxic documents hold clearly more often than others, with a few general ones
-to begin with.  Its trie is intersected with Levenshtein automata (no edit for words of up to 4 letters, one up to 11,
-two beyond) into one deterministic automaton, which all words of all texts run through together, a letter a step; most end
-after two or three letters.  Around each hit a window of words tells quotation (quotation marks, verbs of reporting)
+to begin with.  Its trie is intersected with Levenshtein automata (no edit for words of up to 4 letters, one up to 8,
+two beyond) into one deterministic automaton, whose states are made when a word first asks for them; all words of all texts
+run through it together, a letter a step.  Around each hit a window of words tells quotation (quotation marks, verbs of reporting)
 from abuse (second person, further hits).  A logistic model turns a document's sums into a score.
 """
 from __future__ import annotations
 
+import functools
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -26,114 +28,171 @@ SECOND_PERSON = frozenset("you your yours u ur du dich dir dein deine ihr euch t
 QUOTES = frozenset("\"'«»„“”‘’‹›")
 
 SAMPLE = 32768  # labelled rows that lexicon and model are learned from at most
-SUPPORT, LEAST, ERRORS = 4, 1.2, 2.0  # toxic documents a word must stand in; log ratio it must exceed by so many standard errors
+SUPPORT, LEAST, ERRORS = 3, 1.2, 1.5  # toxic documents a word must stand in; log ratio it must exceed by so many standard errors
 SEED_WEIGHT = 2.0
 WINDOW = 5
 FEATURES = 12
 OTHER = 1  # class of letters in no term; 0 is not a letter
+MEMORY, WORDS, BATCH = 96 << 20, 16384, 1 << 16  # bytes of automaton states kept in a worker, words run together, set members stepped together
 
 
 def allowed(term: str) -> int:
-    return 0 if len(term) <= 4 else 1 if len(term) <= 11 else 2
+    return 0 if len(term) <= 4 else 1 if len(term) <= 8 else 2
 
 
+@functools.cache
 def _letters() -> np.ndarray:
-    table = np.zeros(0x3000, bool)
-    table[[c for c in range(0x3000) if chr(c).isalnum()]] = True
-    return table
+    """Which code points are letters or digits of words, as ``_words`` sees them."""
+    return np.fromiter((c >= 0x3000 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
-LETTERS = _letters()
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of several runs of the given sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class Automaton:
-    """Trie of the lexicon x Levenshtein automata, made deterministic.  ``term[state]`` is the nearest term accepted there or -1."""
+    """Trie of the lexicon x Levenshtein automata, made deterministic state by state as words ask for it.
+
+    A state is the set of trie nodes reachable, each with its least number of edits.  States and steps met are kept in the
+    worker; beyond ``MEMORY`` bytes all are forgotten and made again.  What is sent to the workers is the terms alone.
+    """
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        children, word, most = [{}], [-1], [0]
-        for number, term in enumerate(terms):
-            node = 0
-            for c in term:
-                if c not in children[node]:
-                    children[node][c] = len(children)
-                    children.append({})
-                    word.append(-1)
-                    most.append(0)
-                most[node] = max(most[node], allowed(term))
-                node = children[node][c]
-            most[node] = max(most[node], allowed(term))
-            word[node] = number
-        alphabet = sorted({c for t in terms for c in t})
-        self.classes = np.zeros(0x3000, np.int32)
-        self.classes[LETTERS] = OTHER
-        for i, c in enumerate(alphabet):
-            self.classes[ord(c)] = i + 2
+        self.ready = False
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "ready": False}
+
+    def _prepare(self) -> None:
+        """Trie with nodes numbered breadth first, so that a node's children follow each other."""
+        alphabet = sorted({c for t in self.terms for c in t})
         number_of = {c: i + 2 for i, c in enumerate(alphabet)}
-        width = len(alphabet) + 2
-
-        def closed(state: dict[int, int]) -> tuple:
-            """Add what is reached by leaving out letters of a term."""
-            queue = list(state)
-            while queue:
-                node = queue.pop()
-                for child in children[node].values():
-                    e = state[node] + 1
-                    if e <= most[child] and e < state.get(child, 99):
-                        state[child] = e
-                        queue.append(child)
-            return tuple(sorted(node * 4 + e for node, e in state.items()))
-
-        def step(state: tuple, c: str | None) -> tuple:
-            new: dict[int, int] = {}
-            for coded in state:
-                node, e = coded >> 2, coded & 3
-                for letter, child in children[node].items():
-                    cost = e + (letter != c)
-                    if cost <= most[child] and cost < new.get(child, 99):
-                        new[child] = cost
-                if e + 1 <= most[node] and e + 1 < new.get(node, 99):
-                    new[node] = e + 1
-            return closed(new)
-
-        start = closed({0: 0})
-        seen, rows, queue = {(): 0, start: 1}, [np.zeros(width, np.int32), None], [start]
-        while queue:
-            state = queue.pop()
-            row = np.zeros(width, np.int32)
-            relevant = {c for coded in state for c in children[coded >> 2]}
-            for c in [None, *sorted(relevant)]:
-                after = step(state, c)
-                if after not in seen:
-                    seen[after] = len(rows)
-                    rows.append(None)
-                    queue.append(after)
-                if c is None:
-                    row[OTHER:] = seen[after]
-                else:
-                    row[number_of[c]] = seen[after]
-            rows[seen[state]] = row
-        self.table = np.stack(rows)
-        self.term, self.edits = np.full(len(rows), -1, np.int32), np.zeros(len(rows), np.int32)
-        for state, number in seen.items():
-            ends = [(s & 3, word[s >> 2]) for s in state if word[s >> 2] >= 0 and s & 3 <= allowed(terms[word[s >> 2]])]
-            if ends:
-                self.edits[number], self.term[number] = min(ends)
+        self._classes = _letters().astype(np.int32) * OTHER
+        self._classes[[ord(c) for c in alphabet]] = np.arange(2, len(alphabet) + 2)
+        self.width = len(alphabet) + 2
+        first, count, letter, most, word = [], [], [0], [0], [-1]
+        level, node = [sorted(range(len(self.terms)), key=self.terms.__getitem__)], 0
+        depth = 0
+        while level:
+            below = []
+            for members in level:
+                most[node] = max((allowed(self.terms[i]) for i in members), default=0)
+                first.append(len(letter))
+                for c, group in itertools.groupby((i for i in members if len(self.terms[i]) > depth), key=lambda i: self.terms[i][depth]):
+                    group = list(group)
+                    letter.append(number_of[c])
+                    most.append(0)
+                    word.append(next((i for i in group if len(self.terms[i]) == depth + 1), -1))
+                    below.append(group)
+                count.append(len(letter) - first[-1])
+                node += 1
+            level, depth = below, depth + 1
+        self.first, self.count, self.letter, self.most, self.word = (np.array(x, np.int64) for x in (first, count, letter, most, word))
+        self.own = np.array([allowed(self.terms[i]) if i >= 0 else -1 for i in word], np.int64)
+        self.ready = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table = np.full((1024, self.width), -1, np.int32)
+        self.term, self.edits = np.full(1024, -1, np.int32), np.zeros(1024, np.int32)
+        self.states, self.seen, self.bytes = [], {}, 0
+        for state in (np.empty(0, np.int64), np.zeros(1, np.int64)):
+            pair = np.zeros(len(state), np.int64)
+            self._number(self._closed(pair, state, pair)[1:])
+        self.table[0] = 0
+
+    def _number(self, state: tuple[np.ndarray, np.ndarray]) -> int:
+        """The number of a state (nodes ascending, edits), a new one if it was not met."""
+        node, edits = state
+        key = (node * 4 + edits).astype(np.int32).tobytes()
+        number = self.seen.get(key)
+        if number is None:
+            number = self.seen[key] = len(self.states)
+            self.states.append(np.frombuffer(key, np.int32))
+            self.bytes += 2 * len(key) + 300 + 4 * self.width
+            if number == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.term, self.edits = np.concatenate([self.term, np.full_like(self.term, -1)]), np.concatenate([self.edits, np.zeros_like(self.edits)])
+            ends = np.flatnonzero(edits <= self.own[node])
+            if len(ends):
+                self.edits[number], self.term[number] = min(zip(edits[ends].tolist(), self.word[node[ends]].tolist()))
+        return number
+
+    def _children(self, pair: np.ndarray, node: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = self.count[node]
+        return np.repeat(pair, n), np.repeat(self.first[node], n) + _runs(n), np.repeat(edits, n)
+
+    def _closed(self, pair: np.ndarray, node: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Add what is reached by leaving out letters of a term; of each pair's nodes the least edits, nodes ascending."""
+        parts = [(pair, node, edits)]
+        while len(parts[-1][0]):
+            p, child, e = self._children(*parts[-1])
+            kept = e + 1 <= self.most[child]
+            parts.append((p[kept], child[kept], e[kept] + 1))
+        pair, node, edits = (np.concatenate(x) for x in zip(*parts))
+        nodes = len(self.letter)
+        key = np.sort((pair * nodes + node) * 4 + edits)
+        key = key[np.concatenate([[True], key[1:] >> 2 != key[:-1] >> 2])] if len(key) else key
+        return (key >> 2) // nodes, (key >> 2) % nodes, key & 3
+
+    def _fill(self, wanted: np.ndarray) -> None:
+        """Steps (state * width + class) that the table does not have yet."""
+        weight = np.cumsum([len(self.states[w // self.width]) + 1 for w in wanted.tolist()])
+        for part in np.split(wanted, np.searchsorted(weight, np.arange(BATCH, weight[-1], BATCH), "right")):
+            if not len(part):
+                continue
+            state, c = part // self.width, part % self.width
+            sets = [self.states[i] for i in state.tolist()]
+            coded = np.concatenate(sets).astype(np.int64)
+            pair = np.repeat(np.arange(len(part)), [len(x) for x in sets])
+            node, edits = coded >> 2, coded & 3
+            p, child, e = self._children(pair, node, edits)
+            e = e + (self.letter[child] != c[p])
+            on, stay = e <= self.most[child], edits + 1 <= self.most[node]
+            pair, node, edits = self._closed(np.concatenate([p[on], pair[stay]]), np.concatenate([child[on], node[stay]]), np.concatenate([e[on], edits[stay] + 1]))
+            bounds = np.searchsorted(pair, np.arange(len(part) + 1))
+            after = [self._number((node[i:j], edits[i:j])) for i, j in itertools.pairwise(bounds.tolist())]
+            self.table[state, c] = after
+
+    @property
+    def classes(self) -> np.ndarray:
+        """The class of each code point: 0 no letter, OTHER in no term."""
+        if not self.ready:
+            self._prepare()
+        return self._classes
 
     def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words (numbers), terms and edits of all hits among the words codes[starts:ends]."""
+        if not self.ready:
+            self._prepare()
+        found = []
+        for low in range(0, len(starts), WORDS):
+            if self.bytes > MEMORY:
+                self._forget()
+            found.append(self._some(codes, starts[low:low + WORDS], ends[low:low + WORDS], low))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+
+    def _some(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         state = np.ones(len(starts), np.int32)
         done = np.zeros(len(starts), np.int32)
         live, at = np.arange(len(starts)), starts.copy()
         while len(live):
-            state[live] = self.table[state[live], codes[at]]
+            now, c = state[live], codes[at]
+            after = self.table[now, c]
+            missing = after < 0
+            if missing.any():
+                self._fill(np.unique(now[missing].astype(np.int64) * self.width + c[missing]))
+                after = self.table[now, c]
+            state[live] = after
             at = at + 1
             over = at >= ends[live]
-            done[live[over]] = state[live[over]]
-            on = ~over & (state[live] > 0)
+            done[live[over]] = after[over]
+            on = ~over & (after > 0)
             live, at = live[on], at[on]
         hit = np.flatnonzero(self.term[done] >= 0)
-        return hit, self.term[done[hit]], self.edits[done[hit]]
+        return hit + low, self.term[done[hit]], self.edits[done[hit]]
 
 
 class Lexicon:
@@ -147,7 +206,7 @@ class Lexicon:
     def features(self, values: list[str]) -> np.ndarray:
         lowered = [t.lower() for t in values]
         points = np.frombuffer(" ".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(points < 0x3000, self.automaton.classes[np.minimum(points, 0x2FFF)], OTHER).astype(np.int32)
+        codes = self.automaton.classes[points]
         inside = np.concatenate([[False], codes > 0, [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edge[::2], edge[1::2]
@@ -265,12 +324,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) ->
         return lexicon([(r.word, sum(r[f"n1{h}"] for h in halves), sum(r[f"n0{h}"] for h in halves)) for r in table],
                        sum(size.get((h, 1), 0) for h in halves), sum(size.get((h, 0), 0) for h in halves))
 
-    crossed = {0: make((1,)), 1: make((0,))}
+    crossed = docs.sparkSession.sparkContext.broadcast({0: make((1,)), 1: make((0,))})
 
     def see(batch: pa.RecordBatch) -> dict:
         values, halves = batch.column(1).to_pylist(), np.array(batch.column(3).to_pylist())
         x = np.zeros((len(values), FEATURES))
-        for half, words in crossed.items():
+        for half, words in crossed.value.items():
             at = np.flatnonzero(halves == half)
             x[at] = words.features([values[i] for i in at])
         return {"label": batch.column(2), "x": [row.tobytes() for row in x]}

@@ -104,3 +104,32 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(empty(spark), model).collect() == []
     bare = toxicity.fit(empty(spark), labels(spark).limit(0), "toxic")
     assert len({r.score for r in toxicity.score(edges(spark), bare).collect()}) == 1
+
+
+def hits(machine, words):
+    codes = machine.classes[np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)]
+    inside = np.concatenate([[False], codes > 0, [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return {words[i]: (machine.terms[t], int(e)) for i, t, e in zip(*machine.run(codes, edge[::2], edge[1::2]))}
+
+
+def test_two_edits_from_nine_letters():
+    """And words with support in three toxic documents at 1.5 standard errors are terms."""
+    terms = ["worthless", "disgusting", "abcdefghijk"]
+    assert hits(toxicity.Automaton(terms), ["wrthles", "disgosteng", "abcxefghijkk", "wrthle"]) == {
+        "wrthles": ("worthless", 2), "disgosteng": ("disgusting", 2), "abcxefghijkk": ("abcdefghijk", 2)}
+    assert "rarer" in toxicity.lexicon([("rarer", 3, 0)], 100, 5000).terms and "rare" not in toxicity.lexicon([("rare", 2, 0)], 100, 5000).terms
+
+
+def test_automaton_that_forgets_finds_the_same(monkeypatch):
+    pick = random.Random(7)
+    make = lambda: "".join(pick.choice("abcde") for _ in range(pick.randint(3, 12)))
+    terms, words = sorted({make() for _ in range(60)}), [make() for _ in range(1500)]
+    once = hits(toxicity.Automaton(terms), words)
+    monkeypatch.setattr(toxicity, "MEMORY", 1)
+    monkeypatch.setattr(toxicity, "WORDS", 100)
+    monkeypatch.setattr(toxicity, "BATCH", 50)
+    assert hits(toxicity.Automaton(terms), words) == once and len(once) > 15
+    for w in words[:300]:
+        near = [distance(w, t) for t in terms if distance(w, t) <= toxicity.allowed(t)]
+        assert (once[w][1] if w in once else None) == (min(near) if near else None)
