@@ -43,7 +43,7 @@ def allowed(term: str) -> int:
 @functools.cache
 def _letters() -> np.ndarray:
     """Which code points are letters or digits of words, as ``_words`` sees them."""
-    return np.fromiter((c >= 0x3000 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
 def _runs(sizes: np.ndarray) -> np.ndarray:

@@ -133,3 +133,10 @@ def test_automaton_that_forgets_finds_the_same(monkeypatch):
     for w in words[:300]:
         near = [distance(w, t) for t in terms if distance(w, t) <= toxicity.allowed(t)]
         assert (once[w][1] if w in once else None) == (min(near) if near else None)
+
+
+def test_terms_of_any_script():
+    words = toxicity.Lexicon({"바보멍청이": 3.0, "混蛋": 3.0, "\U00020000\U00020001": 3.0})
+    rows = words.features(["너는 바보멍청이、", "你 混蛋。", "바보멍청 \U00020000\U00020001", "你好 。、 안녕"])
+    assert [list(r[[10, 11]]) for r in rows] == [[1, 0], [1, 0], [1, 1], [0, 0]]
+    assert words.features(["a、b。c"])[0, 9] == np.log1p(3)
