@@ -224,7 +224,9 @@ class Lexicon:
             low, high = first[doc], first[doc + 1]
             exact = fuzzy = quoted = person = together = 0.0
             best = 0.0
-            for i in part:
+            close = np.diff(hit[part]) <= WINDOW  # hits ascend: the nearest other hit stands beside in the array
+            close = np.concatenate([[False], close]) | np.concatenate([close, [False]])
+            for i, beside in zip(part, close):
                 w = hit[i]
                 a, b = max(low, w - WINDOW), min(high, w + WINDOW + 1)
                 near = text[starts[a] - base:ends[b - 1] - base]
@@ -240,7 +242,7 @@ class Lexicon:
                 else:
                     exact += weight
                 person += not SECOND_PERSON.isdisjoint(around)
-                together += len(part) > 1 and bool(np.any((np.abs(hit[part] - w) <= WINDOW) & (hit[part] != w))) if len(part) < 500 else 1
+                together += beside
             out[doc, 1:9] = np.log1p([exact, fuzzy, quoted, person, together, 100 * len(part) / max(1, high - low), best, len(part)])
             out[doc, 10], out[doc, 11] = exact > 0, fuzzy > 0
         return out

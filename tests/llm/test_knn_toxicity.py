@@ -140,3 +140,10 @@ def test_terms_of_any_script():
     rows = words.features(["너는 바보멍청이、", "你 混蛋。", "바보멍청 \U00020000\U00020001", "你好 。、 안녕"])
     assert [list(r[[10, 11]]) for r in rows] == [[1, 0], [1, 0], [1, 1], [0, 0]]
     assert words.features(["a、b。c"])[0, 9] == np.log1p(3)
+
+
+def test_scattered_hits_are_alone_however_many():
+    words = toxicity.Lexicon({"idiot": 3.0})
+    for n in (499, 500, 700):
+        alone, pairs = words.features([" ".join(["idiot a b c d e f g"] * n), " ".join(["idiot idiot a b c d e f"] * (n // 2))])
+        assert alone[5] == 0 and np.isclose(pairs[5], np.log1p(n // 2 * 2))
