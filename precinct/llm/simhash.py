@@ -1,18 +1,18 @@
 """Near-duplicate documents by SimHash, found through an inverted index on the byte positions of fingerprints.
 
-A fingerprint is one or several 64-bit words.  The index has a list for each choice of byte positions of a word and each
-value of those bytes; a fingerprint stands in every list of its own bytes.  Two uses:
+A fingerprint is a 64-bit word.  The index has a list for each choice of byte positions and each value of those bytes; a
+fingerprint stands in every list of its own bytes.  Two uses:
 
-* ``linked_groups``: one word, exact.  Fingerprints that differ in at most d bits differ in at most d of the 8 bytes, so
+* ``linked_groups``: exact.  Fingerprints that differ in at most d bits differ in at most d of the 8 bytes, so
   they share at least 8 - d positional bytes: the guaranteed minimum.  A pair reaches it exactly if it meets in a list of
   8 - d positions, so those are the lists kept (28 for d = 2; lists on one byte alone would hold 1/256 of the corpus
   each, and pairs in them grow with the square of the corpus).  In a list only d bytes are free: it has at most 65,536
   different fingerprints, whatever the corpus, and is worked through by table look-ups, not by all its pairs.  Shared
   bytes of each pair met are tallied, pairs under the minimum dropped, and the bits compared.
-* ``similar_groups``: shingle sets of a given similarity.  At similarity 0.8 some 15 % of all bits differ, so no number
-  of shared bytes is guaranteed; wide fingerprints (1,536 bits) make many lists of three bytes each, which a similar pair
-  misses seldom (share of pairs found: 0.84 at similarity 0.8, 0.97 at 0.85, 0.999 at 0.9; groups of several copies
-  have more chances).  Each list links its members to its first and its last member, so the number of pairs is linear.
+* ``similar_groups``: shingle sets of a given similarity.  At similarity 0.8 some 15 % of all bits of fingerprints differ,
+  so no number of shared bytes is guaranteed; the index is on the shingles' hashes themselves.  In any common order of all
+  hashes two sets of similarity s share one of the first n - ceil(s n) + 1 of each (n: the size), so lists on those alone
+  meet every pair.  Each list links its members to a centre, and each link is verified on the whole sets.
 """
 from __future__ import annotations
 
@@ -31,9 +31,8 @@ from precinct.session import store
 
 SEED = 42
 LANE = np.uint64(0x0101010101010101)
-# Byte positions of a word in the lists of wide fingerprints; the masks' bytes are counted from the low end.
-TRIPLES = [(0, 1, 2), (3, 4, 5), (6, 7, 0), (1, 3, 6)]
-WIDE_WORDS = 24
+# Documents whose common shingles are counted, in how many of them a shingle is common, and how many such shingles are kept at most.
+COMMON_DOCS, COMMON_IN, COMMON = 4096, 4, 100_000
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -70,27 +69,14 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return result
 
 
-def spread(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of several independent 64-bit hashes derived from one."""
-    if k == 0:
-        return hashes
-    x = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, repeats: bool = True) -> DataFrame:
-    """doc_id and ``fp``: ``words`` little-endian 64-bit words.  A text without words has the fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and ``fp``: a little-endian 64-bit word.  A text without words has the fingerprint zero."""
 
     def run(batch: pa.RecordBatch) -> dict:
         runs = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-        if not repeats:
-            runs = [list(set(r)) for r in runs]
         starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
         hashes = np.fromiter(itertools.chain.from_iterable(runs), np.uint64, int(starts[-1]))
-        made = np.stack([majority(spread(hashes, k), starts) for k in range(words)], axis=1)
-        return {"doc_id": batch.column(0), "fp": [row.tobytes() for row in made]}
+        return {"doc_id": batch.column(0), "fp": [row.tobytes() for row in majority(hashes, starts)]}
 
     return map_texts(texts(docs), run, "doc_id long, fp binary")
 
@@ -182,45 +168,88 @@ def _long(digits: str):
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
-def max_distance(bits: int, similarity: float) -> int:
-    """Differing bits expected for two equally large shingle sets of that Jaccard similarity."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def prefix_size(n: int, similarity: float) -> int:
+    """How many shingles of a set of n are looked up: a set of that similarity shares at least one of its own with them."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, component_id (smallest doc_id of its group).
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (ascending) that stand in several of a bounded sample of documents, and in how many: they are looked up last.
 
-    Documents belong together if their shingle sets reach ``similarity``, as the share of equal bits of wide fingerprints
-    shows it.  Equal fingerprints are one node.  Null and empty texts are copies of each other.  A null doc_id stays
-    null and in no group.  Empty table: no rows.
+    They only order the shingles of every set, so they change the length of the lists and never what is found.
     """
-    stored = store(fingerprints(docs, shingle, WIDE_WORDS, repeats=False))
-    most = max_distance(64 * WIDE_WORDS, similarity)
-    word = lambda k: F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long")
-    nodes = store(stored.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    keys = [F.struct(F.lit(k * len(TRIPLES) + j).cast("byte").alias("list"), F.col(f"words")[k].bitwiseAND(F.lit(mask(t))).alias("key"))
-            for k in range(WIDE_WORDS) for j, t in enumerate(TRIPLES)]
-    postings = nodes.select("id", F.array(*[word(k) for k in range(WIDE_WORDS)]).alias("words")).select("id", F.explode(F.array(*keys)).alias("p")).select("id", "p.list", "p.key")
-    ends = postings.groupBy("list", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
-    ends = store(ends)
-    inner = postings.join(ends.where("n > 2"), ["list", "key"]).where("id > low and id < high")
-    pairs = (ends.select(F.col("low").alias("a"), F.col("high").alias("b"))
-             .union(inner.select("low", "id")).union(inner.select("id", "high"))).where("a <> b").distinct()
-    with_words = (pairs.join(nodes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a")
-                  .join(nodes.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b"))
+    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_DOCS)
 
-    def verify(batches):
-        for batch in batches:
-            n = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, -1) for i in (2, 3))
-            different = x ^ y
-            kept = (tally(different) >= 3) & (np.bitwise_count(different).sum(axis=1, dtype=np.int64) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept)) for i in (0, 1)], names=["a", "b"])
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"token": [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]}
+
+    counts = (map_texts(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text"), run, "token array<long>").select(F.explode("token").alias("token"))
+              .groupBy("token").agg(F.count("*").cast("int").alias("n")).where(f"n >= {COMMON_IN}").orderBy(F.desc("n"), "token").limit(COMMON).collect())
+    token = np.array([r.token for r in counts], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.array([r.n for r in counts], np.int64)[order]
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, ``key`` (equal for equal shingle sets only), ``size`` and ``prefix``: the set's first hashes, rare ones before common ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        known, often = shared.value
+        keys, sizes, firsts = [], [], []
+        for text in batch.column(1).to_pylist():
+            own = np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+            keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+            sizes.append(len(own))
+            if len(known) and len(own):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                own = own[np.argsort(np.where(known[at] == own, often[at], 0), kind="stable")]
+            firsts.append(own[:prefix_size(len(own), similarity) if len(own) else 0].view(np.int64))
+        return {"doc_id": batch.column(0), "key": keys, "size": sizes, "prefix": firsts}
+
+    return map_texts(docs, run, "doc_id long, key binary, size int, prefix array<long>")
 
-    edges = map_arrow(with_words.select("a", "b", "fa", "fb"), verify, "a long, b long")
+
+def _possible(similarity: float, i: str, m: str, j: str, n: str):
+    """Whether sets of m and n shingles that share those at places i and j of their orders can reach ``similarity``."""
+    return F.expr(f"(1 + least({i}, {j}) + least({m} - {i} - 1, {n} - {j} - 1)) * {1 + similarity} >= {similarity} * ({m} + {n}) - 1e-6")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b: doc_id) whose whole shingle sets reach ``similarity``, compared exactly."""
+    pairs = store(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "own": [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]}
+
+    sets = store(map_texts(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), run, "id long, own array<long>"))
+    one, other = (sets.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("own_a", "own_b"))
+    return store(pairs.join(one, "a").join(other, "b").withColumn("shared", shared)
+                 .where(F.col("shared") >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id of its group).
+
+    Documents belong together if the Jaccard similarity of their shingle sets reaches ``similarity``; all such pairs are
+    candidates and all candidates are compared exactly.  Equal sets are one node.  Null and empty texts are copies of each
+    other.  A null doc_id stays null and in no group.  Empty table: no rows.
+    """
+    docs = texts(docs)
+    stored = store(prefixes(docs, shingle, similarity))
+    least = store(stored.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")))
+    nodes = store(stored.where("size > 0").withColumnRenamed("doc_id", "id").join(least, ["key", "id"]).select("id", "size", "prefix"))
+    posts = nodes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
+    lists = store(posts.groupBy("token").agg(F.min(F.struct("pos", "id", "size")).alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
+                  .where("low < high").select("token", F.col("c.pos").alias("centre_pos"), F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size")))
+    star = (posts.join(lists, "token").where("id <> centre").where(_possible(similarity, "pos", "size", "centre_pos", "centre_size"))
+            .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+    edges = verified(star, docs, shingle, similarity)
     roots = components(edges)
-    named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return stored.join(named, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = least.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
+    return stored.join(named, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -98,3 +98,23 @@ def test_one_of_each_of_odd_rows(spark):
     assert sum(k is None for k, _ in kept) == 2 and rows[0].asDict().keys() == set(edges(spark).columns)
     assert simhash.one_of_each(empty(spark)).collect() == []
     assert PROSE in dict(kept).values()
+
+
+def near_the_threshold(pick, shares, n=200, groups_of=4):
+    """Pairs of documents whose five-word shingle sets have Jaccard similarities around 0.8, in both directions."""
+    texts = {}
+    for g in range(groups_of):
+        for k in range(shares):
+            own = [f"w{g}x{k}y{pick.getrandbits(40)}" for _ in range(n)]
+            cut = 14 + k % 12  # a new end of that many words: similarity (196 - cut) / (196 + cut) from 0.87 down to 0.77
+            texts[len(texts)] = " ".join(own)
+            texts[len(texts)] = " ".join(own[:-cut] + [f"z{pick.getrandbits(40)}" for _ in range(cut)])
+    return texts
+
+
+def test_similar_groups_at_the_threshold_are_exact(spark):
+    texts = near_the_threshold(random.Random(5), 60)
+    want, alike = jaccard_groups(texts, 5, 0.8)
+    assert sum(0.78 <= s < 0.8 for s in alike.values()) > 20 and sum(0.8 <= s < 0.82 for s in alike.values()) > 20
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
