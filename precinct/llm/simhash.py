@@ -12,7 +12,8 @@ fingerprint stands in every list of its own bytes.  Two uses:
 * ``similar_groups``: shingle sets of a given similarity.  At similarity 0.8 some 15 % of all bits of fingerprints differ,
   so no number of shared bytes is guaranteed; the index is on the shingles' hashes themselves.  In any common order of all
   hashes two sets of similarity s share one of the first n - ceil(s n) + 1 of each (n: the size), so lists on those alone
-  meet every pair.  Each list links its members to a centre, and each link is verified on the whole sets.
+  meet every pair.  Each list links its members to a centre, each link is verified on the whole
+  sets, and in lists that this leaves in several groups all pairs across the groups are verified as well.
 """
 from __future__ import annotations
 
@@ -230,6 +231,21 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
                  .where(F.col("shared") >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"))
 
 
+def _across(posts: DataFrame, lists: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links between members of a list, other than its centre, that the centres have not brought together yet.
+
+    A list whose members are all in one group is done.  In the others every pair of members of different groups is tried.
+    """
+    placed = posts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    inner = placed.join(lists.select("token", "centre"), "token").where("id <> centre")
+    unsettled = inner.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    members = store(inner.join(unsettled, "token").select("token", "id", "size", "pos", "root"))
+    x, y = (members.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "pos", "root")]) for k in "xy")
+    pairs = (x.join(y, "token").where("id_x < id_y and root_x <> root_y").where(_possible(similarity, "pos_x", "size_x", "pos_y", "size_y"))
+             .select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
+    return verified(pairs, docs, shingle, similarity)
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id of its group).
 
@@ -247,6 +263,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     star = (posts.join(lists, "token").where("id <> centre").where(_possible(similarity, "pos", "size", "centre_pos", "centre_size"))
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
     edges = verified(star, docs, shingle, similarity)
+    edges = edges.union(_across(posts, lists, components(edges), docs, shingle, similarity))
     roots = components(edges)
     named = least.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
     return stored.join(named, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -118,3 +118,31 @@ def test_similar_groups_at_the_threshold_are_exact(spark):
     assert sum(0.78 <= s < 0.8 for s in alike.values()) > 20 and sum(0.8 <= s < 0.82 for s in alike.values()) > 20
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_links_between_others_of_a_long_list(spark):
+    """All documents share a long passage; the near copies among them are not like the first, last or any one centre."""
+    pick, texts, passage = random.Random(6), {}, [f"shared{i}" for i in range(70)]
+    for _ in range(80):
+        own = passage + [f"v{pick.getrandbits(40)}" for _ in range(60)]
+        texts[len(texts) + 1000] = " ".join(own)
+        texts[len(texts) + 1000] = " ".join(own[:-6] + [f"z{pick.getrandbits(40)}" for _ in range(6)])
+    order = list(texts)
+    pick.shuffle(order)
+    texts = {i: texts[k] for i, k in enumerate(order)}
+    want, alike = jaccard_groups(texts, 5, 0.8)
+    assert sum(s >= 0.8 for s in alike.values()) == 80 and len(alike) > 10_000
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(rows).collect()} == want
+
+
+def test_copies_whose_only_link_is_not_the_centre(spark):
+    """a-b and b-c are alike and a-c are not; every order of the ids gives the one group."""
+    import itertools
+    words = [f"k{i}" for i in range(104)]
+    three = [" ".join(words[:94]), " ".join(words[5:99]), " ".join(words[10:])]
+    texts = {100 * g + i: " ".join(f"g{g}{w}" for w in three[j].split()) for g, order in enumerate(itertools.permutations(range(3))) for i, j in enumerate(order)}
+    want, _ = jaccard_groups(texts, 5, 0.8)
+    assert set(want.values()) == {100 * g for g in range(6)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(rows).collect()} == want
