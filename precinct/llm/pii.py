@@ -3,7 +3,7 @@
 The field has a node for each token with a digit or an @ (all other tokens are observed as outside), labels outside, email,
 ip, card and phone, edges between neighbouring nodes, and skip edges between repeated or similar nodes of a document,
 however distant: equal texts, equal digits, or digits that belong to a longer number found by the patterns.  Nodes
-under a pattern's match are observed; for the others loopy message passing gives marginals, so a number written
+under a pattern's match are observed, and repeats of an observed node are tied to the nearest one; for the others loopy message passing gives marginals, so a number written
 otherwise than the patterns ask takes the label of its likes.  Weights are learned here, by pseudo-likelihood on a bounded
 sample of documents with the patterns' matches as labels and features left out at random.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -36,7 +37,7 @@ EDGES = "\"'`.,;:!?()[]{}<>*#$%&|=~^_/\\"
 CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "credit", "pay"), "phone": ("tel", "phone", "call", "fax", "mobile")}
 
 SAMPLE, SAMPLE_NODES = 2000, 2000  # documents the weights are learned from at most, and nodes of a document that may be one of them
-ROUNDS, DAMPING = 15, 0.5
+ROUNDS, DAMPING, SETTLED = 5000, 0.5, 1e-3  # rounds stop earlier, document by document, when no message changes by more than SETTLED
 ADD_FROM = 0.6  # marginal from which a node becomes a span
 
 
@@ -99,12 +100,14 @@ class Graph:
     def __init__(self):
         self.spans, self.x, self.y = [], [], []
         self.chain, self.skip = [], []
+        self.document, self.documents = [], 0
 
     def add(self, text: str, base: list[tuple[int, int, int]]) -> range:
         """The nodes of one document."""
         first = len(self.x)
-        same, owner, previous, under = defaultdict(list), {}, -1, 0
+        same, previous, under = defaultdict(list), -1, 0
         tokens = [m.span() for m in TOKEN.finditer(text)]
+        ends = [b for _, b in tokens]
         for i, (a, b) in enumerate(tokens):
             core = text[a:b].strip(EDGES) or text[a:b]
             start = a + text[a:b].find(core)
@@ -123,20 +126,27 @@ class Graph:
             keys = [core.lower()] + ([digits] if len(digits) >= 6 else [])
             for key in keys:
                 same[key].append(node)
-            if label and len(digits) >= 6:
-                owner.setdefault(digits, node)
             previous = b
         for s, k, e in base:  # parts of a number written in several tokens: look for its tails of 7 digits or more
             digits = NOT_DIGITS.sub("", text[s:e])
             if k and 7 <= len(digits) <= 19:
-                inside = next((first + i for i, (a, b) in enumerate(tokens) if a < e and s < b), None) if len(base) < 50 else None
-                if inside is not None:
+                i = bisect_right(ends, s)
+                if i < len(tokens) and tokens[i][0] < e:
                     for cut in range(len(digits) - 6):
                         if digits[cut:] in same:
-                            same[digits[cut:]].insert(0, inside)
+                            same[digits[cut:]].append(first + i)
         for nodes in same.values():
             nodes = sorted(set(nodes))
-            self.skip.extend(zip(nodes, nodes[1:]))
+            sure = [node for node in nodes if self.y[node]]
+            for a, b in zip(sure or nodes, (sure or nodes)[1:]):
+                self.skip.append((a, b))
+            for node in nodes if sure else ():
+                if not self.y[node]:
+                    at = bisect_left(sure, node)
+                    near = min(sure[max(0, at - 1):at + 1], key=lambda other: abs(other - node))
+                    self.skip.append((min(near, node), max(near, node)))
+        self.document.extend([self.documents] * len(tokens))
+        self.documents += 1
         return range(first, len(self.x))
 
 
@@ -191,7 +201,7 @@ class Field:
         n = len(graph.x)
         log = _design(graph.x) @ self.unary
         y = np.array(graph.y, np.int64)
-        log[y > 0] = -50
+        log[y > 0] = -1e12  # more than any number of messages can outweigh
         log[y > 0, y[y > 0]] = 0
         pairs = [(np.array(e, np.int64).reshape(-1, 2), w) for e, w in ((graph.chain, self.chain), (graph.skip, self.skip))]
         source = np.concatenate([e[:, k] for e, _ in pairs for k in (0, 1)])
@@ -199,17 +209,23 @@ class Field:
         back = np.concatenate([np.arange(len(e)) + offset for e, offset in _opposite([len(e) for e, _ in pairs])]) if len(source) else np.empty(0, np.int64)
         table = np.concatenate([np.broadcast_to(np.exp(w - w.max()), (2 * len(e), LABELS, LABELS)) for e, w in pairs])
         messages = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS if len(source) else 0):
-            belief = log.copy()
-            np.add.at(belief, target, messages)
-            cavity = belief[source] - messages[back]
+        document = np.array(graph.document, np.int64)
+        live, nodes = np.arange(len(source)), np.arange(n)
+        for _ in range(ROUNDS):
+            if not len(live):
+                break
+            belief = np.zeros_like(log)
+            belief[nodes] = log[nodes]
+            np.add.at(belief, target[live], messages[live])
+            cavity = belief[source[live]] - messages[back[live]]
             cavity = np.exp(cavity - cavity.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ei,eij->ej", cavity, table) + 1e-30)
+            new = np.log(np.einsum("ei,eij->ej", cavity, table[live]) + 1e-30)
             new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - messages).max()
-            messages = DAMPING * messages + (1 - DAMPING) * new
-            if change < 1e-3:
-                break
+            change = np.abs(new - messages[live]).max(axis=1)
+            messages[live] = DAMPING * messages[live] + (1 - DAMPING) * new
+            moving = np.zeros(graph.documents, bool)
+            moving[document[target[live[change >= SETTLED]]]] = True
+            live, nodes = live[moving[document[target[live]]]], nodes[moving[document[nodes]]]
         belief = log.copy()
         if len(source):
             np.add.at(belief, target, messages)

@@ -141,3 +141,42 @@ def test_pii_of_odd_rows(spark):
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "mail bob@x.org now", 18), (2, "plain", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     assert sorted(map(tuple, pii.mask(docs, pii.Field()).collect())) == [(1, "mail <EMAIL> now", 16), (2, "plain", 5), (3, None, None)]
+
+
+def added(field, text):
+    base, every = field.spans([text])[0]
+    return base, [text[a:b] for a, k, b in every if (a, k, b) not in base]
+
+
+def test_every_repeat_of_a_found_number_is_found():
+    for n in (1, 10, 500):
+        text = "call +1 (743) 555-3824 today" + ". Later in the letter it says 555-3824 again" * n
+        base, more = added(pii.Field(), text)
+        assert len(base) == 1 and more == ["555-3824"] * n
+
+
+def test_parts_of_numbers_in_documents_rich_in_matches():
+    for n in (49, 51, 300):
+        text = "call +1 (743) 555-3824 today" + "".join(f" and mail u{i}@x.org" for i in range(n - 1)) + " or just 555-3824 then"
+        base, more = added(pii.Field(), text)
+        assert len(base) == n and more == ["555-3824"]
+
+
+def test_messages_travel_along_long_chains():
+    """Forty tied nodes in a row, the first of which is observed: marginals from forward and backward products."""
+    field, graph = pii.Field(), pii.Graph()
+    field.unary[0, 0], field.skip = 0.2, 30.0 * np.eye(5)
+    graph.add("".join(f"{i}a, " for i in range(40)), [])
+    graph.chain, graph.skip, graph.y[0] = [], [(i, i + 1) for i in range(39)], 4
+    own = np.exp(pii._design(graph.x) @ field.unary)
+    own[0] = np.eye(5)[4]
+    pair = np.exp(field.skip - 30)
+    back = [np.ones(5)]
+    for i in range(39, 0, -1):
+        back.append(pair @ (own[i] * back[-1]) / np.max(pair @ (own[i] * back[-1])))
+    ahead, back = np.ones(5), back[::-1]
+    p = field.marginals(graph)
+    for i in range(40):
+        want = ahead * own[i] * back[i]
+        assert np.allclose(p[i], want / want.sum(), atol=1e-2), i
+        ahead = pair @ (ahead * own[i])
