@@ -216,9 +216,22 @@ def _possible(similarity: float, i: str, m: str, j: str, n: str):
     return F.expr(f"(1 + least({i}, {j}) + least({m} - {i} - 1, {n} - {j} - 1)) * {1 + similarity} >= {similarity} * ({m} + {n}) - 1e-6")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b: doc_id) whose whole shingle sets reach ``similarity``, compared exactly."""
-    pairs = store(pairs)
+def _enough(similarity: float, shared: str, m: str, first_m: str, n: str, first_n: str):
+    """Whether sets of m and n shingles whose first ones have ``shared`` in common can reach ``similarity``.
+
+    What is shared beyond the first ones of both is beyond those of the one whose first ones end earlier.
+    """
+    return F.expr(f"({shared} + greatest({m} - {first_m}, {n} - {first_n})) * {1 + similarity} >= {similarity} * ({m} + {n}) - 1e-6")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b: doc_id) whose whole shingle sets reach ``similarity``, compared exactly.
+
+    Pairs whose first shingles have too few in common to reach it are dropped before whole sets are made.
+    """
+    one, other = (nodes.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("prefix").alias(f"first_{x}")) for x in "ab")
+    pairs = store(pairs.join(one, "a").join(other, "b").withColumn("shared", F.size(F.array_intersect("first_a", "first_b")))
+                  .where(_enough(similarity, "shared", "size_a", "size(first_a)", "size_b", "size(first_b)")).select("a", "b").distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -231,19 +244,19 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
                  .where(F.col("shared") >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"))
 
 
-def _across(posts: DataFrame, lists: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Verified links between members of a list, other than its centre, that the centres have not brought together yet.
+def _across(listed: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of a list, other than its centre, that the centres have not brought together yet and that can be similar.
 
     A list whose members are all in one group is done.  In the others every pair of members of different groups is tried.
     """
-    placed = posts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    inner = placed.join(lists.select("token", "centre"), "token").where("id <> centre")
-    unsettled = inner.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    members = store(inner.join(unsettled, "token").select("token", "id", "size", "pos", "root"))
-    x, y = (members.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "pos", "root")]) for k in "xy")
-    pairs = (x.join(y, "token").where("id_x < id_y and root_x <> root_y").where(_possible(similarity, "pos_x", "size_x", "pos_y", "size_y"))
-             .select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
-    return verified(pairs, docs, shingle, similarity)
+    placed = listed.where("id <> centre").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = store(placed.select("token", "id", "size", "first", "pos", "root"))
+    unsettled = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    members = placed.join(unsettled, "token")
+    x, y = (members.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "first", "pos", "root")]) for k in "xy")
+    return (x.join(y, "token").where("id_x < id_y and root_x <> root_y").where(_possible(similarity, "pos_x", "size_x", "pos_y", "size_y"))
+            .groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "size_x", "first_x", "size_y", "first_y").agg(F.count("*").alias("shared"))
+            .where(_enough(similarity, "shared", "size_x", "first_x", "size_y", "first_y")).select("a", "b"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -257,13 +270,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     stored = store(prefixes(docs, shingle, similarity))
     least = store(stored.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")))
     nodes = store(stored.where("size > 0").withColumnRenamed("doc_id", "id").join(least, ["key", "id"]).select("id", "size", "prefix"))
-    posts = nodes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
-    lists = store(posts.groupBy("token").agg(F.min(F.struct("pos", "id", "size")).alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
-                  .where("low < high").select("token", F.col("c.pos").alias("centre_pos"), F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size")))
-    star = (posts.join(lists, "token").where("id <> centre").where(_possible(similarity, "pos", "size", "centre_pos", "centre_size"))
+    posts = nodes.select("id", "size", F.size("prefix").alias("first"), F.posexplode("prefix").alias("pos", "token"))
+    lists = posts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
+    members = store(posts.join(lists, "token"))
+    centres = (members.groupBy("token").agg(F.min(F.struct("pos", "id", "size")).alias("c"))
+               .select("token", F.col("c.pos").alias("centre_pos"), F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size")))
+    listed = store(members.join(centres, "token"))
+    star = (listed.where("id <> centre").where(_possible(similarity, "pos", "size", "centre_pos", "centre_size"))
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-    edges = verified(star, docs, shingle, similarity)
-    edges = edges.union(_across(posts, lists, components(edges), docs, shingle, similarity))
+    edges = verified(star, nodes, docs, shingle, similarity)
+    edges = edges.union(verified(_across(listed, components(edges), similarity), nodes, docs, shingle, similarity))
     roots = components(edges)
     named = least.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
     return stored.join(named, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
