@@ -121,3 +121,9 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precinct.llm.common import remainder
     from precinct.llm.hmm import score
     return score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
+@register
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.sharding import shard
+    return shard(table(spark, sf_dir, "documents"), shards=24)
