@@ -127,3 +127,9 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precinct.llm.sharding import shard
     return shard(table(spark, sf_dir, "documents"), shards=24)
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.prefix_trie import prefix_nodes
+    return prefix_nodes(table(spark, sf_dir, "conversations"))
