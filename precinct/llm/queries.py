@@ -133,3 +133,51 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precinct.llm.prefix_trie import prefix_nodes
     return prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precinct.llm.negatives import hard_negatives
+    return hard_negatives(table(spark, sf_dir, "embeddings"), every=50, positives=5, negatives=3)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a, r b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+# The crc32 of a short text, bit by bit; the prefixes of each rebuilt conversation as lists of turns.
+ORACLES["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id AS c, conv_id - conv_id % 20 AS head, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns,
+    CAST(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda k: 0::UBIGINT)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS UBIGINT) AS crc
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS (
+  SELECT t.c, list_concat(coalesce(f.turns, [])[1:CAST(xor(t.crc, 4294967295::UBIGINT) % 4 AS BIGINT)], t.turns[CAST(xor(t.crc, 4294967295::UBIGINT) % 4 AS BIGINT) + 1:]) AS p
+  FROM t LEFT JOIN t f ON f.c = t.head),
+m AS (SELECT c, p[1:d] AS node, d, len(p) = d AS ends FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM b)),
+n AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM m GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.node = n.node),
+u AS (
+  SELECT node[1:a] AS node, a, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM w) GROUP BY ALL)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, f.conv_id AS parent_conv_id, w.n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN u ON u.node = w.node LEFT JOIN w f ON w.d > 0 AND f.d = w.d - 1 AND f.node = w.node[1:w.d - 1]
+"""
