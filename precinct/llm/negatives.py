@@ -56,6 +56,8 @@ def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
 
 def _codebook(x: np.ndarray, k: int) -> np.ndarray:
     """Centres of ``k`` groups (Lloyd's steps from evenly spread rows)."""
+    if not len(x):
+        return np.zeros((k, x.shape[1]))
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].astype(float)
     for _ in range(8):
         near = _nearest(x, centres)
