@@ -125,6 +125,12 @@ def row_hash(*cols: Column) -> Column:
     return hex_number(row_text(*cols), 15)
 
 
+def fingerprint(*cols: Column) -> Column:
+    """128 bits of a row as a struct of two hashes; NULL is a value of its own, as in grouping."""
+    marked = [c for col in cols for c in (col.isNull(), col)]
+    return F.struct(F.xxhash64(F.lit(1), *marked).alias("h1"), F.xxhash64(F.lit(2), *reversed(marked)).alias("h2"))
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
     """Deterministic fold of a record from the hash of its id."""
     return (hex_number(id_col.cast("string"), 8) % F.lit(folds)).cast("int")

@@ -9,7 +9,7 @@ from precinct.functions.predicates import between, case, coordinate_missing, mis
 from precinct.functions.scalars import bin_centre, bin_floor, to_day, weekday0
 from precinct.operators.quantiles import exact_quantiles
 from precinct.operators.relational import (
-    argmax_row, assert_one_to_one, attach_zone, coverage, cumulative_share, on_axis, pivot_matrix, share_within, union_all,
+    argmax_row, attach_zone, coverage, cumulative_share, on_axis, pivot_matrix, share_within, union_all,
     value_counts)
 from precinct.schema import INCIDENTS, WEEKDAYS, Roles
 from precinct.session import settle
@@ -259,15 +259,46 @@ def category_mix_matrix(df: DataFrame, field: str, classes, roles: Roles = INCID
     return pivot_matrix(category_mix(df, field, roles), "group_value", roles.target, "within_group_pct", classes)
 
 
+# What can be wrong with an id on two sides of which each should have it once; the first that holds counts.
+ZONE_FAULTS = {"null id": "id IS NULL", "no zone": "zones = 0", "no record": "records = 0", "repeated record": "records > 1", "repeated zone": "zones > 1"}
+
+
+def zone_cells(df: DataFrame, zones: DataFrame, zone_col: str = "area_group", roles: Roles = INCIDENTS) -> DataFrame:
+    """(fault, class, zone, ids): both tables counted together by id, then by what they say of it.
+
+    One scan of each table and one shuffle of (id, class, zone) serve the checks and the mix; an id that repeats, or is
+    absent, collapses to one row per task before it.
+    """
+    target = df.schema[roles.target].dataType
+    zone = zones.schema[zone_col].dataType
+    both = df.select(F.col(roles.id).alias("id"), F.col(roles.target).alias("class"), F.lit(None).cast(zone).alias("zone"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
+        zones.select(F.col(roles.id), F.lit(None).cast(target), F.col(zone_col), F.lit(0), F.lit(1)))
+    ids = both.groupBy("id").agg(F.max("class").alias("class"), F.max("zone").alias("zone"), F.sum("l").alias("records"), F.sum("r").alias("zones"))
+    fault = None
+    for name, condition in ZONE_FAULTS.items():
+        fault = F.when(F.expr(condition), name) if fault is None else fault.when(F.expr(condition), name)
+    ids = ids.withColumn("fault", fault)
+    kept = lambda c: F.when(F.col("fault").isNull(), F.col(c)).alias(c)
+    return ids.select("fault", kept("class"), kept("zone")).groupBy("fault", "class", "zone").agg(F.count("*").alias("ids"))
+
+
 def zone_mix(df: DataFrame, zones: DataFrame | None, zone_col: str = "area_group",
              roles: Roles = INCIDENTS, check: bool = True) -> tuple[DataFrame | None, DataFrame | None, str]:
-    """(class mix per zone, zone totals, status text); zones join by id, one to one and complete."""
+    """(class mix per zone, zone totals, status text); zones join by id, one to one and complete.
+
+    Without ``check`` the tables are joined as they are.
+    """
     if zones is None:
         return None, None, "Pending: no zone table supplied."
+    label = missing_label(F.col("zone")).alias("zone")
     if check:
-        assert_one_to_one(df, zones, roles.id)
-    joined = attach_zone(df.select(roles.id, roles.target), zones, zone_col, roles.id)
-    counts = value_counts(joined, missing_label(F.col("zone")).alias("zone"), roles.target)
+        cells = settle(zone_cells(df, zones, zone_col, roles))
+        faults = {r["fault"]: r["ids"] for r in cells.filter("fault IS NOT NULL").select("fault", "ids").collect()}  # five rows at most
+        if faults:
+            raise ValueError(f"{roles.id} must match one to one: {faults}")
+        counts = cells.groupBy(label, F.col("class").alias(roles.target)).agg(F.sum("ids").alias("count"))
+    else:
+        counts = value_counts(attach_zone(df.select(roles.id, roles.target), zones, zone_col, roles.id), label, roles.target)
     totals = counts.groupBy("zone").agg(F.sum("count").alias("count"))
     return share_within(counts, "zone", "within_zone_pct"), totals, f"Analysed {zone_col}."
 

@@ -1,29 +1,28 @@
 """Encoding, classifiers, tuning and persistence on Spark ML.
 
 Defaults are the settings the results are compared under; every one is a parameter.
-Boosting is one-vs-rest logistic boosting (Spark's boosted trees are binary), with the
-class probabilities scaled to sum to one.
+Boosting is softmax boosting with carried margins, see ``boosting``.
 """
 from __future__ import annotations
 
 import itertools
 import json
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier,
-    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier)
+    DecisionTreeClassificationModel, DecisionTreeClassifier, LogisticRegression, LogisticRegressionModel,
+    RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.functions.predicates import parse_bool
 from precinct.functions.scalars import norm_text
+from precinct.operators import boosting
 from precinct.operators.evaluation import METRICS, assert_no_leakage, confusion, overall, per_class
 from precinct.operators.features import (
     MixTables, add_area_group, add_cyclic, add_domestic_int, add_mix_features, add_temporal, apply_frequencies, final_features,
@@ -117,20 +116,19 @@ class Fitted:
     facts: dict = field(default_factory=dict)
 
     @property
-    def one_vs_rest(self) -> bool:
-        return isinstance(self.models[0], GBTClassificationModel)
+    def boosted(self) -> bool:
+        return isinstance(self.models[0], GBTRegressionModel)
+
+    def margins(self, df: DataFrame) -> DataFrame:
+        """Add ``margins`` of a boosted model: its starting margins and the sum of each class's trees."""
+        return boosting.with_margins(df, self.models, [F.lit(m) for m in self.facts["prior"]])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if not self.one_vs_rest:
+        if self.boosted:
+            scored = self.margins(df).withColumn("probability", boosting.softmax(F.col("margins"))).drop("margins")
+        else:
             scored = self.models[0].transform(df).withColumn("probability", vector_to_array("probability"))
-            return with_predicted(scored, self.classes)
-        for i, model in enumerate(self.models):
-            df = model.transform(df)
-            df = df.withColumn(f"__p{i}", vector_to_array(f"__v{i}")[1]).drop(f"__v{i}")
-        places = [F.col(f"__p{i}") for i in range(len(self.models))]
-        total = sum(places[1:], places[0])
-        share = F.array(*[F.when(total > 0, p / total).otherwise(F.lit(1.0 / len(places))) for p in places])
-        return with_predicted(df.withColumn("probability", share), self.classes).drop(*[f"__p{i}" for i in range(len(places))])
+        return with_predicted(scored, self.classes)
 
 
 def _timed(estimator, rows: DataFrame, classes: list[str]) -> Fitted:
@@ -167,46 +165,17 @@ def fit_forest(train: DataFrame, classes: list[str], trees: int = 100, max_depth
                                          featureSubsetStrategy=features, **_common(weight)), train, classes)
 
 
-POOL = 4  # classes fitted at the same time
-
-
 def fit_boosted(train: DataFrame, classes: list[str], rounds: int = 100, max_depth: int = 5, rate: float = 0.1,
                 subsample: float = 0.8, columns: str = "0.8", min_leaf: int = 1, weight: str | None = None,
-                validation: DataFrame | None = None, patience: int = 50, max_bins: int = 32, pool: int = POOL) -> Fitted:
-    """Boosted trees, one class against the rest, some classes at a time.
+                validation: DataFrame | None = None, patience: int = 50, max_bins: int = 32, **settings) -> Fitted:
+    """Softmax boosting with carried margins; with validation rows it ends ``patience`` rounds after the best one, which is kept.
 
-    With validation rows the best round of each class is kept: boosting goes on until ``patience`` rounds bring no lower
-    validation loss (or ``rounds`` are done).  ``min_leaf`` bounds rows per leaf, not their second derivatives, and there
-    is no penalty on leaf values.
+    ``min_leaf`` bounds rows per leaf, not their curvature, and there is no penalty on leaf values.
     """
-    def one(i: int) -> tuple[GBTClassificationModel, int]:
-        def fit(n: int) -> GBTClassificationModel:
-            binary = train.withColumn("__label", (F.col("label") == float(i)).cast("double"))
-            return GBTClassifier(featuresCol="features", labelCol="__label", maxIter=n, maxDepth=max_depth, stepSize=rate,
-                                 subsamplingRate=subsample, featureSubsetStrategy=columns, minInstancesPerNode=min_leaf,
-                                 maxBins=max_bins, seed=SEED, **({"weightCol": weight} if weight else {})).fit(binary)
-        if validation is None:
-            return fit(rounds), rounds
-        held = validation.withColumn("__label", (F.col("label") == float(i)).cast("double"))
-        tried = min(rounds, 2 * patience)
-        while True:
-            model = fit(tried)  # the seed makes the first rounds of a longer run equal to those of a shorter one
-            losses = model.evaluateEachIteration(held)
-            best = min(range(len(losses)), key=losses.__getitem__) + 1
-            if tried == rounds or best + patience <= tried:
-                return (model if best == tried else fit(best)), tried
-            tried = min(rounds, 2 * tried)
-
-    start = time.perf_counter()
-    with ThreadPoolExecutor(pool) as threads:
-        found = list(threads.map(inheritable_thread_target(train.sparkSession)(one), range(len(classes))))
-    return Fitted([_quiet(model, i) for i, (model, _) in enumerate(found)], classes, seconds=time.perf_counter() - start,
-                  facts={"best_round": [model.getNumTrees for model, _ in found], "rounds": [tried for _, tried in found]})
-
-
-def _quiet(model: GBTClassificationModel, i: int) -> GBTClassificationModel:
-    """Write the probability of class ``i`` to a column of its own and nothing else."""
-    return model.setProbabilityCol(f"__v{i}").setPredictionCol("").setRawPredictionCol("")
+    models, facts, seconds = boosting.fit(
+        train, classes, rounds=rounds, max_depth=max_depth, rate=rate, subsample=subsample, columns=columns, min_leaf=min_leaf,
+        weight=weight, validation=validation, patience=patience, max_bins=max_bins, seed=SEED, **settings)
+    return Fitted(models, classes, seconds=seconds, facts=facts)
 
 
 def fit_final(train: DataFrame, validation: DataFrame, classes: list[str], rounds: int = 2000, max_depth: int = 7,
@@ -242,15 +211,12 @@ class FinalModel:
         mix = self.mix
         tables = {"mix": mix.table} | {f"frequency_{c}": t for c, t in self.frequencies.items()}
         facts = dict(classes=mix.classes, prior=mix.prior, tags=mix.tags, folds=mix.folds, sizes=mix.sizes,
-                     frequencies=list(self.frequencies), roles=asdict(self.roles), fitted=self.fitted.facts)
+                     frequencies=list(self.frequencies), roles=asdict(self.roles))
         save_state(mix.table.sparkSession, path, self.fitted, self.encoder, tables, facts)
 
     @classmethod
     def load(cls, spark, path: str) -> "FinalModel":
         fitted, encoder, tables, facts = load_state(spark, path)
-        for i, model in enumerate(fitted.models):
-            _quiet(model, i)
-        fitted.facts = facts["fitted"]
         mix = MixTables(tables["mix"], facts["classes"], facts["prior"], facts["tags"], facts["folds"], facts["sizes"])
         roles = Roles(**{k: tuple(v) if isinstance(v, list) else v for k, v in facts["roles"].items()})
         return cls({c: tables[f"frequency_{c}"] for c in facts["frequencies"]}, mix, encoder, fitted, roles)
@@ -478,7 +444,7 @@ def apply_class_weights(pred: DataFrame, classes: list[str], weights: list[float
 # ------------------------------------------------------------------ persistence
 
 _LOADERS = {m.__name__: m for m in (LogisticRegressionModel, DecisionTreeClassificationModel,
-                                     RandomForestClassificationModel, GBTClassificationModel)}
+                                     RandomForestClassificationModel, GBTRegressionModel)}
 
 
 def save_state(spark, path: str, fitted: Fitted, encoder: PipelineModel, tables: dict[str, DataFrame] | None = None,
@@ -490,14 +456,14 @@ def save_state(spark, path: str, fitted: Fitted, encoder: PipelineModel, tables:
     for name, table in (tables or {}).items():
         table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
     about = dict(classes=fitted.classes, kind=type(fitted.models[0]).__name__, models=len(fitted.models),
-                 converged=fitted.converged, seconds=fitted.seconds, facts=facts or {}, tables=sorted(tables or {}))
+                 converged=fitted.converged, seconds=fitted.seconds, fitted=fitted.facts, facts=facts or {}, tables=sorted(tables or {}))
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
 def load_state(spark, path: str) -> tuple[Fitted, PipelineModel, dict[str, DataFrame], dict]:
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     models = [_LOADERS[about["kind"]].load(f"{path}/models/{i}") for i in range(about["models"])]
-    fitted = Fitted(models, about["classes"], about["converged"], about["seconds"])
+    fitted = Fitted(models, about["classes"], about["converged"], about["seconds"], about["fitted"])
     tables = {n: spark.read.parquet(f"{path}/tables/{n}") for n in about["tables"]}
     return fitted, PipelineModel.load(f"{path}/encoder"), tables, about["facts"]
 

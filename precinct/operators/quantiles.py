@@ -1,132 +1,136 @@
-"""Exact quantiles of large columns.
+"""Exact quantiles of large columns in two scans.
 
 Spark's exact ``percentile`` merges one map of all distinct values into a single
-task, which does not hold for a high-cardinality column.  Here every pass is one
-scan with a fixed-size aggregate: a histogram whose bins are narrowed around the
-wanted ranks until each rank lies in a bin with one distinct value (however many
-rows repeat it) or in a bin small enough to sort.
+task, which does not hold for a high-cardinality column.  Here the first scan makes a mergeable
+quantile sketch per column, which brackets every wanted rank; the second one counts exactly what lies below each
+bracket, on its ends and inside it, and sorts the few rows inside.  A bracket too large to sort (from some hundred million
+rows on) is bracketed once more by a sketch of its inside.  The counts decide: a bracket that misses its rank is moved.
 """
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from precinct.functions.predicates import is_finite
 
-BINS = 4096
-SORT_ROWS = 50_000
+ACCURACY = 2000  # the sketch's ranks are wrong by at most a share of 1 / ACCURACY
+BINS = 64  # points of the sketch of a bracket's inside
+SORT_ROWS = 50_000  # rows of a bracket that are sorted
 
 
 @dataclass(frozen=True)
-class Interval:
-    """Closed value range of one column that holds the given ranks."""
+class Bracket:
+    """Two values of a column that enclose the given ranks, and the rows expected between them."""
 
     column: int
     low: float
     high: float
-    below: int
-    rows: int
+    rows: float
     ranks: tuple[int, ...]
 
+    @property
+    def sorts(self) -> bool:
+        return self.rows <= SORT_ROWS
+
 
 def _ranks(n: int, probability: float) -> tuple[int, int, float]:
     position = (n - 1) * probability
     return math.floor(position), math.ceil(position), position - math.floor(position)
 
 
-def _values(df: DataFrame, cols) -> DataFrame:
-    """Long form (column number, value) without NULL, NaN and infinities."""
-    array = F.array(*[F.col(c).cast("double") for c in cols])
-    return (df.select(F.posexplode(array).alias("c", "v"))
-            .filter(is_finite(F.col("v"))))
-
-
-def _inside(intervals: list[Interval]):
-    """Index of the interval a row falls in, NULL outside all of them."""
-    chain = None
-    for i, part in enumerate(intervals):
-        hit = (F.col("c") == part.column) & F.col("v").between(F.lit(part.low), F.lit(part.high))
-        chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
-    return chain
-
-
-def _bin(intervals: list[Interval]):
-    # Halving before subtracting keeps the width finite over the whole double range.
-    chain = None
-    for i, part in enumerate(intervals):
-        width = part.high / 2 - part.low / 2
-        place = F.floor((F.col("v") / 2 - F.lit(part.low / 2)) / F.lit(width) * BINS)
-        place = F.greatest(F.lit(0), F.least(place.cast("long"), F.lit(BINS - 1)))
-        hit = F.col("part") == i
-        chain = F.when(hit, place) if chain is None else chain.when(hit, place)
-    return chain
-
-
-def _narrow(values: DataFrame, intervals: list[Interval]) -> list[Interval]:
-    """One scan: histogram of all open intervals, then the bins around the ranks."""
-    binned = (values.withColumn("part", _inside(intervals)).filter(F.col("part").isNotNull())
-              .groupBy("part", _bin(intervals).alias("bin"))
-              .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
-    rows = sorted(binned.collect(), key=lambda r: (r["part"], r["bin"]))  # at most BINS per interval
-    found: list[Interval] = []
-    for i, part in enumerate(intervals):
-        below = part.below
-        for row in (r for r in rows if r["part"] == i):
-            inside = tuple(k for k in part.ranks if below <= k < below + row["n"])
-            if inside:
-                found.append(Interval(part.column, row["low"], row["high"], below, row["n"], inside))
-            below += row["n"]
-    return found
-
-
-def _sort_small(values: DataFrame, intervals: list[Interval]) -> dict[tuple[int, int], float]:
-    """Ranks inside intervals of at most SORT_ROWS rows each."""
-    grouped = (values.withColumn("part", _inside(intervals)).filter(F.col("part").isNotNull())
-               .groupBy("part").agg(F.sort_array(F.collect_list("v")).alias("sorted")))
-    picks = [F.struct(F.lit(i).alias("part"), F.lit(k).cast("long").alias("rank"), F.lit(k - p.below).alias("at"))
-             for i, p in enumerate(intervals) for k in p.ranks]
-    wanted = (grouped.withColumn("pick", F.explode(F.array(*picks))).filter("pick.part = part")
-              .select("part", F.col("pick.rank").alias("rank"), F.col("sorted")[F.col("pick.at")].alias("v")))
-    return {(intervals[r["part"]].column, r["rank"]): r["v"] for r in wanted.collect()}
+def _value(column: int):
+    return F.col(f"v{column}")
+
+
+def _scan(values: DataFrame, aggregates: list) -> Row:
+    """One pass over the table: every bracket and column of it in one aggregate of fixed size."""
+    return values.agg(*aggregates).first()
+
+
+def _sketched(values: DataFrame, columns: int, probabilities: list[float]) -> list[tuple[int, float, float, list[float]]]:
+    """Per column: finite values, least and largest one, and the values around each probability (lower ends, then upper ends)."""
+    ends = [max(0.0, q - 2 / ACCURACY) for q in probabilities] + [min(1.0, q + 2 / ACCURACY) for q in probabilities]
+    row = _scan(values, [a.alias(f"{name}{c}") for c in range(columns) for name, a in (
+        ("n", F.count(_value(c))), ("low", F.min(_value(c))), ("high", F.max(_value(c))), ("at", F.percentile_approx(_value(c), ends, ACCURACY)))])
+    return [(row[f"n{c}"], row[f"low{c}"], row[f"high{c}"], row[f"at{c}"]) for c in range(columns)]
+
+
+def _inspected(values: DataFrame, brackets: list[Bracket]) -> list[Row]:
+    """Per bracket: rows below it, on its ends and inside, and the values at its ranks or a sketch of its inside."""
+    aggregates, made = [], []
+    for i, b in enumerate(brackets):
+        v, low, high = _value(b.column), F.lit(b.low), F.lit(b.high)
+        inside = F.when((v > low) & (v < high), v)
+        grid = [k / BINS for k in range(BINS + 1)]
+        aggregates += [F.count_if(v < low).alias(f"below{i}"), F.count_if(v == low).alias(f"low{i}"), F.count(inside).alias(f"inside{i}"),
+                       F.count_if(v == high).alias(f"high{i}"),
+                       (F.sort_array(F.collect_list(inside)) if b.sorts else F.percentile_approx(inside, grid, ACCURACY)).alias(f"at{i}")]
+        place = lambda r, i=i: (F.lit(r) - F.col(f"below{i}") - F.col(f"low{i}")).cast("int")
+        at = F.array(*[F.when(place(r) >= 0, F.get(f"at{i}", place(r))) for r in b.ranks]) if b.sorts else F.col(f"at{i}")
+        made.append(F.struct(F.col(f"below{i}").alias("below"), F.col(f"low{i}").alias("low"), F.col(f"inside{i}").alias("inside"),
+                             F.col(f"high{i}").alias("high"), at.alias("at")).alias(f"b{i}"))
+    return list(_scan(values.agg(*aggregates), [F.first(c).alias(f"b{i}") for i, c in enumerate(made)]))
+
+
+def _resolved(b: Bracket, seen: Row, least: float, most: float) -> tuple[dict[int, float], list[Bracket]]:
+    """Values of the ranks that the counts settle, and brackets for the others."""
+    known: dict[int, float] = {}
+    todo: list[Bracket] = []
+    for i, r in enumerate(b.ranks):
+        place = r - seen["below"] - seen["low"]
+        if r < seen["below"]:
+            todo.append(Bracket(b.column, least, b.low, seen["below"], (r,)))
+        elif place < 0:
+            known[r] = b.low
+        elif place >= seen["inside"] + (seen["high"] if b.high > b.low else 0):
+            todo.append(Bracket(b.column, b.high, most, math.inf, (r,)))
+        elif place >= seen["inside"]:
+            known[r] = b.high
+        elif b.sorts:
+            known[r] = seen["at"][i]
+        else:
+            share = place / seen["inside"]
+            first, last = max(0, math.floor((share - 2 / ACCURACY) * BINS)), min(BINS, math.ceil((share + 2 / ACCURACY) * BINS))
+            rows = seen["inside"] * ((last - first) / BINS + 4 / ACCURACY)
+            todo.append(Bracket(b.column, seen["at"][first], seen["at"][last], rows, (r,)))
+    return known, todo
 
 
 def exact_quantiles(df: DataFrame, cols, probabilities) -> dict[str, dict[float, float | None]]:
     """Linear-interpolated quantiles per column, over the finite values."""
     cols, probabilities = list(cols), list(probabilities)
-    values = _values(df, cols)
-    spans = {r["c"]: r for r in values.groupBy("c").agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    whole = [F.col(c).cast("double") for c in cols]
+    values = df.select(*[F.when(is_finite(v), v).alias(f"v{i}") for i, v in enumerate(whole)])
+    spans = _sketched(values, len(cols), probabilities)
     known: dict[tuple[int, int], float] = {}
-    todo = []
-    for c, span in spans.items():
-        ranks = {r for q in probabilities for r in _ranks(span["n"], q)[:2]}
-        known[(c, 0)], known[(c, span["n"] - 1)] = span["low"], span["high"]
-        inner = tuple(sorted(r for r in ranks if (c, r) not in known))
-        if inner:
-            todo.append(Interval(c, span["low"], span["high"], 0, span["n"], inner))
+    wanted: dict[tuple, set[int]] = {}
+    for c, (n, low, high, at) in enumerate(spans):
+        if n:
+            known[c, 0], known[c, n - 1] = low, high
+        for i, q in enumerate(probabilities if n else []):
+            ends = (low, high, n) if n <= SORT_ROWS else (at[i], at[i + len(probabilities)], 6 * n / ACCURACY)
+            for r in _ranks(n, q)[:2]:
+                if (c, r) not in known:
+                    wanted.setdefault((c, *ends), set()).add(r)
+    todo = [Bracket(*key, tuple(sorted(ranks))) for key, ranks in wanted.items()]
     while todo:
-        small = []
-        for part in todo:
-            if part.low == part.high:
-                known.update({(part.column, k): part.low for k in part.ranks})
-            elif part.rows <= SORT_ROWS:
-                small.append(part)
-        todo = [p for p in todo if p.low != p.high and p.rows > SORT_ROWS]
-        if small:
-            known.update(_sort_small(values, small))
-        if todo:
-            todo = _narrow(values, todo)
+        seen, later = _inspected(values, todo), []
+        for b, row in zip(todo, seen):
+            found, more = _resolved(b, row, *spans[b.column][1:3])
+            known.update({(b.column, r): v for r, v in found.items()})
+            later += more
+        todo = later
     result: dict[str, dict[float, float | None]] = {}
     for c, name in enumerate(cols):
         result[name] = {}
         for q in probabilities:
-            if c not in spans:
+            if not spans[c][0]:
                 result[name][q] = None
                 continue
-            low, high, part = _ranks(spans[c]["n"], q)
+            low, high, part = _ranks(spans[c][0], q)
             a, b = known[(c, low)], known[(c, high)]
             result[name][q] = a if part == 0 else a + (b - a) * part
     return result

@@ -69,6 +69,24 @@ def test_zone_mix_needs_a_complete_match(tiny):
     with pytest.raises(ValueError):
         explore.zone_mix(tiny, zones.filter("unique_key > 1"))
     assert explore.zone_mix(tiny, None)[0] is None
+    joined = explore.zone_mix(tiny, zones.filter("unique_key > 1"), check=False)
+    assert dict(rows_of(joined[1])) == {"N": 4, "[MISSING]": 7}
+
+
+@pytest.mark.parametrize("fault, rows, zones", [
+    ("null id", [None, None, 1], [1]), ("no zone", [1, 2, 3], [1, 2]), ("no record", [1], [1, 2]), ("repeated record", [1, 1, 2], [1, 2]),
+    ("repeated zone", [1, 2], [1, 2, 2])])
+def test_zone_faults_are_named_and_counted(spark, fault, rows, zones):
+    df = spark.createDataFrame([(i, "A") for i in rows], "unique_key long, primary_type string")
+    side = spark.createDataFrame([(i, "N") for i in zones], "unique_key long, area_group string")
+    with pytest.raises(ValueError, match=f"'{fault}': 1"):
+        explore.zone_mix(df, side)
+
+
+def test_zone_cells_need_one_shuffle_of_the_rows(tiny):
+    zones = tiny.selectExpr("unique_key", "'N' as area_group")
+    plan = explore.zone_cells(tiny, zones)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(") == 2  # by id, and the few cells
 
 
 def test_ten_findings_and_manifest(tiny):

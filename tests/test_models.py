@@ -1,8 +1,9 @@
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from precinct.operators import evaluation, features, models
+from precinct.operators import boosting, evaluation, features, models
 from precinct.operators.relational import class_names
 from precinct.operators.splits import with_split
 from precinct.plans.model_queries import encoded
@@ -69,10 +70,47 @@ def test_convergence_flag(made):
     assert models.fit_logistic(train_of(made), made[1], max_iter=300, tol=0.1).converged is True
 
 
-def test_early_stopping_needs_fewer_trees(made):
-    fitted = models.fit_boosted(train_of(made), made[1], rounds=12, max_depth=2, validation=made[0].filter("split = 'validation'"), patience=3)
-    assert [m.getNumTrees for m in fitted.models] == fitted.facts["best_round"]
-    assert all(1 <= best <= tried and (tried == 12 or tried - best >= 3) for best, tried in zip(fitted.facts["best_round"], fitted.facts["rounds"]))
+def boosted(made, **settings):
+    return models.fit_boosted(train_of(made), made[1], max_depth=2, validation=made[0].filter("split = 'validation'"), **settings)
+
+
+def test_early_stopping_keeps_the_best_round(made, spark):
+    fitted = boosted(made, rounds=12, patience=3)
+    facts = fitted.facts
+    held = [v for _, v in facts["losses"]]
+    assert [m.getNumTrees for m in fitted.models] == [facts["best_round"]] * len(made[1])
+    assert facts["best_round"] == held.index(min(held)) + 1 and len(held) == facts["rounds"]
+    assert facts["rounds"] == 12 or facts["rounds"] - facts["best_round"] == 3
+    assert [r["kept"] for r in boosting.loss_table(spark, facts).collect()].index(True) + 1 == facts["best_round"]
+
+
+def test_patience_ends_the_run(made):
+    """A rate that overshoots: the validation loss rises soon, and the rounds behind the best one are left out."""
+    facts = boosted(made, rounds=30, rate=3.0, patience=2).facts
+    assert facts["rounds"] == facts["best_round"] + 2 < 30
+
+
+def test_carried_margins_are_those_of_the_model(made):
+    """Losses of the loop (margins carried, stored every two rounds) against losses of the finished model."""
+    fitted = boosted(made, rounds=5, patience=9, store_every=2)
+    for split, place in (("train", 0), ("validation", 1)):
+        rows = fitted.margins(made[0].filter(F.col("split") == split))
+        loss = rows.agg(F.avg(boosting.log_loss(F.col("margins"), F.col("label")))).first()[0]
+        assert loss == pytest.approx(fitted.facts["losses"][fitted.facts["best_round"] - 1][place], abs=1e-9)
+    assert [a for a, _ in fitted.facts["losses"]] == sorted((a for a, _ in fitted.facts["losses"]), reverse=True)
+
+
+def test_margins_follow_a_plain_version(spark):
+    """One class decided by a number: the first round's leaves are Newton steps computed by hand."""
+    rows = [(float(x >= 5), Vectors.dense([float(x)])) for x in range(10)]
+    df = spark.createDataFrame(rows, ["label", "features"])
+    run = boosting.boost(df, 2, rounds=1, max_depth=1, rate=0.5)
+    share = 0.5  # (5 + 1) / (10 + 2)
+    step = (1 - share) / (share * (1 - share))  # gradient / curvature of a row of the class
+    got = run.add(df.withColumn("margins", F.array(*[F.lit(m) for m in run.prior])), 0, 1).collect()
+    for r in got:
+        sign = 1 if r["label"] == 1 else -1
+        assert r["margins"] == pytest.approx([run.prior[0] - sign * 0.5 * step, run.prior[1] + sign * 0.5 * step])
 
 
 def test_importance_names_features(made):

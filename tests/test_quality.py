@@ -87,6 +87,31 @@ def test_duplicates_and_cardinality(tiny):
     assert dict(rows_of(quality.cardinality(tiny, ["ward", "primary_type"]))) == {"ward": 6, "primary_type": 4}
 
 
+ODD_ROWS = [(None, 1, 0.0), (1, None, 0.0), (None, 1, 0.0), (1, None, -0.0), (None, None, float("nan")), (None, None, float("nan")), (1, 1, None), (2, 1, None)]
+
+
+@pytest.mark.parametrize("verify", [False, True])
+def test_duplicates_of_odd_rows(spark, verify):
+    df = spark.createDataFrame(ODD_ROWS, "a int, b int, c double")
+    got = {r["scope"]: (r["total_rows"], r["distinct_rows"]) for r in quality.duplicate_profile(df, ["a", "c"], verify).collect()}
+    assert got == {"<row>": (8, 5), "a": (8, 3), "c": (8, 3)}
+    assert [tuple(r) for r in quality.duplicate_profile(df.limit(0), ["a"], verify).collect()] == [("<row>", 0, 0, 0), ("a", 0, 0, 0)]
+
+
+def test_unlike_rows_behind_one_fingerprint_are_told_apart(spark, monkeypatch):
+    weak = lambda *cols: F.struct((F.xxhash64(*cols) % 3).alias("h1"), F.lit(0).cast("long").alias("h2"))
+    monkeypatch.setattr(quality, "fingerprint", weak)
+    df = spark.createDataFrame([(i % 40, i % 7) for i in range(200)], "a int, b int")
+    got = {r["scope"]: r["distinct_rows"] for r in quality.duplicate_profile(df, ["a", "b"], verify=True).collect()}
+    assert got == {"<row>": df.distinct().count(), "a": 40, "b": 7}
+
+
+def test_no_whole_row_in_the_shuffle_of_duplicates(tiny):
+    plan = quality.duplicate_profile(tiny, ["case_number"])._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert shuffled and not any("latitude" in line for line in shuffled) and "Expand" not in plan
+
+
 def test_rules_and_year_mismatch(tiny):
     assert quality.year_mismatch(tiny).first()[0] == 0
     found = dict(rows_of(quality.validity_checks(tiny, quality.default_rules())))
