@@ -328,20 +328,28 @@ def _standing(row: dict) -> tuple:
     return -row["macro_f1"], -row["weighted_f1"], row["training_seconds"], row["model"]
 
 
+def one_by_one(candidates: list[tuple[str, str, dict]], run) -> list[tuple[Fitted, tuple]]:
+    return [run(*candidate) for candidate in candidates]
+
+
 def tune(train: DataFrame, validation: DataFrame, classes: list[str], target: str, experiment: str,
-         baselines: dict[str, dict], grids: dict[str, dict] = GRIDS, families: int = 2
+         baselines: dict[str, dict], grids: dict[str, dict] = GRIDS, families: int = 2, runner=one_by_one
          ) -> tuple[DataFrame, dict[tuple[str, str], Fitted]]:
     """Baselines first, then the grids of the best converged families, all on the fixed validation period.
 
-    Returns the result rows (one per candidate) and the fitted candidates; none is refitted.
+    Returns the result rows (one per candidate) and the fitted candidates; none is refitted.  ``runner`` runs the
+    candidates of a step: one by one, or ``search.Trials``, which takes up a search that was interrupted.
     """
     columns = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
     fitted: dict[tuple[str, str], Fitted] = {}
 
+    def run(name: str, tag: str, params: dict) -> tuple[Fitted, tuple]:
+        return run_candidate(name, tag, train, validation, classes, target, experiment, **params)
+
     def evaluated(candidates: list[tuple[str, str, dict]]) -> list[dict]:
         rows = []
-        for name, tag, params in candidates:
-            fitted[name, tag], row = run_candidate(name, tag, train, validation, classes, target, experiment, **params)
+        for (name, tag, _), (model, row) in zip(candidates, runner(candidates, run)):
+            fitted[name, tag] = model
             rows.append(dict(zip(columns, row)))
         return rows
 

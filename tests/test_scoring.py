@@ -1,3 +1,5 @@
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,25 @@ def test_two_requests_with_one_id_are_an_error(spark):
 def test_times_in_words(spark):
     row = answer(spark, (1.0, 0.0, 0.0), (1.0, 0.0, 0.0)).first()
     assert row["averaged_over"].startswith("every Saturday in July 2026 at 23:00-23:59") and row["model_name"] == "final" and row["area"].endswith(")")
+
+
+class Sums:
+    """A model that looks at every input and counts the rows it is shown."""
+
+    def __init__(self):
+        self.shown = 0
+
+    def transform(self, df):
+        self.shown = df.count()
+        mark = F.xxhash64(F.hour("date"), F.minute("date"), F.dayofmonth("date"), F.month("date"), F.weekday("date"), *scoring.SCORED_ON) % 100 / 100
+        return df.withColumn("probability", F.array(mark, 1 - mark))
+
+
+def test_distinct_inputs_are_scored_once(spark):
+    requests = [{**GOOD, "requestId": i, "request_id": i, "month": 7 if i % 3 else 8, "ward": None if i % 2 else 4} for i in range(12)]
+    parts = [resolved(spark, month=r["month"], ward=r["ward"]).withColumn("request_id", F.lit(r["request_id"])) for r in requests]
+    rows = scoring.expand_requests(reduce(lambda a, b: a.unionByName(b), parts), F.lit(0.4))
+    plain, once = Sums(), Sums()
+    key = lambda df: sorted((r["request_id"], [round(p, 9) for p in r["probability"]]) for r in scoring.average_probabilities(df, ["A", "B"]).collect())
+    assert key(scoring.score(rows, plain)) == key(scoring.score_distinct(rows, once))
+    assert plain.shown == rows.count() and once.shown == 2 * (4 + 5) * 6  # two wards, four dates in July and five in August

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,42 @@ def test_latest_version_lists_folders(spark, tmp_path):
     assert [tables.write_snapshot(spark.range(n), root) for n in (1, 2, 3)] == [1, 2, 3]
     (tmp_path / "versions" / "v=note").mkdir()
     assert tables.latest_version(spark, root) == 3 and tables.read_snapshot(spark, root)[0].count() == 3
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    root = str(tmp_path / "s")
+    with ThreadPoolExecutor(4) as threads:
+        numbers = list(threads.map(lambda n: tables.write_snapshot(spark.range(n), root), range(1, 5)))
+    assert sorted(numbers) == [1, 2, 3, 4]
+    assert {v: tables.read_snapshot(spark, root, v)[0].count() for v in numbers} == dict(zip(numbers, range(1, 5)))
+
+
+def test_a_lost_number_is_followed_by_the_next(spark, tmp_path, monkeypatch):
+    """Another writer takes the number between the listing and the claim."""
+    root, latest = str(tmp_path / "s"), tables.latest_version
+    seen = []
+
+    def late(session, where):
+        found = latest(session, where)
+        if not seen:
+            seen.append(1)
+            tables.write_snapshot(spark.range(7), root)
+        return found
+
+    monkeypatch.setattr(tables, "latest_version", late)
+    assert tables.write_snapshot(spark.range(3), root) == 2
+    assert [tables.read_snapshot(spark, root, v)[0].count() for v in (1, 2)] == [7, 3]
+
+
+def test_publishing_a_name_twice_keeps_the_first(spark, tmp_path):
+    root = str(tmp_path / "p")
+    assert tables.publish_once(spark.range(2), root, "k=a") is True and tables.publish_once(spark.range(5), root, "k=a") is False
+    assert spark.read.parquet(f"{root}/k=a").count() == 2 and spark.read.parquet(root).count() == 2
+
+
+def test_a_table_rewritten_with_another_schema(spark, tiny, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_table(tiny.drop("ward"), "tiny_external", path=path)
+    tables.write_table(tiny, "tiny_external", overwrite_schema=True, path=path)
+    assert spark.table("tiny_external").columns == tiny.columns and spark.table("tiny_external").count() == 12
+    spark.sql("DROP TABLE tiny_external")
