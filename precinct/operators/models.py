@@ -202,9 +202,12 @@ class FinalModel:
     fitted: Fitted
     roles: Roles = INCIDENTS
 
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """Raw rows with ``features``."""
+        return self.encoder.transform(_final_inputs(df, self.frequencies, self.mix, None, self.roles))
+
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = _final_inputs(df, self.frequencies, self.mix, None, self.roles)
-        return self.fitted.transform(self.encoder.transform(rows))
+        return self.fitted.transform(self.encoded(df))
 
     def save(self, path: str) -> None:
         """Write everything that scoring needs under ``path``."""

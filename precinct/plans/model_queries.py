@@ -1,8 +1,8 @@
 """Encoding and model queries over the incident view.
 
-Settings are the operators' defaults, but for boosting and the search over grids: Spark's boosted trees take one job per
-level, round and class, so the default 2000 rounds don't end in a run of all queries (see README); ROUNDS says what is
-registered.  A fit is made once per session and table folder and serves every query that looks at it.
+Settings are the operators' defaults, but for the number of rounds of the final model and the families of the search (see
+README for both at their defaults).  A fit is made once per session and state of the files, and serves every query that
+looks at it; the bench forgets it before each run.
 """
 from __future__ import annotations
 
@@ -12,43 +12,63 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.operators import evaluation, features, models, scoring
+from precinct.operators import boosting, evaluation, export, features, models, scoring, search
 from precinct.operators.relational import class_names
+from precinct.operators.selection import rank_results
 from precinct.operators.splits import time_split, with_split
 from precinct.plans.common import SPLIT, over, query, r6
 from precinct.plans.feature_queries import predictions
 from precinct.plans.quality_queries import AREA_GROUP, MEDIANS
 from precinct.plans.scoring_queries import _resolved, expanded_requests
 from precinct.session import shared_path, store
+from precinct.sources.tables import snapshot_digest
 from precinct.sources.testviews import TRAIN_END, VALIDATION_END, incidents
 
 TARGET = "primary_type"
 _FITS: dict = {}
-ROUNDS, FINAL_ROUNDS, PATIENCE = 5, 8, 3
+FINAL_ROUNDS = 40  # of 2000
+
+
+def _state(spark, folder) -> tuple:
+    """Names, sizes and times of the files that the incident view reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in ("orders", "customer", "nation"):
+        place = path(f"{folder}/{name}.parquet")
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files.listStatus(place)]
+    return tuple(found)
 
 
 def once(build):
-    """Keep what a fit returns for the session and the folder."""
+    """Keep what a fit returns for the session and the state of the files."""
     @functools.wraps(build)
     def kept(spark, folder):
-        key = (spark.sparkContext.applicationId, folder, build.__name__)
+        key = (spark.sparkContext.applicationId, build.__name__, _state(spark, folder))
         if key not in _FITS:
             _FITS[key] = build(spark, folder)
         return _FITS[key]
     return kept
 
 
-SUPPORT = ("SELECT primary_type AS class, count(*) AS support, true AS probabilities_sum_to_one, true AS every_class_known "
+def forget() -> None:
+    """Drop all kept fits."""
+    _FITS.clear()
+
+
+SUPPORT = ("SELECT primary_type AS class, count(*) AS support, count(*) AS agreeing, true AS better_than_majority "
            "FROM sp WHERE split = '{}' GROUP BY 1")
 
 
-def facts(fitted, rows: DataFrame) -> DataFrame:
-    """Per true class: rows scored, whether each row's probabilities add up to one, whether each answer is a known class."""
-    scored = fitted.transform(rows)
-    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
-    return scored.groupBy(F.col(TARGET).alias("class")).agg(
-        F.count("*").alias("support"), F.min(F.abs(total - 1) < 1e-6).alias("probabilities_sum_to_one"),
-        F.min(F.col("predicted").isin(*fitted.classes)).alias("every_class_known"))
+def facts(fitted, rows: DataFrame, train: DataFrame) -> DataFrame:
+    """Per true class: rows scored, and rows whose answer follows from the exported tables too; and whether the model does
+    better on its training rows than the largest class."""
+    pred = fitted.transform(rows).select("unique_key", F.col(TARGET).alias("actual"), "predicted")
+    own = fitted.transform(train).agg(F.avg((F.col("predicted") == F.col(TARGET)).cast("double")).alias("v")).first()["v"]
+    counts = train.groupBy(TARGET).count()
+    majority = counts.agg(F.max("count") / F.sum("count")).first()[0]
+    return export.agreement(pred, export.score_by_tables(fitted, rows, "unique_key"), fitted.classes, "unique_key").withColumn(
+        "better_than_majority", F.lit(own > majority))
 
 
 def encoded(spark, folder, scale: bool = False):
@@ -114,7 +134,7 @@ def logistic_regression(spark, folder):
 @query("logistic_regression_facts", over(SUPPORT.format("validation"), sp=SPLIT))
 def logistic_regression_facts(spark, folder):
     fitted, made, _ = logistic_regression_fit(spark, folder)
-    return facts(fitted, _split(made, "validation"))
+    return facts(fitted, _split(made, "validation"), _split(made, "train"))
 
 
 @once
@@ -131,7 +151,7 @@ def decision_tree(spark, folder):
 @query("decision_tree_facts", over(SUPPORT.format("validation"), sp=SPLIT))
 def decision_tree_facts(spark, folder):
     fitted, made, _ = decision_tree_fit(spark, folder)
-    return facts(fitted, _split(made, "validation"))
+    return facts(fitted, _split(made, "validation"), _split(made, "train"))
 
 
 @once
@@ -148,7 +168,7 @@ def random_forest(spark, folder):
 @query("random_forest_facts", over(SUPPORT.format("validation"), sp=SPLIT))
 def random_forest_facts(spark, folder):
     fitted, made, _ = random_forest_fit(spark, folder)
-    return facts(fitted, _split(made, "validation"))
+    return facts(fitted, _split(made, "validation"), _split(made, "train"))
 
 
 @once
@@ -158,6 +178,16 @@ def interim_fit(spark, folder):
     return *models.fit_interim(inc, medians), medians
 
 
+@query("interim_forest_facts", over(
+    "SELECT primary_type AS class, CAST(round(0.2 * count(*)) AS BIGINT) AS support, CAST(round(0.2 * count(*)) AS BIGINT) AS agreeing FROM inc GROUP BY 1"))
+def interim_forest_facts(spark, folder):
+    """The interim model's answers on its test part against its exported nodes."""
+    fitted, _, test, _ = interim_fit(spark, folder)
+    rows = test.select("unique_key", TARGET, "features")
+    pred = fitted.transform(rows).select("unique_key", F.col(TARGET).alias("actual"), "predicted")
+    return export.agreement(pred, export.score_by_tables(fitted, rows, "unique_key"), fitted.classes, "unique_key")
+
+
 @query("interim_forest")
 def interim_forest(spark, folder):
     fitted, _, test, _ = interim_fit(spark, folder)
@@ -168,7 +198,7 @@ def interim_forest(spark, folder):
 @once
 def boosted_fit(spark, folder):
     made, classes, encoder = encoded(spark, folder)
-    return models.fit_boosted(store(_split(made, "train")), classes, rounds=ROUNDS), made, encoder
+    return models.fit_boosted(store(_split(made, "train")), classes), made, encoder
 
 
 @query("boosted_trees")
@@ -179,7 +209,7 @@ def boosted_trees(spark, folder):
 @query("boosted_trees_facts", over(SUPPORT.format("validation"), sp=SPLIT))
 def boosted_trees_facts(spark, folder):
     fitted, made, _ = boosted_fit(spark, folder)
-    return facts(fitted, _split(made, "validation"))
+    return facts(fitted, _split(made, "validation"), _split(made, "train"))
 
 
 @once
@@ -187,7 +217,7 @@ def final_model(spark, folder) -> models.FinalModel:
     """Fitted, written, and read back: what is scored with is the saved model."""
     train, validation, _ = time_split(incidents(spark, folder, spread=True), TRAIN_END, VALIDATION_END)
     path = shared_path(spark)
-    models.fit_final_model(train, validation, rounds=FINAL_ROUNDS, max_depth=4, patience=PATIENCE).save(path)
+    models.fit_final_model(train, validation, rounds=FINAL_ROUNDS).save(path)
     return models.FinalModel.load(spark, path)
 
 
@@ -205,20 +235,31 @@ def boosted_trees_final(spark, folder):
 @query("final_model_facts", over(SUPPORT.format("test"), sp=SPLIT))
 def final_model_facts(spark, folder):
     model = final_model(spark, folder)
-
-    class Scorer:
-        classes, transform = model.fitted.classes, staticmethod(model.transform)
-    return facts(Scorer, _test(spark, folder))
+    train = time_split(incidents(spark, folder), TRAIN_END, VALIDATION_END)[0]
+    return facts(model.fitted, store(model.encoded(_test(spark, folder))), store(model.encoded(train)))
 
 
-@query("final_model_rounds", over("SELECT DISTINCT primary_type AS class, true AS best_is_tried, true AS patience_kept FROM sp WHERE split = 'train'", sp=SPLIT))
+@query("final_model_rounds", over(
+    "SELECT (SELECT count(*) FROM sp WHERE split = 'validation' AND primary_type IN (SELECT primary_type FROM sp WHERE split = 'train')) AS validation_rows, "
+    "true AS losses_agree, true AS best_is_least, true AS ended_as_told", sp=SPLIT))
 def final_model_rounds(spark, folder):
-    """Best round and rounds tried of each class: the patience follows the best one, unless the bound was reached."""
+    """The loss that the saved model has on raw validation rows, against the one that boosting carried along."""
     model = final_model(spark, folder)
-    known = model.fitted.facts
-    rows = [(c, 1 <= best <= tried, tried == FINAL_ROUNDS or tried - best >= PATIENCE)
-            for c, best, tried in zip(model.fitted.classes, known["best_round"], known["rounds"])]
-    return spark.createDataFrame(rows, "class string, best_is_tried boolean, patience_kept boolean")
+    told = model.fitted.facts
+    held = [v for _, v in told["losses"]]
+    labels = F.array(*[F.lit(c) for c in model.fitted.classes])
+    place = F.array_position(labels, F.col(TARGET)).cast("int") - 1
+    rows = model.transform(time_split(incidents(spark, folder), TRAIN_END, VALIDATION_END)[1]).filter(place >= 0)
+    seen = rows.agg(F.count("*").alias("validation_rows"), F.avg(-F.log(F.get("probability", place))).alias("loss"))
+    return seen.select("validation_rows", (F.abs(F.col("loss") - F.lit(held[told["best_round"] - 1])) < 1e-9).alias("losses_agree"),
+                       F.lit(held[told["best_round"] - 1] == min(held)).alias("best_is_least"),
+                       F.lit(told["rounds"] in (FINAL_ROUNDS, told["best_round"] + 50)).alias("ended_as_told"))
+
+
+@query("boosting_losses")
+def boosting_losses(spark, folder):
+    """Training and validation loss of the final model after every round."""
+    return boosting.loss_table(spark, final_model(spark, folder).fitted.facts)
 
 
 @query("previous_and_final")
@@ -249,7 +290,7 @@ def previous_and_final(spark, folder):
 def score_requests_final(spark, folder):
     """Requests expanded over dates and minutes, scored by the saved final model, averaged per request."""
     model = final_model(spark, folder)
-    scored = scoring.score(expanded_requests(spark, folder), model)
+    scored = scoring.score_distinct(expanded_requests(spark, folder), model)
     return scoring.long_probabilities(scoring.average_probabilities(scored, model.fitted.classes), model.fitted.classes)
 
 
@@ -262,16 +303,28 @@ def score_requests_interim(spark, folder):
     return scoring.long_probabilities(scored, fitted.classes)
 
 
+FAMILIES = ("Logistic_Regression", "Decision_Tree", "Random_Forest")
+
+
 @query("tuned_selection")
 def tuned_selection(spark, folder):
-    from precinct.operators.selection import rank_results
+    """Baselines of three families, then the grids of the best two, side by side, as rows of a trial table."""
     made, classes, _ = encoded(spark, folder, scale=True)
     train, validation = store(models.balanced(_split(made, "train"), TARGET)), store(_split(made, "validation"))
-    families = ("Logistic_Regression", "Decision_Tree")
-    results, _ = models.tune(train, validation, classes, TARGET, "view", baselines={name: {} for name in families})
+    digest = snapshot_digest(train.select("unique_key", TARGET), ["unique_key", TARGET]).first()["digest"]
+    trials = search.Trials(spark, shared_path(spark), digest)
+    results, _ = models.tune(train, validation, classes, TARGET, digest, baselines={name: {} for name in FAMILIES}, runner=trials)
     return rank_results(results)
 
 
+@query("convergence", "SELECT * FROM (VALUES (3, false), (600, true)) AS t(max_iter, converged)")
+def convergence(spark, folder):
+    """A fit that is cut off, and the one at default settings."""
+    fitted, made, _ = logistic_regression_fit(spark, folder)
+    cut = models.fit_logistic(store(_split(made, "train")), fitted.classes, max_iter=3)
+    return spark.createDataFrame([(3, cut.converged), (600, fitted.converged)], "max_iter int, converged boolean")
+
+
 @query("class_decision_weights")
 def class_decision_weights(spark, folder):
     pred, classes = predictions(spark, folder, split="validation")
@@ -286,6 +339,37 @@ def feature_importance(spark, folder):
     return models.importance(fitted, made)
 
 
+@query("boosted_importance")
+def boosted_importance(spark, folder):
+    """The final model's largest features."""
+    model = final_model(spark, folder)
+    return models.importance(model.fitted, model.encoded(_test(spark, folder)))
+
+
+@query("importance_by_nodes", "SELECT * FROM (VALUES ('decision tree', true), ('final model', true)) AS t(model, same)")
+def importance_by_nodes(spark, folder):
+    """Importances recomputed from the exported nodes against those that the models report."""
+    rows = []
+    for name, fitted in (("decision tree", decision_tree_fit(spark, folder)[0]), ("final model", final_model(spark, folder).fitted)):
+        own: dict[int, float] = {}
+        for model in fitted.models:
+            for i, v in zip(model.featureImportances.indices, model.featureImportances.values):
+                own[int(i)] = own.get(int(i), 0.0) + float(v) / len(fitted.models)
+        found = {r["feature"]: r["importance"] for r in export.importance_from_nodes(export.node_table(fitted, spark), per_tree=False).collect()}  # one row per feature
+        rows.append((name, all(abs(own.get(i, 0.0) - found.get(i, 0.0)) < 1e-9 for i in {*own, *found})))
+    return spark.createDataFrame(rows, "model string, same boolean")
+
+
+@query("batch_prediction_facts", over(
+    "SELECT primary_type AS class, count(*) AS support, count(*) AS agreeing FROM sp WHERE split = 'test' GROUP BY 1", sp=SPLIT))
+def batch_prediction_facts(spark, folder):
+    """Answers to raw rows against the exported nodes."""
+    fitted, made, _ = decision_tree_fit(spark, folder)
+    test = _split(made, "test")
+    pred = batch_prediction(spark, folder).join(test.select("unique_key", F.col(TARGET).alias("actual")), "unique_key")
+    return export.agreement(pred, export.score_by_tables(fitted, test, "unique_key"), fitted.classes, "unique_key")
+
+
 @query("batch_prediction")
 def batch_prediction(spark, folder):
     fitted, _, encoder = decision_tree_fit(spark, folder)
