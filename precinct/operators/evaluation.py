@@ -42,33 +42,40 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
-def per_class(conf: DataFrame, by=(), include_unseen: bool = True) -> DataFrame:
-    """Precision, recall, F1 and support per class; a zero denominator gives zero."""
+def _class_sums(conf: DataFrame, by) -> DataFrame:
+    """Rows, answers and hits per class, each cell counted once on either side."""
     zero = F.lit(0).cast("long")
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(zero)
     sides = F.array(
         F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), zero.alias("guessed"), hit.alias("hits")),
         F.struct(F.col("predicted").alias("class"), zero.alias("support"), F.col("n").alias("guessed"), zero.alias("hits")))
-    sums = (conf.select(*by, F.explode(sides).alias("s")).select(*by, "s.*").groupBy(*by, "class")
+    return (conf.select(*by, F.explode(sides).alias("s")).select(*by, "s.*").groupBy(*by, "class")
             .agg(F.sum("support").alias("support"), F.sum("guessed").alias("guessed"), F.sum("hits").alias("hits")))
+
+
+def _scores() -> dict[str, Column]:
+    return {"precision": _ratio(F.col("hits"), F.col("guessed")), "recall": _ratio(F.col("hits"), F.col("support")),
+            "f1": _ratio(2.0 * F.col("hits"), F.col("support") + F.col("guessed"))}
+
+
+def per_class(conf: DataFrame, by=(), include_unseen: bool = True) -> DataFrame:
+    """Precision, recall, F1 and support per class; a zero denominator gives zero."""
+    sums = _class_sums(conf, by)
     if not include_unseen:
         sums = sums.filter(F.col("class") != UNSEEN)
-    precision, recall = _ratio(F.col("hits"), F.col("guessed")), _ratio(F.col("hits"), F.col("support"))
-    f1 = _ratio(2.0 * F.col("hits"), F.col("support") + F.col("guessed"))
-    return sums.select(*by, "class", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "support")
+    return sums.select(*by, "class", *[v.alias(name) for name, v in _scores().items()], "support")
 
 
 def overall(conf: DataFrame, by=(), include_unseen: bool = True) -> DataFrame:
-    """Accuracy over all rows; macro scores over all classes; F1 weighted by support."""
+    """Accuracy over all rows; macro scores over all classes; F1 weighted by support.  All from one use of the cells."""
     by = list(by)
-    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
-    accuracy = conf.groupBy(*by).agg((F.sum(hit) / F.sum("n")).alias("accuracy"))
-    scores = per_class(conf, by, include_unseen).groupBy(*by).agg(
-        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
-        F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
-    if by:
-        return accuracy.join(scores, by)
-    return scores.select(accuracy.scalar().alias("accuracy"), *METRICS[1:])
+    sums = _class_sums(conf, by).withColumns(_scores())
+    counted = F.lit(True) if include_unseen else F.col("class") != UNSEEN
+    kept = lambda c: F.when(counted, c)
+    return sums.groupBy(*by).agg(
+        (F.sum("hits") / F.sum("support")).alias("accuracy"), F.avg(kept(F.col("precision"))).alias("macro_precision"),
+        F.avg(kept(F.col("recall"))).alias("macro_recall"), F.avg(kept(F.col("f1"))).alias("macro_f1"),
+        (F.sum(kept(F.col("f1") * F.col("support"))) / F.sum(kept(F.col("support")))).alias("weighted_f1"))
 
 
 def top_probabilities(df: DataFrame, classes: list[str], k: int = 5, keep=()) -> DataFrame:
@@ -125,6 +132,12 @@ def compare_models(scores: DataFrame, columns) -> DataFrame:
     return long.groupBy("metric").pivot("side", list(columns)).agg(F.first("value"))
 
 
+def leakage_report(cols, excluded=LEAKAGE_COLUMNS) -> list[tuple[str, bool]]:
+    """Every excluded column, and whether it is among ``cols`` (or among what they were made from)."""
+    made = {c.removesuffix(end) for c in cols for end in ("", "_idx", "_ohe", "_num", "_freq", "_int")}
+    return [(c, c in made) for c in excluded]
+
+
 def assert_no_leakage(cols, excluded=LEAKAGE_COLUMNS) -> None:
     found = sorted(set(cols) & set(excluded))
     if found:

@@ -289,7 +289,7 @@ def zone_mix(df: DataFrame, zones: DataFrame | None, zone_col: str = "area_group
     Without ``check`` the tables are joined as they are.
     """
     if zones is None:
-        return None, None, "Pending: no zone table supplied."
+        return None, None, NO_ZONES
     label = missing_label(F.col("zone")).alias("zone")
     if check:
         cells = settle(zone_cells(df, zones, zone_col, roles))
@@ -319,8 +319,11 @@ def dimension_counts(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
             .agg(F.count("*").alias("count"), F.min("ts").alias("first_record"), F.max("ts").alias("last_record")))
 
 
-def findings(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    """Ten numbered sentences filled from the aggregates of one scan."""
+NO_ZONES = "Pending: no zone table supplied."
+
+
+def findings(df: DataFrame, roles: Roles = INCIDENTS, zone_status: str = NO_ZONES) -> DataFrame:
+    """Ten numbered sentences filled from the aggregates of one scan (and the status that ``zone_mix`` returned)."""
     facts = settle(dimension_counts(df, roles))
 
     def part(dimension: str, name: str = "group_value") -> DataFrame:
@@ -333,6 +336,7 @@ def findings(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
     one = df.sparkSession.range(1)
     days = part("day").select(F.to_date("group_value").alias("day"), "count")
     balance = imbalance_of(part("class", roles.target), roles.target)
+    fewest = part("class").agg(F.min("count")).scalar()
     cover = part("class").agg(F.sum("count").alias("rows"), F.min("first_record").alias("a"), F.max("last_record").alias("b"))
     hours = part("hour").select(F.col("group_value").cast("int").alias("hour"), "count")
     hour = argmax_row(hours, "count", "hour").select("hour").scalar()
@@ -347,8 +351,8 @@ def findings(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
     return union_all(
         row(1, F.format_string(f"Coverage: %d records in {len(df.columns)} columns from %s to %s.", "rows",
                                F.date_format("a", "yyyy-MM-dd HH:mm"), F.date_format("b", "yyyy-MM-dd HH:mm")), cover),
-        row(2, F.format_string("Class balance: %s holds %.2f%% of the records; %s is the smallest class.",
-                               "largest_class", F.round("majority_share_pct", 2), F.col("smallest_class")), balance),
+        row(2, F.format_string("Class balance: %s holds %.2f%% of the records; %s is the smallest class with %d.",
+                               "largest_class", F.round("majority_share_pct", 2), F.col("smallest_class"), fewest), balance),
         row(3, F.format_string("Rare classes: %d of %d classes have fewer than 100 records; the top five hold %.2f%%.",
                                "classes_below_100", F.col("classes"), F.round("top_5_share_pct", 2)), balance),
         row(4, F.format_string("Comparable window: %s inclusive to %s exclusive in every year.", "lower", F.col("upper")),
@@ -356,18 +360,27 @@ def findings(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
         row(5, F.concat(F.lit("Peaks: month "), month, F.format_string(", hour %02d:00.", hour)), one),
         row(6, F.format_string("Weekdays: %s has the largest total (%d records).", "weekday", F.col("count")), week),
         row(7, F.concat(F.lit("Largest geographic groups: "), F.concat_ws("; ", *leads), F.lit(".")), one),
-        row(8, F.format_string("Coordinates: %d of %d records enter the density grid, %d do not.", "mapped", F.col("rows"),
-                               F.col("rows") - F.col("mapped")), mapped),
+        row(8, F.format_string("Coordinates: %d of %d records (%.2f%%) enter the density grid, %d do not.", "mapped", F.col("rows"),
+                               F.round(F.col("mapped") / F.col("rows") * 100, 2), F.col("rows") - F.col("mapped")), mapped),
         row(9, F.format_string("Context: %s is the most frequent location (%d records).", "group_value", F.col("count")),
             argmax_row(part(roles.context), "count", "group_value")),
-        row(10, F.format_string("Review: %d flagged days and %d days without records.", "flags", F.col("zeros")), flags))
+        row(10, F.format_string("Review: %d flagged days and %d days without records. Zones: %s", "flags", F.col("zeros"), F.lit(zone_status)), flags))
 
 
-def run_manifest(df: DataFrame, run_id: str, source: str, version: int, outputs, roles: Roles = INCIDENTS) -> DataFrame:
-    """One row describing the run: source, version, settings, coverage and outputs."""
+def run_manifest(df: DataFrame, run_id: str, source: str, version: int, outputs, roles: Roles = INCIDENTS,
+                 zone_status: str = NO_ZONES) -> DataFrame:
+    """One row describing the run: source, version, settings, what was seen, class imbalance, zone status, outputs.
+
+    One scan: rows are counted per class with their first and last time, all else follows from these few rows.
+    """
     spark = df.sparkSession
-    return coverage(df, roles.ts).select(
+    classes = settle(coverage(df, roles.ts, roles.target))
+    seen = classes.agg(F.sum("count").alias("rows"), F.min("first_record").alias("first_record"), F.max("last_record").alias("last_record"))
+    balance = imbalance_of(classes, roles.target)
+    imbalance = balance.select(F.struct(*balance.columns)).scalar().alias("class_imbalance")
+    return seen.select(
         F.lit(run_id).alias("run_id"), F.lit(source).alias("source"), F.lit(version).alias("source_version"),
         F.lit(spark.version).alias("spark_version"), F.lit(spark.conf.get("spark.sql.session.timeZone")).alias("time_zone"),
-        F.col("count").alias("rows"), "first_record", "last_record",
-        F.array(*[F.lit(o) for o in outputs]).alias("outputs"), F.lit(GRID_DEGREES).alias("grid_degrees"))
+        "rows", F.lit(len(df.columns)).alias("columns"), "first_record", "last_record", imbalance, F.lit(zone_status).alias("zone_status"),
+        F.array(*[F.lit(o) for o in outputs]).alias("outputs"), F.lit(GRID_DEGREES).alias("grid_degrees"),
+        F.array(*[F.lit(v) for v in SCREEN_LAT]).alias("latitude_screen"), F.array(*[F.lit(v) for v in SCREEN_LON]).alias("longitude_screen"))

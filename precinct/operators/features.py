@@ -14,7 +14,7 @@ from precinct.functions.predicates import coordinate_missing, parse_bool
 from precinct.functions.scalars import (
     code_text, cyclic, fold_of, grid_cell, hour_block, mix_key, norm_text, not_nan, rot45, weekday0)
 from precinct.operators.quantiles import median
-from precinct.operators.relational import extremes, frequencies, lookup, rate
+from precinct.operators.relational import extremes, frequencies_of, lookup, rate
 from precinct.schema import INCIDENTS, LEAKAGE_COLUMNS, UNKNOWN, Roles
 from precinct.session import broadcast_if_small, settle
 
@@ -112,8 +112,11 @@ def normalise_raw(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
 # ------------------------------------------------------------- fitted encodings
 
 def fit_frequencies(train: DataFrame, cols) -> dict[str, DataFrame]:
-    """Training share of each value, one small table per column."""
-    return {c: settle(frequencies(train, c, f"{c}_freq")) for c in cols}
+    """Training share of each value, one table per column; one scan counts the values of all columns."""
+    cols = list(cols)
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    counts = settle(train.select(F.explode(pairs).alias("p")).groupBy("p.c", "p.v").agg(F.count("*").alias("count")))
+    return {c: frequencies_of(counts.filter(F.col("c") == i).select(F.col("v").cast(train.schema[c].dataType).alias(c), "count"), c, f"{c}_freq") for i, c in enumerate(cols)}
 
 
 def apply_frequencies(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -141,12 +144,13 @@ def on_the_hour_share(train: DataFrame, ts: str = "date") -> DataFrame:
 def mix_keys(roles: Roles = INCIDENTS) -> dict[str, Column]:
     """The six grouping keys over normalised rows."""
     place, ts = F.col(roles.context), F.col(roles.ts)
+    finest, wider = roles.codes[:2]
     return {
         "loc": place,
-        "beat": F.col("beat"),
-        "locdist": mix_key(place, F.col("district")),
+        "beat": F.col(finest),
+        "locdist": mix_key(place, F.col(wider)),
         "lochr": mix_key(place, hour_block(ts).cast("string")),
-        "domloc": mix_key(F.col("domestic_int").cast("string"), place),
+        "domloc": mix_key(parse_bool(F.col(roles.flag)).cast("int").cast("string"), place),
         "grid": grid_cell(F.col(roles.lat), F.col(roles.lon)),
     }
 

@@ -17,7 +17,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precinct.functions.predicates import parse_bool
@@ -388,34 +388,41 @@ def _weighted(weights: list[float]) -> list:
     return [F.col("probability")[i] * F.lit(w) for i, w in enumerate(weights)]
 
 
-def _step_scores(pred: DataFrame, classes: list[str], weights: list[float], k: int, tried: list[float]) -> list[float]:
-    """Macro F1 for each tried weight of class ``k``, all others fixed, in one scan.
+def _step_scores(pred: DataFrame, classes: list[str], weights: list[float], tried: dict[int, list[float]]) -> dict[int, list[float]]:
+    """For each class in ``tried`` the macro F1 of each of its tried weights, all others fixed; one scan for all of them.
 
-    Raising the weight of ``k`` can only turn a row's answer into ``k``, so a row is
-    described by its true class, its best other class and the first tried weight that
-    flips it.  The rows collapse map-side into those few cells; the candidates are then
+    Raising the weight of a class can only turn a row's answer into that class, so for it a row is
+    described by its true class, its best other class and how many of the tried weights
+    flip it.  The rows collapse map-side into those few cells; the candidates are then
     scored on the cells, not on the rows.
     """
     product = _weighted(weights)
-    others = F.array(*[F.lit(float("-inf")) if i == k else p for i, p in enumerate(product)])
-    rival = F.array_max(others)
-    place = F.array_position(others, rival).cast("int")
-    own = F.col("probability")[k]
-    wins = [((own * F.lit(w)) > rival) | (((own * F.lit(w)) == rival) & (F.lit(k) < place - 1)) for w in tried]
-    flip = sum((w.cast("int") for w in wins[1:]), wins[0].cast("int"))
     names = F.array(*[F.lit(c) for c in classes])
-    cells = pred.groupBy("actual", F.element_at(names, place).alias("rival"), flip.alias("hits")).agg(F.count("*").alias("n"))
+
+    def seen(k: int) -> Column:
+        others = F.array(*[F.lit(float("-inf")) if i == k else p for i, p in enumerate(product)])
+        rival = F.array_max(others)
+        place = F.array_position(others, rival).cast("int")
+        own = F.col("probability")[k]
+        wins = [((own * F.lit(w)) > rival) | (((own * F.lit(w)) == rival) & (F.lit(k) < place - 1)) for w in tried[k]]
+        return F.struct(F.lit(k).alias("k"), place.alias("rival"), sum((w.cast("int") for w in wins[1:]), wins[0].cast("int")).alias("hits"))
+
+    cells = pred.select("actual", F.explode(F.array(*[seen(k) for k in tried])).alias("s")).groupBy("actual", "s.k", "s.rival", "s.hits").agg(F.count("*").alias("n"))
     # The ``hits`` largest tried weights flip the row (weights are tried in ascending order).
-    trials = F.array(*[F.lit(i) for i in range(len(tried))])
+    width = len(next(iter(tried.values())))
+    trials = F.array(*[F.lit(i) for i in range(width)])
     cell = cells.withColumn("trial", F.explode(trials))
-    answer = F.when(F.col("trial") >= len(tried) - F.col("hits"), classes[k]).otherwise(F.col("rival"))
-    conf = (cell.groupBy("trial", "actual", answer.alias("predicted")).agg(F.sum("n").alias("n")))
-    axis = (pred.sparkSession.range(1).select(F.explode(trials).alias("trial"))
+    answer = F.element_at(names, F.when(F.col("trial") >= width - F.col("hits"), F.col("k") + 1).otherwise(F.col("rival")))
+    conf = cell.groupBy("k", "trial", "actual", answer.alias("predicted")).agg(F.sum("n").alias("n"))
+    axis = (pred.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in tried])).alias("k")).withColumn("trial", F.explode(trials))
             .withColumn("actual", F.explode(names)).withColumn("predicted", F.col("actual"))
             .withColumn("n", F.lit(0).cast("long")))
-    macro = (per_class(conf.unionByName(axis), ["trial"]).filter(F.col("class").isin(*classes))
-             .groupBy("trial").agg(F.avg("f1").alias("f1")).collect())  # one row per tried weight
-    return [r["f1"] for r in sorted(macro, key=lambda r: r["trial"])]
+    macro = (per_class(conf.unionByName(axis), ["k", "trial"]).filter(F.col("class").isin(*classes))
+             .groupBy("k", "trial").agg(F.avg("f1").alias("f1")).collect())  # one row per class and tried weight
+    found: dict[int, list[float]] = {k: [0.0] * width for k in tried}
+    for r in macro:
+        found[r["k"]][r["trial"]] = r["f1"]
+    return found
 
 
 @dataclass(frozen=True)
@@ -425,27 +432,46 @@ class Ascent:
     weights: tuple[float, ...]
     value: float
 
-    def step(self, rows: DataFrame, classes: list[str], k: int, tried: list[float], min_gain: float) -> "Ascent":
+    def step(self, k: int, tried: list[float], values: list[float], min_gain: float) -> "Ascent":
         """The best of the tried weights of class ``k``, if it gains enough (the smallest among equals)."""
         reached = self
-        for weight, value in zip(tried, _step_scores(rows, classes, list(self.weights), k, tried)):
+        for weight, value in zip(tried, values):
             if value > reached.value + min_gain:
                 reached = Ascent(self.weights[:k] + (weight,) + self.weights[k + 1:], value)
         return reached
 
+    def sweep(self, rows: DataFrame, classes: list[str], tried: dict[int, list[float]], min_gain: float) -> "Ascent":
+        """One pass of the coordinate ascent over all classes in turn.
+
+        A scan scores the steps of all classes still to come; they hold up to the first class that moves, so there are
+        as many scans as classes that move, and one.
+        """
+        state, left = self, dict(tried)
+        while left:
+            values = _step_scores(rows, classes, list(state.weights), left)
+            for k in list(left):
+                moved = state.step(k, left.pop(k), values[k], min_gain)
+                if moved != state:
+                    state = moved
+                    break
+        return state
+
 
 def tune_class_weights(pred: DataFrame, classes: list[str], passes: int = PASSES, multipliers=MULTIPLIERS,
                        min_gain: float = MIN_GAIN) -> tuple[list[float], float]:
     """Per-class decision weights by coordinate ascent on macro F1.
 
-    ``pred`` holds ``actual`` and ``probability``; it is stored once, and every coordinate step is one aggregate over
-    it.  The first pass tries the multipliers themselves, later ones multiples of the weight reached.
+    ``pred`` holds ``actual`` and ``probability``; it is stored once.  The first pass tries the multipliers themselves,
+    later ones multiples of the weight reached; a pass that moves nothing is the last one.
     """
     rows, factors = store(pred.select("actual", "probability")), sorted(multipliers)
     equal = [1.0] * len(classes)
-    state = Ascent(tuple(equal), _step_scores(rows, classes, equal, 0, [1.0])[0])
-    for number, k in itertools.product(range(passes), range(len(classes))):
-        state = state.step(rows, classes, k, [f * state.weights[k] if number else f for f in factors], min_gain)
+    state = Ascent(tuple(equal), _step_scores(rows, classes, equal, {0: [1.0]})[0][0])
+    for number in range(passes):
+        before = state
+        state = state.sweep(rows, classes, {k: [f * before.weights[k] if number else f for f in factors] for k in range(len(classes))}, min_gain)
+        if state == before:
+            break
     return list(state.weights), state.value
 
 

@@ -194,8 +194,13 @@ def argmax_row(df: DataFrame, by: str, tie: str) -> DataFrame:
 
 def frequencies(train: DataFrame, col: str, name: str = "freq") -> DataFrame:
     """Share of each value among the non-null values."""
-    counts = value_counts(train.filter(F.col(col).isNotNull()), col)
-    return counts.select(col, (F.col("count") / counts.agg(F.sum("count")).scalar()).alias(name))
+    return frequencies_of(value_counts(train, col), col, name)
+
+
+def frequencies_of(counts: DataFrame, col: str, name: str = "freq") -> DataFrame:
+    """The same shares from counts per value."""
+    known = counts.filter(F.col(col).isNotNull())
+    return known.select(col, (F.col("count") / known.agg(F.sum("count")).scalar()).alias(name))
 
 
 def class_prior(train: DataFrame, target: str) -> DataFrame:

@@ -298,8 +298,8 @@ FINDINGS_SQL = over(
     union_sql([
         "SELECT 1 AS n, format('Coverage: {} records in 14 columns from {} to {}.', count(*), "
         "strftime(min(date), '%Y-%m-%d %H:%M'), strftime(max(date), '%Y-%m-%d %H:%M')) AS text FROM inc",
-        "SELECT 2, printf('Class balance: %s holds %.2f%% of the records; %s is the smallest class.', largest_class, "
-        "round(majority_share_pct, 2), smallest_class) FROM b",
+        "SELECT 2, printf('Class balance: %s holds %.2f%% of the records; %s is the smallest class with %d.', largest_class, "
+        "round(majority_share_pct, 2), smallest_class, (SELECT min(n) FROM c)) FROM b",
         "SELECT 3, printf('Rare classes: %d of %d classes have fewer than 100 records; the top five hold %.2f%%.', "
         "classes_below_100, classes, round(top_5_share_pct, 2)) FROM b",
         "SELECT 4, printf('Comparable window: %s inclusive to %s exclusive in every year.', lo, hi) FROM w",
@@ -310,19 +310,20 @@ FINDINGS_SQL = over(
         "WHERE isodow(date) = (SELECT isodow(date) AS k FROM inc GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
         "SELECT 7, 'Largest geographic groups: ' || concat_ws('; ', "
         + ", ".join(_lead(c) for c in ("beat", "district", "ward", "community_area")) + ") || '.'",
-        f"SELECT 8, printf('Coordinates: %d of %d records enter the density grid, %d do not.', "
+        f"SELECT 8, printf('Coordinates: %d of %d records (%.2f%%) enter the density grid, %d do not.', "
         f"count(CASE WHEN {STATE} = 'within_broad_screen' THEN 1 END), count(*), "
+        f"round(count(CASE WHEN {STATE} = 'within_broad_screen' THEN 1 END) / count(*) * 100, 2), "
         f"count(CASE WHEN {STATE} <> 'within_broad_screen' THEN 1 END)) FROM inc",
         "SELECT 9, printf('Context: %s is the most frequent location (%d records).', k, n) FROM (SELECT "
         "coalesce(location_description, '[MISSING]') AS k, count(*) AS n FROM inc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)",
-        "SELECT 10, printf('Review: %d flagged days and %d days without records.', count(CASE WHEN flag_iqr THEN 1 END), "
+        "SELECT 10, printf('Review: %d flagged days and %d days without records. Zones: Analysed area_group.', count(CASE WHEN flag_iqr THEN 1 END), "
         "count(CASE WHEN \"count\" = 0 THEN 1 END)) FROM dd",
     ]), c=CNT, b=IMBALANCE_SQL, w=WINDOW, dd=daily_sql("inc", "date"))
 
 
 @query("findings", FINDINGS_SQL)
 def findings(spark, folder):
-    return explore.findings(incidents(spark, folder))
+    return explore.findings(incidents(spark, folder), zone_status="Analysed area_group.")
 
 
 DIMENSIONS = {"class": "primary_type", "day": "CAST(CAST(date AS DATE) AS VARCHAR)", "hour": "CAST(hour(date) AS VARCHAR)",
@@ -345,9 +346,16 @@ def top_classes_per_area(spark, folder):
     return top_k_per_group(incidents(spark, folder), "community_area", "primary_type", 3)
 
 
-@query("run_manifest")
+@query("run_manifest", over(
+    "SELECT 'run-1' AS run_id, 'incident view' AS source, CAST(1 AS INT) AS source_version, (SELECT count(*) FROM inc) AS \"rows\", CAST(14 AS INT) AS columns, "
+    "(SELECT min(date) FROM inc) AS first_record, (SELECT max(date) FROM inc) AS last_record, b.*, 'Analysed area_group.' AS zone_status, "
+    "'class_distribution,zone_mix' AS outputs, CAST(0.01 AS DOUBLE) AS grid_degrees, '41,43' AS latitude_screen, '-89,-87' AS longitude_screen FROM b",
+    c=CNT, b=IMBALANCE_SQL))
 def run_manifest(spark, folder):
-    return explore.run_manifest(incidents(spark, folder), "run-1", "incident view", 1, ["class_distribution"])
+    """The manifest without the version of Spark and the session's time zone, flat."""
+    found = explore.run_manifest(incidents(spark, folder), "run-1", "incident view", 1, ["class_distribution", "zone_mix"], zone_status="Analysed area_group.")
+    flat = found.select("*", "class_imbalance.*").drop("class_imbalance", "spark_version", "time_zone")
+    return flat.withColumns({c: F.array_join(c, ",") for c in ("outputs", "latitude_screen", "longitude_screen")})
 
 # -------------------------------------------------------------------- dashboard
 

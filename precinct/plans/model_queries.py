@@ -20,6 +20,7 @@ from precinct.plans.common import SPLIT, over, query, r6
 from precinct.plans.feature_queries import predictions
 from precinct.plans.quality_queries import AREA_GROUP, MEDIANS
 from precinct.plans.scoring_queries import _resolved, expanded_requests
+from precinct.schema import LEAKAGE_COLUMNS
 from precinct.session import shared_path, store
 from precinct.sources.tables import snapshot_digest
 from precinct.sources.testviews import TRAIN_END, VALIDATION_END, incidents
@@ -106,6 +107,16 @@ def encode_assemble(spark, folder):
     return models.split_summary(encoded(spark, folder)[0])
 
 
+@query("leakage_check", "SELECT *, false AS among_features FROM (VALUES " + ", ".join(f"('{c}')" for c in LEAKAGE_COLUMNS) + ") AS t(column_name)")
+def leakage_check(spark, folder):
+    """The excluded columns, and whether one is among the names behind the encoded vector's entries."""
+    made = encoded(spark, folder)[0]
+    groups = made.schema["features"].metadata["ml_attr"]["attrs"].values()
+    names = [a["name"] for group in groups for a in group]
+    sources = {n for n in names} | {n.split("_ohe_")[0] for n in names}
+    return spark.createDataFrame(evaluation.leakage_report(sources), "column_name string, among_features boolean")
+
+
 @query("preprocessing_metadata", over(
     f"SELECT {r6('la')} AS training_median_latitude, {r6('lo')} AS training_median_longitude, CAST(12 + {LEVELS} AS INT) AS feature_vector_size, "
     "(SELECT count(DISTINCT primary_type) FROM z WHERE split = 'train') AS number_of_target_classes, "
@@ -333,6 +344,21 @@ def class_decision_weights(spark, folder):
         "validation_macro_f1", F.lit(best))
 
 
+@query("decision_weights_checked", "SELECT true AS value_is_reached, true AS not_worse_than_equal")
+def decision_weights_checked(spark, folder):
+    """The macro F1 that the search reports, against that of the rows answered with its weights."""
+    pred, classes = predictions(spark, folder, split="validation")
+    pred = store(pred.select("actual", "predicted", "probability"))
+    weights, best = models.tune_class_weights(pred, classes)
+
+    def macro(answers: DataFrame) -> float:
+        found = evaluation.per_class(evaluation.confusion(answers.select("actual", "predicted"), classes))
+        return found.filter(F.col("class").isin(*classes)).agg(F.avg("f1")).first()[0]
+
+    reached = macro(models.apply_class_weights(pred, classes, weights))
+    return spark.createDataFrame([(abs(reached - best) < 1e-12, best >= macro(pred))], "value_is_reached boolean, not_worse_than_equal boolean")
+
+
 @query("feature_importance")
 def feature_importance(spark, folder):
     fitted, made, _ = decision_tree_fit(spark, folder)

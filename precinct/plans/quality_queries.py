@@ -1,14 +1,16 @@
 """Profiles, contracts, cleaning, set operations and statistics."""
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.operators import quality, relational as rel
+from precinct.operators import quality, relational as rel, sketches
 from precinct.operators.features import add_area_group, add_temporal, drop_leakage as drop_leak, fit_medians, \
     handle_missing
 from precinct.operators.quantiles import quantile_table
 from precinct.operators.splits import time_split
 from precinct.plans.common import REPEATS, over, query, r6, union_sql
+from precinct.session import shared_path
 from precinct.sources.tables import snapshot_digest as digest
 from precinct.sources.testviews import TRAIN_END, VALIDATION_END, incidents, incidents_with_repeats, load
 
@@ -215,6 +217,33 @@ def approx_quartiles(spark, folder):
     return rel.approx_quartiles(load(spark, folder, "lineitem"), MEASURES)
 
 
+def _day_by_day(spark, folder) -> DataFrame:
+    """Sketches of the incident view, stored year by year as they would come in."""
+    inc = incidents(spark, folder)
+    years = [r["y"] for r in inc.select(F.year("date").alias("y")).distinct().orderBy("y").collect()]  # one row per year
+    parts = [inc.filter((F.col("date") >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (F.col("date") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))) for y in years]
+    return sketches.stored_day_by_day(shared_path(spark), parts, F.date_format("date", "yyyy-MM"), REVIEWED, ["latitude", "longitude"])
+
+
+REVIEWED = ["unique_key", "case_number", "beat", "ward", "location_description", "latitude"]
+
+
+@query("sketched_distinct", over(union_sql(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values, count(*) - count({c}) AS null_count, true AS within_error FROM inc" for c in REVIEWED)))
+def sketched_distinct(spark, folder):
+    """Exact distinct values, and whether those of the united sketches of all months are within the stated error of them."""
+    inc = incidents(spark, folder)
+    wide = inc.agg(*[F.count_distinct(c).alias(c) for c in REVIEWED])
+    exact = rel.tall(wide, {c: [F.col(c)] for c in REVIEWED}, "column_name", ["distinct_values"])
+    return sketches.distinct_errors(sketches.distinct_review(_day_by_day(spark, folder)), exact)
+
+
+@query("sketched_quantiles", "SELECT column_name, CAST(p AS DOUBLE) AS probability, true AS within_error FROM (VALUES ('latitude'), ('longitude')) AS c(column_name), (VALUES (0.25), (0.5), (0.75)) AS q(p)")
+def sketched_quantiles(spark, folder):
+    """Whether the quartiles of the united sketches have the rank they are to have, counted exactly."""
+    return sketches.rank_errors(incidents(spark, folder), sketches.quantile_review(_day_by_day(spark, folder), [0.25, 0.5, 0.75]))
+
+
 @query("snapshot_digest", over(
     "SELECT count(*) AS \"rows\", CAST(sum(('0x' || substr(md5(concat_ws('|', CAST(unique_key AS VARCHAR), case_number, "
     "primary_type, coalesce(CAST(ward AS VARCHAR), '\\N'))), 1, 15))::BIGINT) AS VARCHAR) AS digest FROM inc"))

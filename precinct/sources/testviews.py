@@ -25,8 +25,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _dealt(df: DataFrame, key: str) -> DataFrame:
-    """Dealt out by key to the session's shuffle width."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """Dealt out by key to the session's shuffle width, if the scan has fewer partitions than there are cores."""
+    spark = df.sparkSession
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _nulled(every: int, key: str, value):
@@ -34,7 +37,7 @@ def _nulled(every: int, key: str, value):
 
 
 def incidents(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
-    """One incident per order; ``spread`` deals the orders out anew, for consumers whose work per row outweighs a shuffle."""
+    """One incident per order; ``spread`` deals the orders out anew where their files are too few for the cores, for consumers whose work per row outweighs a shuffle."""
     key = F.col("o_orderkey")
     hours = F.when(key % 11 == 0, 0).otherwise((key * 7) % 24).cast("int")
     minutes = F.when(key % 5 == 0, 0).otherwise((key * 13) % 60).cast("int")

@@ -129,3 +129,27 @@ def test_leakage_check():
     evaluation.assert_no_leakage(["beat"])
     with pytest.raises(ValueError, match="arrest"):
         evaluation.assert_no_leakage(["beat", "arrest"])
+
+
+def test_leakage_report_sees_through_derived_names():
+    found = dict(evaluation.leakage_report(["latitude", "arrest_idx", "case_number_freq"]))
+    assert found["arrest"] and found["case_number"] and not found["iucr"]
+
+
+def test_overall_uses_its_cells_once(spark):
+    pred = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("z", "a")], "actual string, predicted string")
+    conf = evaluation.confusion(pred, ["a", "b"])
+    plan = evaluation.overall(conf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Subquery" not in plan
+    row = evaluation.overall(conf, include_unseen=False).first()
+    assert row["accuracy"] == 0.5 and row["macro_recall"] == 0.75
+
+
+def test_weights_need_a_scan_per_move(spark, monkeypatch):
+    """Three passes over three classes: as many scans as moves, one per pass, one for the start, and not one per step."""
+    pred, _, _ = scored(spark, n=300, seed=5)
+    scans, step = [], models._step_scores
+    monkeypatch.setattr(models, "_step_scores", lambda *a: (scans.append(a[2]), step(*a))[1])
+    models.tune_class_weights(pred, CLASSES, passes=3)
+    moves = sum(a != b for a, b in zip(scans[1:], scans[2:]))
+    assert len(scans) <= moves + 1 + 1 + 3
