@@ -1,15 +1,16 @@
 """Session settings and the helpers that depend on the cluster.
 
 ``settle`` (small tables) and ``store`` (row-level tables) cut lineage through the shared
-checkpoint folder, so that a lost executor costs a re-read and not a recomputation.  ``broadcast_if_small`` is the only
-place in the package that hints a broadcast: it first counts the side, and
-leaves the join to AQE (sort-merge with skew splitting) when it is too large.
+checkpoint folder, so that a lost executor costs a re-read and not a recomputation.  ``broadcast_if_small`` hints a
+broadcast after counting the side, and leaves the join to AQE (sort-merge with skew splitting) when it is too large; other
+hints in the package stand behind a ``limit``.
 """
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,31 @@ def store(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = shared_path(spark)
     writer = df.write.mode("error")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _SCOPES[-1:]:
+        paths.append(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope():
+    """Gather the paths of all tables stored within, so that they can be discarded together."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
+def discard(spark: SparkSession, *stored) -> None:
+    """Delete stored tables (what ``store`` returned, or their paths) that nothing will read any more."""
+    for table in stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(table: DataFrame, row_bytes: int = ROW_BYTES, rows: int | None = None) -> DataFrame:
