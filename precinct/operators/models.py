@@ -26,7 +26,7 @@ from precinct.operators import boosting
 from precinct.operators.evaluation import METRICS, assert_no_leakage, confusion, overall, per_class
 from precinct.operators.features import (
     MixTables, add_area_group, add_cyclic, add_domestic_int, add_mix_features, add_temporal, apply_frequencies, final_features,
-    fit_frequencies, fit_mix, handle_missing, mix_keys, with_predicted)
+    fit_frequencies, fit_mix, handle_missing, mix_keys, on_the_hour_share, with_predicted)
 from precinct.operators.relational import (
     class_names, class_weights, keep_top_classes, label_by_frequency, label_by_name, lookup)
 from precinct.operators.splits import stratified_split
@@ -200,8 +200,13 @@ class FinalModel:
     mix: MixTables
     encoder: PipelineModel
     fitted: Fitted
+    on_hour: float  # share of training records logged at minute 0
     roles: Roles = INCIDENTS
 
+    def known(self, column: str) -> DataFrame:
+        """The values of ``column`` (one with frequencies) that training shows."""
+        return self.frequencies[column].select(column)
+
     def encoded(self, df: DataFrame) -> DataFrame:
         """Raw rows with ``features``."""
         return self.encoder.transform(_final_inputs(df, self.frequencies, self.mix, None, self.roles))
@@ -214,7 +219,7 @@ class FinalModel:
         mix = self.mix
         tables = {"mix": mix.table} | {f"frequency_{c}": t for c, t in self.frequencies.items()}
         facts = dict(classes=mix.classes, prior=mix.prior, tags=mix.tags, folds=mix.folds, sizes=mix.sizes,
-                     frequencies=list(self.frequencies), roles=asdict(self.roles))
+                     frequencies=list(self.frequencies), on_hour=self.on_hour, roles=asdict(self.roles))
         save_state(mix.table.sparkSession, path, self.fitted, self.encoder, tables, facts)
 
     @classmethod
@@ -222,7 +227,7 @@ class FinalModel:
         fitted, encoder, tables, facts = load_state(spark, path)
         mix = MixTables(tables["mix"], facts["classes"], facts["prior"], facts["tags"], facts["folds"], facts["sizes"])
         roles = Roles(**{k: tuple(v) if isinstance(v, list) else v for k, v in facts["roles"].items()})
-        return cls({c: tables[f"frequency_{c}"] for c in facts["frequencies"]}, mix, encoder, fitted, roles)
+        return cls({c: tables[f"frequency_{c}"] for c in facts["frequencies"]}, mix, encoder, fitted, facts["on_hour"], roles)
 
 
 def _final_inputs(df: DataFrame, shares: dict[str, DataFrame], mix: MixTables, in_training, roles: Roles) -> DataFrame:
@@ -250,7 +255,7 @@ def fit_final_model(train: DataFrame, validation: DataFrame, roles: Roles = INCI
                for part in (own, held)]
     levels = max(own.select(c).distinct().count() for c in FINAL_LEVELS) + 1
     fitted = fit_final(*encoded, class_names(own, roles.target), **{"max_bins": max(32, levels), **settings})
-    return FinalModel(shares, mix, encoder, fitted, roles)
+    return FinalModel(shares, mix, encoder, fitted, on_the_hour_share(train, roles.ts).first()[0], roles)
 
 
 INTERIM_NUMERIC = ("hour", "month", "day_of_week", "is_weekend", "domestic", "community_area", "district", "ward", "beat",

@@ -12,14 +12,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.operators import boosting, evaluation, export, features, models, scoring, search
+from precinct.operators import boosting, evaluation, export, features, models, quality, scoring, search
 from precinct.operators.relational import class_names
 from precinct.operators.selection import rank_results
 from precinct.operators.splits import time_split, with_split
 from precinct.plans.common import SPLIT, over, query, r6
 from precinct.plans.feature_queries import predictions
 from precinct.plans.quality_queries import AREA_GROUP, MEDIANS
-from precinct.plans.scoring_queries import _resolved, expanded_requests
+from precinct.plans.scoring_queries import _resolved
 from precinct.schema import LEAKAGE_COLUMNS
 from precinct.session import shared_path, store
 from precinct.sources.tables import snapshot_digest
@@ -299,9 +299,13 @@ def previous_and_final(spark, folder):
 
 @query("score_requests_final")
 def score_requests_final(spark, folder):
-    """Requests expanded over dates and minutes, scored by the saved final model, averaged per request."""
+    """Requests expanded over dates and minutes, scored by the saved final model, averaged per request.
+
+    The known locations and the share of full hours come with the model: no training row is read.
+    """
     model = final_model(spark, folder)
-    scored = scoring.score_distinct(expanded_requests(spark, folder), model)
+    known = quality.keep_known(_resolved(spark, folder), model.known("location_description"), "location_description")
+    scored = scoring.score_distinct(scoring.expand_requests(known, F.lit(model.on_hour)), model)
     return scoring.long_probabilities(scoring.average_probabilities(scored, model.fitted.classes), model.fitted.classes)
 
 
