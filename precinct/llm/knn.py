@@ -74,21 +74,31 @@ class Neighbours:
     NEAREST = 25
     POWER = 8
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        n = len(counts)
-        there = (counts > 0).sum(axis=0)
-        self.weights = np.where(there > 0, np.log((n + 1) / (there + 0.5)), 0).astype(np.float32) if n else np.zeros(TERMS, np.float32)
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        """``found`` holds each labelled text's term indices and counts; only BLOCK of them are spread out at a time."""
+        n = len(found)
+        there = np.bincount(np.concatenate([at for at, _ in found]), minlength=TERMS) if n else np.zeros(TERMS)
+        self.weights = np.where(there > 0, np.log((n + 1) / (there + 0.5)), 0).astype(np.float32)
         self.weights[there < 2] = 0
         self.labels = np.asarray(labels, np.float32)
         self.prior = float(self.labels.mean()) if n else 0.5
-        x = self._weigh(counts)
         d = min(self.DIMENSIONS, n)
         basis = np.random.default_rng(0).standard_normal((TERMS, min(n, d + 16))).astype(np.float32)
         for _ in range(5):  # subspace iteration
-            basis = np.linalg.qr(x.T @ (x @ basis))[0] if n else basis
-        _, _, v = np.linalg.svd(x @ basis, full_matrices=False) if n else (0, 0, np.zeros((0, 0)))
+            product = np.zeros_like(basis)
+            for x in self._blocks(found):
+                product += x.T @ (x @ basis)
+            basis = np.linalg.qr(product)[0] if n else basis
+        _, _, v = np.linalg.svd(self._projected(found, basis), full_matrices=False) if n else (0, 0, np.zeros((0, 0)))
         self.projection = np.ascontiguousarray(basis @ v[:d].T, dtype=np.float32)
-        self.vectors = _unit(x @ self.projection)
+        self.vectors = _unit(self._projected(found, self.projection))
+
+    def _blocks(self, found):
+        for first in range(0, len(found), BLOCK):
+            yield self._weigh(dense(found[first:first + BLOCK]))
+
+    def _projected(self, found, basis: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ basis for x in self._blocks(found)]) if found else np.zeros((0, basis.shape[1]), np.float32)
 
     def _weigh(self, counts: np.ndarray) -> np.ndarray:
         x = counts * self.weights
@@ -131,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = Neighbours
     known = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
     counted = map_texts(known, count, "doc_id long, label double, at binary, counts binary").dropDuplicates(["doc_id"])
     rows = counted.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # <= sample rows
-    counts = dense([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows])
-    return Neighbours(counts, np.array([r["label"] for r in rows]))
+    found = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows]
+    return Neighbours(found, np.array([r["label"] for r in rows]))
 
 
 def score(docs: DataFrame, model: Neighbours) -> DataFrame:

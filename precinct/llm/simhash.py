@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from precinct.llm.common import map_arrow, map_texts, texts
 from precinct.llm.components import components
-from precinct.session import store
+from precinct.session import discard, store
 
 SEED = 42
 LANE = np.uint64(0x0101010101010101)
@@ -240,17 +240,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     sets = store(map_texts(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), run, "id long, own array<long>"))
     one, other = (sets.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("own_a", "own_b"))
-    return store(pairs.join(one, "a").join(other, "b").withColumn("shared", shared)
-                 .where(F.col("shared") >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"))
+    found = store(pairs.join(one, "a").join(other, "b").withColumn("shared", shared)
+                  .where(F.col("shared") >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"))
+    discard(docs.sparkSession, pairs, sets)
+    return found
 
 
-def _across(listed: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _placed(listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of lists, other than the centres, with the group that the centres have brought them into."""
+    placed = listed.where("id <> centre").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return store(placed.select("token", "id", "size", "first", "pos", "root"))
+
+
+def _across(placed: DataFrame, similarity: float) -> DataFrame:
     """Pairs of members of a list, other than its centre, that the centres have not brought together yet and that can be similar.
 
     A list whose members are all in one group is done.  In the others every pair of members of different groups is tried.
     """
-    placed = listed.where("id <> centre").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = store(placed.select("token", "id", "size", "first", "pos", "root"))
     unsettled = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     members = placed.join(unsettled, "token")
     x, y = (members.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "first", "pos", "root")]) for k in "xy")
@@ -266,20 +272,21 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     candidates and all candidates are compared exactly.  Equal sets are one node.  Null and empty texts are copies of each
     other.  A null doc_id stays null and in no group.  Empty table: no rows.
     """
-    docs = texts(docs)
+    docs, spark = texts(docs), docs.sparkSession
     stored = store(prefixes(docs, shingle, similarity))
     least = store(stored.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")))
     nodes = store(stored.where("size > 0").withColumnRenamed("doc_id", "id").join(least, ["key", "id"]).select("id", "size", "prefix"))
     posts = nodes.select("id", "size", F.size("prefix").alias("first"), F.posexplode("prefix").alias("pos", "token"))
-    lists = posts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
-    members = store(posts.join(lists, "token"))
-    centres = (members.groupBy("token").agg(F.min(F.struct("pos", "id", "size")).alias("c"))
-               .select("token", F.col("c.pos").alias("centre_pos"), F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size")))
-    listed = store(members.join(centres, "token"))
+    lists = (posts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("pos", "id", "size")).alias("c")).where("low < high")
+             .select("token", F.col("c.pos").alias("centre_pos"), F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size")))
+    listed = store(posts.join(lists, "token"))
     star = (listed.where("id <> centre").where(_possible(similarity, "pos", "size", "centre_pos", "centre_size"))
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
     edges = verified(star, nodes, docs, shingle, similarity)
-    edges = edges.union(verified(_across(listed, components(edges), similarity), nodes, docs, shingle, similarity))
+    placed = _placed(listed, components(edges))
+    discard(spark, listed)
+    edges = edges.union(verified(_across(placed, similarity), nodes, docs, shingle, similarity))
+    discard(spark, placed, nodes)
     roots = components(edges)
     named = least.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
     return stored.join(named, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
