@@ -7,7 +7,8 @@ words with at least ``least`` of them equal is an overlap.
 
 The masks catch every such window: whatever (up to a fifth) of 20 words are substituted, some mask meets no substituted
 word at some place (tested over all choices).  Items shorter than the window are compared whole; those too short for
-the longest mask also have a mask of their own length.
+the longest mask also have a mask of their own length, and those of five to seven words, which may have one word
+substituted, masks that leave out one position each.
 """
 from __future__ import annotations
 
@@ -26,6 +27,7 @@ MASKS = [(0, 1, 3, 4, 5, 6), (0, 1, 2, 4, 7, 8), (0, 1, 5, 6, 8, 13)]
 SHORT_MASKS = [(0, 1, 3, 4, 5), (0, 1, 5, 6, 7), (0, 1, 2, 3, 5)]  # more for items shorter than the window
 WINDOW, SHARE = 20, 0.8
 BLOCK_WORDS = 2_000_000  # benchmark words held by a task at once; a larger benchmark is taken in several blocks
+MANY = 1 << 18  # pairs of equal hashes of a document beyond which those of repeated words are taken together
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -50,13 +52,14 @@ class Block:
         for key, item in items:
             self.ids.append(key)
             self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item], np.int64))
-        own = {tuple(range(len(w))) for w in self.words if 0 < len(w) < max(MASKS[-1]) + 1}
-        short = any(0 < len(w) < WINDOW for w in self.words)
-        self.masks = MASKS + SHORT_MASKS * short + sorted(own - set(MASKS + SHORT_MASKS))
+        lengths = sorted({len(w) for w in self.words if len(w)})
+        # Each mask with the lengths of the items it is for.
+        self.masks = [(m, (1, None)) for m in MASKS] + [(m, (1, WINDOW)) for m in SHORT_MASKS if lengths and lengths[0] < WINDOW]
+        self.masks += [(m, (n, n + 1)) for n in lengths for m in own_masks(n)]
         hashes, places = [], []
         for number, w in enumerate(self.words):
-            for i, m in enumerate(self.masks):
-                if m in SHORT_MASKS and len(w) >= WINDOW or m not in MASKS + SHORT_MASKS and len(w) != len(m):
+            for i, (m, (least, below)) in enumerate(self.masks):
+                if len(w) < least or below and len(w) >= below:
                     continue
                 h = seed_hashes(w, m, i)
                 hashes.append(h)
@@ -73,13 +76,22 @@ class Block:
     def hits(self, w: np.ndarray) -> np.ndarray:
         """Rows (item, shift): at ``shift`` of the document the item's first word would stand."""
         found = []
-        for i, m in enumerate(self.masks):
+        for i, (m, _) in enumerate(self.masks):
             h = seed_hashes(w, m, i)
             at = np.flatnonzero(self.filter[h >> np.uint64(64 - self.bits)])
             if not len(at):
                 continue
             low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             n = high - low
+            if n.sum() > MANY:
+                # Repeated words: a hash that stands in many places of both sides has few shifts for its many pairs.
+                hot = np.flatnonzero(n > 0)
+                order = hot[np.argsort(low[hot], kind="stable")]
+                for group in np.split(order, np.flatnonzero(np.diff(low[order])) + 1):
+                    pairs = n[group[0]] * len(group)
+                    if pairs > MANY // 64:
+                        found += self._shifts(at[group], self.places[low[group[0]]:high[group[0]]], len(w))
+                        n[group] = 0
             if n.any():
                 doc = np.repeat(at, n)
                 index = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -87,6 +99,29 @@ class Block:
                 found.append(np.unique(np.stack([item, doc - position], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
+    def _shifts(self, doc: np.ndarray, places: np.ndarray, size: int) -> list[np.ndarray]:
+        """The different shifts of all pairs of a place in the document and one in an item, without making the pairs."""
+        out = []
+        for part in np.split(places, np.flatnonzero(np.diff(places[:, 0])) + 1):  # places of one hash stand item by item
+            item, own = part[0, 0], part[:, 1]
+            reach = len(self.words[item])
+            if len(doc) * len(own) <= size + reach:
+                there = np.zeros(size + reach, bool)
+                there[np.subtract.outer(doc, own).ravel() + reach] = True
+            elif len(own) <= 64:
+                there = np.zeros(size + reach, bool)
+                for q in own:
+                    there[doc - q + reach] = True
+            else:
+                a, b = np.zeros(size), np.zeros(reach)
+                a[doc], b[reach - 1 - own] = 1, 1
+                length = 1 << (size + reach - 1).bit_length()
+                sums = np.fft.irfft(np.fft.rfft(a, length) * np.fft.rfft(b, length), length)[:size + reach - 1]
+                there = np.concatenate([[False], sums > 0.5])
+            shifts = np.flatnonzero(there) - reach
+            out.append(np.stack([np.full(len(shifts), item), shifts], axis=1))
+        return out
+
     def overlaps(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, equal words, start, end): each item's best window in the text, in words of the document."""
         get = self.vocabulary.get
@@ -95,18 +130,30 @@ class Block:
         best: dict[int, tuple[int, int, int]] = {}
         for item, shift in self.hits(w).tolist():
             own = self.words[item]
+            if item in best and best[item][0] == min(WINDOW, len(own)):
+                continue  # nothing is better than a window without a substituted word
             low, high = max(0, shift), min(len(w), shift + len(own))
             equal = w[low:high] == own[low - shift:high - shift]
             size = min(WINDOW, len(own))
             if len(equal) < size:
                 continue
-            sums = np.convolve(equal, np.ones(size, np.int64), "valid")
+            total = np.concatenate([[0], np.cumsum(equal)])
+            sums = total[size:] - total[:-size]
             at = int(sums.argmax())
             if sums[at] >= np.ceil(SHARE * size) and (item not in best or sums[at] > best[item][0]):
                 best[item] = (int(sums[at]), low + at, low + at + size)
         return [(item, *value) for item, value in sorted(best.items())]
 
 
+def own_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for items of ``n`` words alone: all of them, and for five to seven words all but one."""
+    if n > max(MASKS[-1]):
+        return []
+    whole = tuple(range(n))
+    left_out = [whole[:p] + whole[p + 1:] for p in range(1, n - 1)] + [whole[:-1]] if 5 <= n <= 7 else []
+    return [whole, *left_out]
+
+
 def seed_hashes(w: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     """A hash for each place where the mask fits; places with a word unknown to the benchmark can't match and still get one."""
     n = len(w) - mask[-1]
