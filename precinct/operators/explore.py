@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from precinct.functions.calendar import calendar_axis, number_axis
 from precinct.functions.predicates import between, case, coordinate_missing, missing_label
 from precinct.functions.scalars import bin_centre, bin_floor, to_day, weekday0
-from precinct.operators.quantiles import exact_quantiles
+from precinct.operators.quantiles import quantiles_and
 from precinct.operators.relational import (
     argmax_row, attach_zone, coverage, cumulative_share, on_axis, pivot_matrix, share_within, union_all,
     value_counts)
@@ -209,13 +209,12 @@ def mapped_totals(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
 
 
 def coordinate_summary(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    """One row: rows, missing counts, and min / quartiles / max of both coordinates (exact)."""
+    """One row: rows, missing counts, and min / quartiles / max of both coordinates (exact), from the two scans of the quantiles."""
     points = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
-    found = exact_quantiles(df, [roles.lat, roles.lon], points.values())
-    base = df.agg(F.count("*").alias("rows"), F.count(F.when(F.col(roles.lat).isNull(), 1)).alias("missing_latitude"),
-                  F.count(F.when(F.col(roles.lon).isNull(), 1)).alias("missing_longitude"))
-    return base.withColumns({f"{short}_{name}": F.lit(found[c][q]).cast("double")
-                             for short, c in (("lat", roles.lat), ("lon", roles.lon)) for name, q in points.items()})
+    gaps = {f"missing_{name}": F.count_if(F.col(c).isNull()) for name, c in (("latitude", roles.lat), ("longitude", roles.lon))}
+    found, counts = quantiles_and(df, [roles.lat, roles.lon], points.values(), {"rows": F.count("*"), **gaps})
+    numbers = {f"{short}_{name}": F.lit(found[c][q]).cast("double") for short, c in (("lat", roles.lat), ("lon", roles.lon)) for name, q in points.items()}
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(c) for c, v in counts.items()], *[v.alias(c) for c, v in numbers.items()])
 
 # ----------------------------------------------------------------- category mix
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from precinct.functions.predicates import is_finite
@@ -42,7 +42,7 @@ def _ranks(n: int, probability: float) -> tuple[int, int, float]:
 
 
 def _value(column: int):
-    return F.col(f"v{column}")
+    return F.col(f"__v{column}")
 
 
 def _scan(values: DataFrame, aggregates: list) -> Row:
@@ -50,12 +50,15 @@ def _scan(values: DataFrame, aggregates: list) -> Row:
     return values.agg(*aggregates).first()
 
 
-def _sketched(values: DataFrame, columns: int, probabilities: list[float]) -> list[tuple[int, float, float, list[float]]]:
-    """Per column: finite values, least and largest one, and the values around each probability (lower ends, then upper ends)."""
+def _sketched(values: DataFrame, columns: int, probabilities: list[float], also: dict[str, Column]) -> tuple[list[tuple[int, float, float, list[float]]], dict]:
+    """Per column: finite values, least and largest one, and the values around each probability (lower ends, then upper ends).
+
+    ``also`` names further aggregates that ride along.
+    """
     ends = [max(0.0, q - 2 / ACCURACY) for q in probabilities] + [min(1.0, q + 2 / ACCURACY) for q in probabilities]
     row = _scan(values, [a.alias(f"{name}{c}") for c in range(columns) for name, a in (
-        ("n", F.count(_value(c))), ("low", F.min(_value(c))), ("high", F.max(_value(c))), ("at", F.percentile_approx(_value(c), ends, ACCURACY)))])
-    return [(row[f"n{c}"], row[f"low{c}"], row[f"high{c}"], row[f"at{c}"]) for c in range(columns)]
+        ("n", F.count(_value(c))), ("low", F.min(_value(c))), ("high", F.max(_value(c))), ("at", F.percentile_approx(_value(c), ends, ACCURACY)))] + [a.alias(f"also_{name}") for name, a in also.items()])
+    return [(row[f"n{c}"], row[f"low{c}"], row[f"high{c}"], row[f"at{c}"]) for c in range(columns)], {name: row[f"also_{name}"] for name in also}
 
 
 def _inspected(values: DataFrame, brackets: list[Bracket]) -> list[Row]:
@@ -101,10 +104,15 @@ def _resolved(b: Bracket, seen: Row, least: float, most: float) -> tuple[dict[in
 
 def exact_quantiles(df: DataFrame, cols, probabilities) -> dict[str, dict[float, float | None]]:
     """Linear-interpolated quantiles per column, over the finite values."""
+    return quantiles_and(df, cols, probabilities, {})[0]
+
+
+def quantiles_and(df: DataFrame, cols, probabilities, also: dict[str, Column]) -> tuple[dict[str, dict[float, float | None]], dict]:
+    """The quantiles, and further aggregates over ``df`` from the same scans."""
     cols, probabilities = list(cols), list(probabilities)
     whole = [F.col(c).cast("double") for c in cols]
-    values = df.select(*[F.when(is_finite(v), v).alias(f"v{i}") for i, v in enumerate(whole)])
-    spans = _sketched(values, len(cols), probabilities)
+    values = df.withColumns({f"__v{i}": F.when(is_finite(v), v) for i, v in enumerate(whole)})
+    spans, extra = _sketched(values, len(cols), probabilities, also)
     known: dict[tuple[int, int], float] = {}
     wanted: dict[tuple, set[int]] = {}
     for c, (n, low, high, at) in enumerate(spans):
@@ -133,7 +141,7 @@ def exact_quantiles(df: DataFrame, cols, probabilities) -> dict[str, dict[float,
             low, high, part = _ranks(spans[c][0], q)
             a, b = known[(c, low)], known[(c, high)]
             result[name][q] = a if part == 0 else a + (b - a) * part
-    return result
+    return result, extra
 
 
 def quantile_table(df: DataFrame, cols, probabilities, names) -> DataFrame:

@@ -71,7 +71,14 @@ def test_two_scans_for_any_number_of_columns(spark, monkeypatch):
 def test_a_sketch_that_is_wrong_costs_scans_not_results(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SORT_ROWS", 100)
     sketched = quantiles._sketched
-    monkeypatch.setattr(quantiles, "_sketched", lambda *a: [(n, low, high, [low + 1.0] * len(at)) for n, low, high, at in sketched(*a)])
+    monkeypatch.setattr(quantiles, "_sketched", lambda *a: ([(n, low, high, [low + 1.0] * len(at)) for n, low, high, at in sketched(*a)[0]], {}))
     scans = counted(monkeypatch)
     check(spark, np.random.default_rng(9).normal(0, 9, 4000))
     assert len(scans) > 2
+
+
+def test_other_aggregates_ride_along(spark, monkeypatch):
+    scans = counted(monkeypatch)
+    df = spark.createDataFrame([(1.0, "a"), (3.0, None), (float("nan"), "b")], "x double, name string")
+    found, extra = quantiles.quantiles_and(df, ["x"], [0.5], {"rows": F.count("*"), "named": F.count("name")})
+    assert found == {"x": {0.5: 2.0}} and extra == {"rows": 3, "named": 2} and len(scans) <= 2
