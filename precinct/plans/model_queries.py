@@ -190,7 +190,8 @@ def interim_fit(spark, folder):
 
 
 @query("interim_forest_facts", over(
-    "SELECT primary_type AS class, CAST(round(0.2 * count(*)) AS BIGINT) AS support, CAST(round(0.2 * count(*)) AS BIGINT) AS agreeing FROM inc GROUP BY 1"))
+    "SELECT primary_type AS class, CAST(round(0.2 * count(*)) AS BIGINT) AS support, CAST(round(0.2 * count(*)) AS BIGINT) AS agreeing FROM inc GROUP BY 1 "
+    "HAVING round(0.2 * count(*)) > 0"))
 def interim_forest_facts(spark, folder):
     """The interim model's answers on its test part against its exported nodes."""
     fitted, _, test, _ = interim_fit(spark, folder)
