@@ -209,7 +209,7 @@ def mapped_totals(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
 
 
 def coordinate_summary(df: DataFrame, roles: Roles = INCIDENTS) -> DataFrame:
-    """One row: rows, missing counts, and min / quartiles / max of both coordinates (exact), from the two scans of the quantiles."""
+    """One row: rows, missing counts, and min / quartiles / max of both coordinates (exact), from the scans of the quantiles."""
     points = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
     gaps = {f"missing_{name}": F.count_if(F.col(c).isNull()) for name, c in (("latitude", roles.lat), ("longitude", roles.lon))}
     found, counts = quantiles_and(df, [roles.lat, roles.lon], points.values(), {"rows": F.count("*"), **gaps})

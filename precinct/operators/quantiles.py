@@ -1,15 +1,16 @@
-"""Exact quantiles of large columns in two scans.
+"""Exact quantiles of large columns in three scans.
 
 Spark's exact ``percentile`` merges one map of all distinct values into a single
 task, which does not hold for a high-cardinality column.  Here the first scan makes a mergeable
 quantile sketch per column, which brackets every wanted rank; the second one counts exactly what lies below each
-bracket, on its ends and inside it, and sorts the few rows inside.  A bracket too large to sort (from some hundred million
+bracket, on its ends and inside it; the third one keeps and sorts the few rows inside.  A bracket too large to sort (from some hundred million
 rows on) is bracketed once more by a sketch of its inside.  The counts decide: a bracket that misses its rank is moved.
 """
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -61,24 +62,32 @@ def _sketched(values: DataFrame, columns: int, probabilities: list[float], also:
     return [(row[f"n{c}"], row[f"low{c}"], row[f"high{c}"], row[f"at{c}"]) for c in range(columns)], {name: row[f"also_{name}"] for name in also}
 
 
-def _inspected(values: DataFrame, brackets: list[Bracket]) -> list[Row]:
-    """Per bracket: rows below it, on its ends and inside, and the values at its ranks or a sketch of its inside."""
-    aggregates, made = [], []
+def _inspected(values: DataFrame, brackets: list[Bracket]) -> list[dict]:
+    """Per bracket: rows below it, on its ends and inside, and the values at its ranks or a sketch of its inside.
+
+    The counts are one compiled aggregate; the lists and sketches, which are not, see only the rows inside some bracket.
+    """
+    aggregates, insides = [], []
     for i, b in enumerate(brackets):
         v, low, high = _value(b.column), F.lit(b.low), F.lit(b.high)
-        inside = F.when((v > low) & (v < high), v)
+        insides.append((v > low) & (v < high))
+        aggregates += [F.count_if(v < low).alias(f"below{i}"), F.count_if(v == low).alias(f"low{i}"), F.count_if(insides[i]).alias(f"inside{i}"),
+                       F.count_if(v == high).alias(f"high{i}")]
+    counts = _scan(values, aggregates)
+    seen = [{name: counts[f"{name}{i}"] for name in ("below", "low", "inside", "high")} for i in range(len(brackets))]
+    picks, made = [], []
+    for i, (b, row) in enumerate(zip(brackets, seen)):
+        inside = F.when(insides[i], _value(b.column))
         grid = [k / BINS for k in range(BINS + 1)]
-        aggregates += [F.count_if(v < low).alias(f"below{i}"), F.count_if(v == low).alias(f"low{i}"), F.count(inside).alias(f"inside{i}"),
-                       F.count_if(v == high).alias(f"high{i}"),
-                       (F.sort_array(F.collect_list(inside)) if b.sorts else F.percentile_approx(inside, grid, ACCURACY)).alias(f"at{i}")]
-        place = lambda r, i=i: (F.lit(r) - F.col(f"below{i}") - F.col(f"low{i}")).cast("int")
-        at = F.array(*[F.when(place(r) >= 0, F.get(f"at{i}", place(r))) for r in b.ranks]) if b.sorts else F.col(f"at{i}")
-        made.append(F.struct(F.col(f"below{i}").alias("below"), F.col(f"low{i}").alias("low"), F.col(f"inside{i}").alias("inside"),
-                             F.col(f"high{i}").alias("high"), at.alias("at")).alias(f"b{i}"))
-    return list(_scan(values.agg(*aggregates), [F.first(c).alias(f"b{i}") for i, c in enumerate(made)]))
+        picks.append((F.sort_array(F.collect_list(inside)) if b.sorts else F.percentile_approx(inside, grid, ACCURACY)).alias(f"at{i}"))
+        places = [r - row["below"] - row["low"] for r in b.ranks]
+        made.append(F.array(*[F.get(f"at{i}", F.lit(p)) if 0 <= p < row["inside"] else F.lit(None).cast("double") for p in places]) if b.sorts else F.col(f"at{i}"))
+    held = values.filter(reduce(lambda x, y: x | y, [F.coalesce(c, F.lit(False)) for c in insides]))
+    found = _scan(held.agg(*picks), [F.first(c).alias(f"at{i}") for i, c in enumerate(made)])
+    return [{**row, "at": found[f"at{i}"]} for i, row in enumerate(seen)]
 
 
-def _resolved(b: Bracket, seen: Row, least: float, most: float) -> tuple[dict[int, float], list[Bracket]]:
+def _resolved(b: Bracket, seen: dict, least: float, most: float) -> tuple[dict[int, float], list[Bracket]]:
     """Values of the ranks that the counts settle, and brackets for the others."""
     known: dict[int, float] = {}
     todo: list[Bracket] = []
