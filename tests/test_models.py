@@ -139,3 +139,17 @@ def test_tuning_keeps_fitted_candidates(made):
         baselines={"Decision_Tree": {"max_depth": 3}, "Random_Forest": {"max_depth": 3, "trees": 2}})
     assert results.count() == len(fitted) == 5
     assert {r["tag"] for r in results.collect()} == {"baseline", "tuned_01", "tuned_02"}
+
+
+def test_trees_read_the_shares_and_do_not_make_them_again(made, monkeypatch):
+    """A tree takes a pass per level: the softmax of a round belongs to the pass that makes the margins."""
+    plans = []
+
+    class Seen(boosting.RandomForestRegressor):
+        def fit(self, rows):
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(rows)
+
+    monkeypatch.setattr(boosting, "RandomForestRegressor", Seen)
+    boosting.boost(train_of(made), len(made[1]), rounds=1, max_depth=1, rate=0.1)
+    assert len(plans) == len(made[1]) and not any("exp(" in p.lower() for p in plans)
