@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from precinct.operators import evaluation, models, selection
 from precinct.schema import UNSEEN
+from precinct.plans.feature_queries import predictions
+from precinct.session import store
+from conftest import SF
 
 CLASSES = ["a", "b", "c"]
 
@@ -153,3 +156,16 @@ def test_weights_need_a_scan_per_move(spark, monkeypatch):
     models.tune_class_weights(pred, CLASSES, passes=3)
     moves = sum(a != b for a, b in zip(scans[1:], scans[2:]))
     assert len(scans) <= moves + 1 + 1 + 3
+
+
+def test_steps_of_all_classes_compile(spark):
+    """The steps of six classes and eleven weights, on rows of the view: no stage is too large to be compiled."""
+    pred, classes = predictions(spark, SF, split="validation")
+    pred = store(pred.select("actual", "probability"))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        tried = {k: sorted(models.MULTIPLIERS) for k in range(len(classes))}
+        found = models._step_scores(pred, classes, [1.0] * len(classes), tried)
+        assert {k: len(v) for k, v in found.items()} == {k: 11 for k in range(6)}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
