@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from precinct.operators import boosting, evaluation, features, models
 from precinct.operators.relational import class_names
 from precinct.operators.splits import with_split
+from precinct.plans import model_queries
 from precinct.plans.model_queries import encoded
 from precinct.sources.testviews import TRAIN_END, VALIDATION_END, incidents
 from conftest import SF, rows_of
@@ -153,3 +154,42 @@ def test_trees_read_the_shares_and_do_not_make_them_again(made, monkeypatch):
     monkeypatch.setattr(boosting, "RandomForestRegressor", Seen)
     boosting.boost(train_of(made), len(made[1]), rounds=1, max_depth=1, rate=0.1)
     assert len(plans) == len(made[1]) and not any("exp(" in p.lower() for p in plans)
+
+
+def test_trees_order_the_levels_of_one_hot_entries(made):
+    """Declared as a set of levels, each entry was looked up in a set of such features at every node."""
+    train = train_of(made)
+    groups = models.ordered_levels(train).schema["features"].metadata["ml_attr"]["attrs"]
+    assert "binary" not in groups and {a["num_vals"] for a in groups["nominal"]} == {models.ORDERED}
+    names = {a["idx"]: a["name"] for part in groups.values() for a in part}
+    assert names == {a["idx"]: a["name"] for part in train.schema["features"].metadata["ml_attr"]["attrs"].values() for a in part}
+    few = train.limit(models.ORDERED - 1)
+    assert models.ordered_levels(few).schema == few.schema
+    fitted = models.fit_tree(train, made[1], max_depth=6)
+    plain = models.DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=10, seed=models.SEED).fit(train)
+    assert fitted.models[0].numNodes == plain.numNodes
+
+
+def test_forest_grows_in_groups_of_trees(made, spark):
+    """A task a core sent all nodes' counts; now few rows are one task, and groups of trees fill the cores."""
+    train, seen = train_of(made), []
+
+    class Watched(models.RandomForestClassifier):
+        def _fit(self, rows):
+            seen.append((self.getNumTrees(), rows.rdd.getNumPartitions()))
+            return super()._fit(rows)
+
+    plain, models.RandomForestClassifier = models.RandomForestClassifier, Watched
+    try:
+        fitted = models.fit_forest(train, made[1], trees=9, max_depth=3)
+    finally:
+        models.RandomForestClassifier = plain
+    assert sorted(seen) == [(2, 1), (2, 1), (2, 1), (3, 1)] and fitted.models[0].getNumTrees == 9
+    assert len({t.toDebugString.split("\n", 1)[1] for t in fitted.models[0].trees}) > 4
+
+
+def test_answers_behind_class_scores_are_stored(made):
+    """The model's answers were made anew for every use of them."""
+    fitted = models.fit_tree(train_of(made), made[1], max_depth=3)
+    plan = model_queries._class_scores(fitted, made[0].filter("split = 'validation'"))._jdf.queryExecution().toString()
+    assert "UDF" not in plan and "FileScan parquet" in plan
