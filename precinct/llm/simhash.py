@@ -9,10 +9,12 @@ fingerprint stands in every list of its own bytes.  Two uses:
   each, and pairs in them grow with the square of the corpus).  In a list only d bytes are free: it has at most 65,536
   different fingerprints, whatever the corpus, and is worked through by table look-ups, not by all its pairs.  Shared
   bytes of each pair met are tallied, pairs under the minimum dropped, and the bits compared.
-* ``similar_groups``: shingle sets of a given similarity.  At similarity 0.8 some 15 % of all bits of fingerprints differ,
-  so no number of shared bytes is guaranteed; the index is on the shingles' hashes themselves.  In any common order of all
-  hashes two sets of similarity s share one of the first n - ceil(s n) + 1 of each (n: the size), so lists on those alone
-  meet every pair.  Each list links its members to a centre, each link is verified on the whole
+* ``similar_groups``: shingle sets of a given similarity, in three steps.  Documents of which too few shingles stand in any other
+  document leave: in any common order of all hashes, two sets of similarity s share k of the first n - ceil(s n) + k of each (n:
+  the size; the smaller k of the two), so counting these loses no pair.  Then the index above links what is left by fingerprints, which finds
+  close copies; each link is verified on the whole sets.  At similarity 0.8 some 15 % of all bits of fingerprints differ, so no number
+  of shared bytes is guaranteed, and lists on the shingles' hashes complete the job: rarest shingles first, the first
+  n - ceil(s n) + 1 of each set meet every pair.  Each list links its members to a centre, each link is verified on the whole
   sets, and in lists that this leaves in several groups all pairs across the groups are verified as well.
 """
 from __future__ import annotations
@@ -32,8 +34,7 @@ from precinct.session import discard, store
 
 SEED = 42
 LANE = np.uint64(0x0101010101010101)
-# Documents whose common shingles are counted, in how many of them a shingle is common, and how many such shingles are kept at most.
-COMMON_DOCS, COMMON_IN, COMMON = 4096, 4, 100_000
+SPARE = 0.3  # of a set's shingles are counted beyond those of which a similar set may have none
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -174,41 +175,73 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes (ascending) that stand in several of a bounded sample of documents, and in how many: they are looked up last.
+def probe_size(n: int, similarity: float) -> int:
+    """How many shingles of a set of n are counted, in the order of their hashes."""
+    return min(n, prefix_size(n, similarity) - 1 + math.ceil(SPARE * n))
 
-    They only order the shingles of every set, so they change the length of the lists and never what is found.
-    """
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_DOCS)
+
+def probe_least(n: int, similarity: float) -> int:
+    """How many of these a set of that similarity has among its own at least: as many as the smaller one has to spare."""
+    m = math.ceil(similarity * n - 1e-9)  # the size of the smaller one at least
+    return probe_size(m, similarity) - prefix_size(m, similarity) + 1
+
+
+def _own(text: str, shingle: int) -> np.ndarray:
+    """The set of a text's shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+
+
+def probes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, ``key`` (equal for equal shingle sets only), ``size``, ``probe`` (the set's smallest hashes) and ``least`` (see ``probe_least``)."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"token": [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]}
+        own = [_own(t, shingle) for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "key": [xxhash.xxh3_128_digest(o.tobytes()) for o in own], "size": [len(o) for o in own],
+                "least": [probe_least(len(o), similarity) if len(o) else 0 for o in own],
+                "probe": [o[:probe_size(len(o), similarity)].view(np.int64) for o in own]}
 
-    counts = (map_texts(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text"), run, "token array<long>").select(F.explode("token").alias("token"))
-              .groupBy("token").agg(F.count("*").cast("int").alias("n")).where(f"n >= {COMMON_IN}").orderBy(F.desc("n"), "token").limit(COMMON).collect())
-    token = np.array([r.token for r in counts], np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], np.array([r.n for r in counts], np.int64)[order]
+    return map_texts(docs, run, "doc_id long, key binary, size int, least int, probe array<long>")
 
 
-def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, ``key`` (equal for equal shingle sets only), ``size`` and ``prefix``: the set's first hashes, rare ones before common ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+def whole_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, ``key`` and ``size`` as in ``probes``, ``fp`` (the fingerprint as a number) and ``own``, the whole set."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        known, often = shared.value
-        keys, sizes, firsts = [], [], []
-        for text in batch.column(1).to_pylist():
-            own = np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
-            keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-            sizes.append(len(own))
-            if len(known) and len(own):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                own = own[np.argsort(np.where(known[at] == own, often[at], 0), kind="stable")]
-            firsts.append(own[:prefix_size(len(own), similarity) if len(own) else 0].view(np.int64))
-        return {"doc_id": batch.column(0), "key": keys, "size": sizes, "prefix": firsts}
+        runs = [np.array(shingle_hashes(t, shingle), np.uint64) for t in batch.column(1).to_pylist()]
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
+        own = [np.unique(r) for r in runs]
+        return {"id": batch.column(0), "key": [xxhash.xxh3_128_digest(o.tobytes()) for o in own], "size": [len(o) for o in own],
+                "fp": majority(np.concatenate(runs), starts).view(np.int64), "own": [o.view(np.int64) for o in own]}
+
+    return map_texts(docs, run, "id long, key binary, size int, fp long, own array<long>")
+
+
+def _elsewhere(posts: DataFrame) -> DataFrame:
+    """The rows of ``posts`` whose token stands in several of them, with ``often``: in how many.  The rows are shuffled once."""
+    placed = posts.repartition("token")
+    return placed.join(placed.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "token")
+
 
-    return map_texts(docs, run, "doc_id long, key binary, size int, prefix array<long>")
+def _able(nodes: DataFrame) -> DataFrame:
+    """id and key of the sets of which so many counted shingles stand in other sets too that they can have a similar one.
+
+    Most documents have none: they leave here, before any list is made.
+    """
+    counted = _elsewhere(nodes.select("id", F.explode("probe").alias("token"))).groupBy("id").agg(F.count("*").alias("found"))
+    return nodes.select("id", "key", "least").join(counted, "id").where("found >= least").select("id", "key").distinct()
+
+
+def ordered(sets: DataFrame, similarity: float) -> DataFrame:
+    """id, size, ``first`` (the number of shingles looked up), ``alone`` and ``prefix``: those of them that stand in other sets too.
+
+    The order is by the exact number of sets that a shingle stands in, then by its hash.  The ``alone`` shingles of no other set come
+    first; they are looked up in vain, so no list holds them.  A set with too few others has no similar one and leaves.
+    """
+    posts = sets.select("id", "key", "size", F.explode("own").alias("token"))
+    found = _elsewhere(posts).groupBy("id", "key", "size").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("found"))
+    most = (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9)).cast("int")
+    return (found.select("id", "key", "size", (most + 1).alias("first"), (F.col("size") - F.size("found")).alias("alone"), F.col("found.token").alias("found"))
+            .where("alone < first").withColumn("prefix", F.slice("found", F.lit(1), F.col("first") - F.col("alone"))).drop("found"))
 
 
 def _possible(similarity: float, i: str, m: str, j: str, n: str):
@@ -224,26 +257,34 @@ def _enough(similarity: float, shared: str, m: str, first_m: str, n: str, first_
     return F.expr(f"({shared} + greatest({m} - {first_m}, {n} - {first_n})) * {1 + similarity} >= {similarity} * ({m} + {n}) - 1e-6")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b: doc_id) whose whole shingle sets reach ``similarity``, compared exactly.
+def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b: ids) whose whole shingle sets reach ``similarity``, compared exactly.
 
-    Pairs whose first shingles have too few in common to reach it are dropped before whole sets are made.
+    Pairs whose first shingles have too few in common to reach it are dropped before whole sets are joined.
     """
-    one, other = (nodes.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("prefix").alias(f"first_{x}")) for x in "ab")
-    pairs = store(pairs.join(one, "a").join(other, "b").withColumn("shared", F.size(F.array_intersect("first_a", "first_b")))
-                  .where(_enough(similarity, "shared", "size_a", "size(first_a)", "size_b", "size(first_b)")).select("a", "b").distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    one, other = (nodes.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("first").alias(f"first_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "ab")
+    near = (pairs.join(one, "a").join(other, "b").withColumn("shared", F.size(F.array_intersect("prefix_a", "prefix_b")))
+            .where(_enough(similarity, "shared", "size_a", "first_a", "size_b", "first_b")).select("a", "b").distinct())
+    one, other = (nodes.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("own_a", "own_b"))
+    return store(near.join(one, "a").join(other, "b").withColumn("shared", shared)
+                 .where(F.col("shared") >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b").distinct())
 
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "own": [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]}
 
-    sets = store(map_texts(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), run, "id long, own array<long>"))
-    one, other = (sets.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("own_a", "own_b"))
-    found = store(pairs.join(one, "a").join(other, "b").withColumn("shared", shared)
-                  .where(F.col("shared") >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"))
-    discard(docs.sparkSession, pairs, sets)
-    return found
+def fingerprint_pairs(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(a, b: ids) that the index on byte positions links: one document of each fingerprint, and the others with it."""
+    first = store(nodes.groupBy("fp").agg(F.min("id").alias("low")))
+    same = nodes.join(first, "fp").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    links = near_links(first.select("fp"), max_bits)
+    x, y = (first.select(F.col("fp").alias(f), F.col("low").alias(f"low_{f}")) for f in "ab")
+    far = links.join(x, "a").join(y, "b").where("low_a <> low_b")
+    return same.union(far.select(F.least("low_a", "low_b"), F.greatest("low_a", "low_b"))).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that ``roots`` does not hold together already."""
+    one, other = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return pairs.join(one, "a", "left").join(other, "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
 
 
 def _placed(listed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -273,20 +314,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     other.  A null doc_id stays null and in no group.  Empty table: no rows.
     """
     docs, spark = texts(docs), docs.sparkSession
-    stored = store(prefixes(docs, shingle, similarity))
+    stored = store(probes(docs, shingle, similarity))
     least = store(stored.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")))
-    nodes = store(stored.where("size > 0").withColumnRenamed("doc_id", "id").join(least, ["key", "id"]).select("id", "size", "prefix"))
-    posts = nodes.select("id", "size", F.size("prefix").alias("first"), F.posexplode("prefix").alias("pos", "token"))
+    able = store(_able(stored.where("size > 0").withColumnRenamed("doc_id", "id").join(least, ["key", "id"], "left_semi")))
+    named = docs.join(able.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = store(whole_sets(named, shingle).join(able, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
+    nodes = store(ordered(sets, similarity).join(sets.select("id", "key", "fp", "own"), ["id", "key"]))
+    edges = verified(fingerprint_pairs(nodes), nodes, similarity)
+    posts = nodes.select("id", "size", "first", "alone", F.posexplode("prefix").alias("at", "token")).withColumn("pos", F.expr("alone + at")).drop("alone", "at")
     lists = (posts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("pos", "id", "size")).alias("c")).where("low < high")
              .select("token", F.col("c.pos").alias("centre_pos"), F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size")))
     listed = store(posts.join(lists, "token"))
     star = (listed.where("id <> centre").where(_possible(similarity, "pos", "size", "centre_pos", "centre_size"))
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-    edges = verified(star, nodes, docs, shingle, similarity)
+    edges = edges.union(verified(_apart(star, components(edges)), nodes, similarity))
     placed = _placed(listed, components(edges))
-    discard(spark, listed)
-    edges = edges.union(verified(_across(placed, similarity), nodes, docs, shingle, similarity))
-    discard(spark, placed, nodes)
+    edges = edges.union(verified(_across(placed, similarity), nodes, similarity))
+    discard(spark, able, sets, listed, placed, nodes)
     roots = components(edges)
     named = least.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
     return stored.join(named, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -146,3 +146,15 @@ def test_copies_whose_only_link_is_not_the_centre(spark):
     assert set(want.values()) == {100 * g for g in range(6)}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(rows).collect()} == want
+
+
+def test_unlike_documents_leave_before_lists_and_fingerprints_link_first(spark):
+    pick, passage = random.Random(7), " ".join(f"shared{i}" for i in range(30))
+    texts = {i: passage + " " + " ".join(f"v{pick.getrandbits(40)}" for _ in range(100)) for i in range(30)}
+    texts |= {100 + i: texts[i] + " end" for i in range(5)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    able = simhash._able(simhash.probes(rows, 5, 0.8).withColumnRenamed("doc_id", "id"))
+    assert {r.id for r in able.collect()} == {i for k in range(5) for i in (k, 100 + k)}
+    nodes = spark.createDataFrame([(4, 0), (2, 3), (9, 7), (5, 7), (8, 1 << 40), (7, -1)], "id long, fp long")
+    pairs = [tuple(r) for r in simhash.fingerprint_pairs(nodes).collect()]
+    assert groups([2, 4, 5, 7, 8, 9], pairs) == {2: 2, 4: 2, 5: 2, 9: 2, 8: 2, 7: 7}
