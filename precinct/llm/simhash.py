@@ -15,7 +15,8 @@ fingerprint stands in every list of its own bytes.  Two uses:
   close copies; each link is verified on the whole sets.  At similarity 0.8 some 15 % of all bits of fingerprints differ, so no number
   of shared bytes is guaranteed, and lists on the shingles' hashes complete the job: rarest shingles first, the first
   n - ceil(s n) + 1 of each set meet every pair.  Each list links its members to a centre, each link is verified on the whole
-  sets, and in lists that this leaves in several groups all pairs across the groups are verified as well.
+  sets.  In lists that this leaves in several groups all pairs across the groups are compared by bits: a shingle flips one bit of its
+  set's, so two sets differ in as many shingles as in bits at least.  Only pairs that may differ that little become rows and are verified.
 """
 from __future__ import annotations
 
@@ -25,16 +26,18 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precinct.llm.common import map_arrow, map_texts, texts
 from precinct.llm.components import components
-from precinct.session import discard, store
+from precinct.session import broadcast_if_small, discard, store
 
 SEED = 42
 LANE = np.uint64(0x0101010101010101)
 SPARE = 0.3  # of a set's shingles are counted beyond those of which a similar set may have none
+LEAST_WORDS, MOST_WORDS = 8, 256  # 64-bit words of a set's parities
+BLOCK = 2048  # members of a list that are compared with as many others at a time
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -203,44 +206,61 @@ def probes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return map_texts(docs, run, "doc_id long, key binary, size int, least int, probe array<long>")
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Bits, each the parity of the number of shingles that fall on it: twice as many bits as shingles, and a power of two.
+
+    A shingle that two sets share flips the same bit in both, so the bits that differ are at most the shingles that do.
+    """
+    words = min(max(LEAST_WORDS, (1 << (2 * len(own)).bit_length()) // 64), MOST_WORDS)
+    odd = np.bincount((own & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def whole_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, ``key`` and ``size`` as in ``probes``, ``fp`` (the fingerprint as a number) and ``own``, the whole set."""
+    """id, ``key`` and ``size`` as in ``probes``, ``fp`` (the fingerprint as a number), ``bits`` (see ``parities``) and ``own``, the whole set."""
 
     def run(batch: pa.RecordBatch) -> dict:
         runs = [np.array(shingle_hashes(t, shingle), np.uint64) for t in batch.column(1).to_pylist()]
         starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
         own = [np.unique(r) for r in runs]
         return {"id": batch.column(0), "key": [xxhash.xxh3_128_digest(o.tobytes()) for o in own], "size": [len(o) for o in own],
-                "fp": majority(np.concatenate(runs), starts).view(np.int64), "own": [o.view(np.int64) for o in own]}
+                "fp": majority(np.concatenate(runs), starts).view(np.int64), "bits": [parities(o).tobytes() for o in own], "own": [o.view(np.int64) for o in own]}
 
-    return map_texts(docs, run, "id long, key binary, size int, fp long, own array<long>")
+    return map_texts(docs, run, "id long, key binary, size int, fp long, bits binary, own array<long>")
 
 
 def _elsewhere(posts: DataFrame) -> DataFrame:
-    """The rows of ``posts`` whose token stands in several of them, with ``often``: in how many.  The rows are shuffled once."""
+    """The rows of ``posts`` whose token stands in several ids, with ``often``: in how many rows.  The rows are shuffled once.
+
+    The counts read every column, so that both sides of the join are one and the same shuffle.
+    """
     placed = posts.repartition("token")
-    return placed.join(placed.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "token")
+    highs = {c: F.max(c).alias(f"high_{c}") for c in posts.columns if c != "token"}
+    often = placed.groupBy("token").agg(F.count("*").cast("int").alias("often"), F.min("id").alias("low_id"), *highs.values())
+    often = often.where("low_id < high_id and " + " and ".join(f"high_{c} is not null" for c in highs))
+    return placed.join(often.select("token", "often"), "token")
 
 
 def _able(nodes: DataFrame) -> DataFrame:
     """id and key of the sets of which so many counted shingles stand in other sets too that they can have a similar one.
 
-    Most documents have none: they leave here, before any list is made.
+    Most documents have none: they leave here, before any list is made.  The sets of one id count as one.
     """
     counted = _elsewhere(nodes.select("id", F.explode("probe").alias("token"))).groupBy("id").agg(F.count("*").alias("found"))
     return nodes.select("id", "key", "least").join(counted, "id").where("found >= least").select("id", "key").distinct()
 
 
 def ordered(sets: DataFrame, similarity: float) -> DataFrame:
-    """id, size, ``first`` (the number of shingles looked up), ``alone`` and ``prefix``: those of them that stand in other sets too.
+    """id, nth, ``first`` (the number of shingles looked up), ``alone`` and ``prefix``: those of them that stand in other sets too.
 
-    The order is by the exact number of sets that a shingle stands in, then by its hash.  The ``alone`` shingles of no other set come
+    The order is by the exact number of sets that a shingle stands in, then by its hash.  The ``alone`` shingles of no other id come
     first; they are looked up in vain, so no list holds them.  A set with too few others has no similar one and leaves.
     """
-    posts = sets.select("id", "key", "size", F.explode("own").alias("token"))
-    found = _elsewhere(posts).groupBy("id", "key", "size").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("found"))
+    posts = _elsewhere(sets.where("id is not null and nth is not null").select("id", "nth", F.explode("own").alias("token")))
+    found = posts.groupBy("id", "nth").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("found"))
     most = (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9)).cast("int")
-    return (found.select("id", "key", "size", (most + 1).alias("first"), (F.col("size") - F.size("found")).alias("alone"), F.col("found.token").alias("found"))
+    return (found.join(sets.select("id", "nth", "size"), ["id", "nth"])
+            .select("id", "nth", (most + 1).alias("first"), (F.col("size") - F.size("found")).alias("alone"), F.col("found.token").alias("found"))
             .where("alone < first").withColumn("prefix", F.slice("found", F.lit(1), F.col("first") - F.col("alone"))).drop("found"))
 
 
@@ -293,17 +313,86 @@ def _placed(listed: DataFrame, roots: DataFrame) -> DataFrame:
     return store(placed.select("token", "id", "size", "first", "pos", "root"))
 
 
-def _across(placed: DataFrame, similarity: float) -> DataFrame:
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that differ between each row of x and each of y; the wider rows are folded to the others' width first."""
+    width = min(x.shape[1], y.shape[1])
+    x, y = (np.bitwise_xor.reduce(m.reshape(len(m), -1, width), axis=1) for m in (x, y))
+    count = np.zeros((len(x), len(y)), np.int32)
+    for word in range(width):
+        count += np.bitwise_count(x[:, word, None] ^ y[None, :, word])
+    return count
+
+
+def _alike(one: dict, other: dict, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (smaller id, larger id) of a member of each block that are in different groups and may reach ``similarity``."""
+    found = []
+    for (_, x), (_, y) in itertools.product(_by_width(one), _by_width(other)):
+        for at in range(0, len(x["id"]), 256):
+            a = {k: v[at:at + 256] for k, v in x.items()}
+            both = a["size"][:, None] + y["size"][None, :]
+            # Jaccard = (both - differing) / (both + differing); what precedes the list's shingle in one order only is as good as shared
+            least = np.minimum(a["pos"][:, None], y["pos"][None, :]) + np.minimum((a["size"] - a["pos"])[:, None], (y["size"] - y["pos"])[None, :])
+            kept = ((a["root"][:, None] != y["root"][None, :]) & (least * (1 + similarity) >= similarity * both - 1e-6)
+                    & (_differing(a["bits"], y["bits"]) * (1 + similarity) <= (1 - similarity) * both + 1e-6))
+            i, j = np.nonzero(kept)
+            found.extend((min(p, q), max(p, q)) for p, q in zip(a["id"][i].tolist(), y["id"][j].tolist()) if p != q)
+    return found
+
+
+def _by_width(block: dict) -> list[tuple[int, dict]]:
+    """The members of a block by the width of their bits, these as rows of words."""
+    lengths = np.array([len(b) for b in block["bits"]])
+    parts = []
+    for width in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == width)
+        words = np.frombuffer(b"".join(block["bits"][i] for i in at), np.uint64).reshape(len(at), -1)
+        parts.append((width, {k: words if k == "bits" else block[k][at] for k in block}))
+    return parts
+
+
+def _across(placed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs of members of a list, other than its centre, that the centres have not brought together yet and that can be similar.
 
-    A list whose members are all in one group is done.  In the others every pair of members of different groups is tried.
+    A list whose members are all in one group is done.  In the others every pair of members of different groups is compared by the
+    bits of both.  A list is cut into blocks of some ``BLOCK`` members and each pair of blocks is a piece of work of its own, so that neither
+    a list's members nor its pairs need to fit one task.
     """
-    unsettled = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    members = placed.join(unsettled, "token")
-    x, y = (members.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "first", "pos", "root")]) for k in "xy")
-    return (x.join(y, "token").where("id_x < id_y and root_x <> root_y").where(_possible(similarity, "pos_x", "size_x", "pos_y", "size_y"))
-            .groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "size_x", "first_x", "size_y", "first_y").agg(F.count("*").alias("shared"))
-            .where(_enough(similarity, "shared", "size_x", "first_x", "size_y", "first_y")).select("a", "b"))
+    unsettled = (placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+                 .select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    members = (placed.join(unsettled, "token").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+               .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    pieces = (members.select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "size", "pos", "root")
+              .join(nodes.select("id", "size", "bits"), ["id", "size"]))
+    dealt = (pieces.select("token", "i", "j", "own", "id", "size", "pos", "root", "bits").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"))
+
+    def compare(batches):
+        columns = ["id", "size", "pos", "root", "bits"]
+        key, parts = None, []
+
+        def result():
+            own = np.concatenate([p["own"] for p in parts])
+            block = {c: np.concatenate([p[c] for p in parts]) for c in columns}
+            one, other = ({c: v[own == b] for c, v in block.items()} for b in key[1:])
+            pairs = np.array(sorted(set(_alike(one, other, similarity))), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in range(3)])
+            starts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            table = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ["own", *columns]}
+            for first, end in itertools.pairwise(starts):
+                now = tuple(of[:, first].tolist())
+                if now != key and parts:
+                    yield result()
+                    parts = []
+                key = now
+                parts.append({c: v[first:end] for c, v in table.items()})
+        if parts:
+            yield result()
+
+    return map_arrow(dealt, compare, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -314,12 +403,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     other.  A null doc_id stays null and in no group.  Empty table: no rows.
     """
     docs, spark = texts(docs), docs.sparkSession
-    stored = store(probes(docs, shingle, similarity))
-    least = store(stored.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")))
-    able = store(_able(stored.where("size > 0").withColumnRenamed("doc_id", "id").join(least, ["key", "id"], "left_semi")))
-    named = docs.join(able.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    sets = store(whole_sets(named, shingle).join(able, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
-    nodes = store(ordered(sets, similarity).join(sets.select("id", "key", "fp", "own"), ["id", "key"]))
+    probed = store(probes(docs, shingle, similarity))
+    stored = store(probed.drop("probe"))
+    named = stored.where("doc_id is not null")
+    least = store(named.groupBy("key").agg(F.min("doc_id").alias("id")))
+    copies = store(named.select(F.col("doc_id").alias("id")).distinct().join(least, "id", "left_anti"))
+    posted = probed.where("size > 0 and doc_id is not null").withColumnRenamed("doc_id", "id").join(broadcast_if_small(copies, 16), "id", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("key"))
+    able = store(_able(posted).join(least, ["id", "key"], "left_semi").withColumn("nth", nth))
+    discard(spark, probed, copies)
+    chosen = docs.join(able.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = store(whole_sets(chosen, shingle).join(able, ["id", "key"]).dropDuplicates(["id", "key"]))
+    nodes = store(ordered(sets, similarity).join(sets.select("id", "nth", "size", "fp", "bits", "own"), ["id", "nth"]))
     edges = verified(fingerprint_pairs(nodes), nodes, similarity)
     posts = nodes.select("id", "size", "first", "alone", F.posexplode("prefix").alias("at", "token")).withColumn("pos", F.expr("alone + at")).drop("alone", "at")
     lists = (posts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("pos", "id", "size")).alias("c")).where("low < high")
@@ -329,7 +424,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
     edges = edges.union(verified(_apart(star, components(edges)), nodes, similarity))
     placed = _placed(listed, components(edges))
-    edges = edges.union(verified(_across(placed, similarity), nodes, similarity))
+    edges = edges.union(verified(_across(placed, nodes, similarity), nodes, similarity))
     discard(spark, able, sets, listed, placed, nodes)
     roots = components(edges)
     named = least.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
@@ -343,5 +438,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     none goes if one of them stays.  Rows without a doc_id stay.
     """
     groups = similar_groups(docs.select("doc_id", "text"), shingle, similarity).where("doc_id is not null")
-    gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    byid = store(groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    gone, repeated = byid.where("not stays").select("doc_id"), byid.where("stays").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return single.union(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -158,3 +158,73 @@ def test_unlike_documents_leave_before_lists_and_fingerprints_link_first(spark):
     nodes = spark.createDataFrame([(4, 0), (2, 3), (9, 7), (5, 7), (8, 1 << 40), (7, -1)], "id long, fp long")
     pairs = [tuple(r) for r in simhash.fingerprint_pairs(nodes).collect()]
     assert groups([2, 4, 5, 7, 8, 9], pairs) == {2: 2, 4: 2, 5: 2, 9: 2, 8: 2, 7: 7}
+
+
+def cluster(pick, members, changed, n=150, name="c"):
+    """Documents that change other words of one text each: all share many shingles, most pairs stay below 0.8."""
+    words, texts = [f"{name}{i}" for i in range(n)], []
+    for _ in range(members):
+        own = words[:]
+        for at in pick.sample(range(n), changed):
+            own[at] = f"{name}z{pick.getrandbits(40)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_bits_never_differ_more_than_shingles_do():
+    pick = random.Random(8)
+    for n, m, common in ((0, 3, 0), (5, 5, 5), (40, 50, 30), (500, 520, 470), (1000, 1100, 900), (3000, 3300, 2900), (20_000, 21_000, 19_000)):
+        shared = [pick.getrandbits(64) for _ in range(common)]
+        one, other = (np.unique(np.array(shared + [pick.getrandbits(64) for _ in range(k - common)], np.uint64)) for k in (n, m))
+        x, y = simhash.parities(one), simhash.parities(other)
+        least = simhash._differing(x[None], y[None])[0, 0]
+        assert least == simhash._differing(y[None], x[None])[0, 0] <= n + m - 2 * common
+        assert (n + m - 2 * common - least) % 2 == 0 and simhash._differing(x[None], x[None])[0, 0] == 0
+        assert 8 <= len(x) <= 256 and len(x) & (len(x) - 1) == 0
+
+
+def test_pairs_of_a_list_do_not_become_rows(spark):
+    """Of all pairs across the groups of a list only those that may be similar leave the comparison, and all that are similar do."""
+    pick = random.Random(9)
+    texts = dict(enumerate(cluster(pick, 160, 5) + cluster(pick, 40, 12, 700, "d")))
+    for i, k in enumerate((3, 50, 170, 190)):
+        words = texts[k].split()
+        texts[1000 + i] = " ".join(words[:-2] + ["one", "two"])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, alike = jaccard_groups(texts, 5, 0.8)
+    near = {p for p, s in alike.items() if s >= 0.8}
+    sets = simhash.whole_sets(rows, 5).withColumn("root", simhash.F.col("id")).crossJoin(spark.createDataFrame([(7, 0)], "token long, pos int"))
+    for block in (2048, 30):
+        simhash.BLOCK, before = block, simhash.BLOCK
+        try:
+            pairs = [tuple(r) for r in simhash._across(sets, sets, 0.8).collect()]
+        finally:
+            simhash.BLOCK = before
+        assert len(pairs) == len(set(pairs)) and near <= set(pairs) and len(near) >= 4
+        assert len(pairs) < len(near) + 0.02 * len(texts) ** 2 / 2
+        assert all(alike[p] >= 0.7 for p in pairs)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(rows).collect()}
+    assert got == want
+
+
+def test_each_shingle_is_shuffled_once(spark, capsys):
+    """The counts of a token and its rows are read from one shuffle."""
+    sets = spark.createDataFrame([(1, 1, 3, [1, 2, 3]), (2, 1, 3, [2, 3, 4]), (2, 2, 2, [4, 5])], "id long, nth int, size int, own array<long>")
+    found = {(r.id, r.nth): (r.alone, r.prefix) for r in simhash.ordered(sets, 0.3).collect()}
+    assert found == {(1, 1): (1, [2, 3]), (2, 1): (1, [2, 3])}
+    out = simhash.ordered(sets, 0.3)
+    out.collect()
+    out.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_COL") <= 2 and "ReusedExchange" in plan
+
+
+def test_rows_of_one_id_and_copies(spark):
+    """Copies of other documents, several texts and repeated rows under one id; rows without an id stay."""
+    other = " ".join(f"o{i}" for i in range(60))
+    third = " ".join(f"t{i}" for i in range(60))
+    rows = [(1, other), (5, other), (5, third), (6, third + " end"), (6, third + " end"), (7, third + " stop"), (8, PROSE), (8, PROSE), (None, PROSE), (None, PROSE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect()} == {(1, 1), (5, 1), (5, 5), (6, 5), (7, 5), (8, 8), (None, None)}
+    kept = collections.Counter((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect())
+    assert kept == {(1, other): 1, (5, other): 1, (5, third): 1, (8, PROSE): 1, (None, PROSE): 2}
