@@ -317,9 +317,9 @@ def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bits that differ between each row of x and each of y; the wider rows are folded to the others' width first."""
     width = min(x.shape[1], y.shape[1])
     x, y = (np.bitwise_xor.reduce(m.reshape(len(m), -1, width), axis=1) for m in (x, y))
-    count = np.zeros((len(x), len(y)), np.int32)
-    for word in range(width):
-        count += np.bitwise_count(x[:, word, None] ^ y[None, :, word])
+    count = np.zeros((len(x), len(y)), np.uint16)
+    for one, other in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
+        count += np.bitwise_count(one[:, None] ^ other[None, :])
     return count
 
 
@@ -327,15 +327,15 @@ def _alike(one: dict, other: dict, similarity: float) -> list[tuple[int, int]]:
     """Pairs (smaller id, larger id) of a member of each block that are in different groups and may reach ``similarity``."""
     found = []
     for (_, x), (_, y) in itertools.product(_by_width(one), _by_width(other)):
-        for at in range(0, len(x["id"]), 256):
-            a = {k: v[at:at + 256] for k, v in x.items()}
-            both = a["size"][:, None] + y["size"][None, :]
-            # Jaccard = (both - differing) / (both + differing); what precedes the list's shingle in one order only is as good as shared
-            least = np.minimum(a["pos"][:, None], y["pos"][None, :]) + np.minimum((a["size"] - a["pos"])[:, None], (y["size"] - y["pos"])[None, :])
-            kept = ((a["root"][:, None] != y["root"][None, :]) & (least * (1 + similarity) >= similarity * both - 1e-6)
-                    & (_differing(a["bits"], y["bits"]) * (1 + similarity) <= (1 - similarity) * both + 1e-6))
-            i, j = np.nonzero(kept)
-            found.extend((min(p, q), max(p, q)) for p, q in zip(a["id"][i].tolist(), y["id"][j].tolist()) if p != q)
+        for at in range(0, len(x["id"]), 32):
+            # Jaccard = (both - differing) / (both + differing)
+            most = ((x["size"][at:at + 32, None] + y["size"][None, :]) * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int32)
+            i, j = np.nonzero(_differing(x["bits"][at:at + 32], y["bits"]) <= most)
+            a, b = ({k: block[k][rows] for k in ("id", "size", "pos", "root")} for block, rows in ((x, i + at), (y, j)))
+            # what precedes the list's shingle in one order only is not shared
+            least = np.minimum(a["pos"], b["pos"]) + np.minimum(a["size"] - a["pos"], b["size"] - b["pos"])
+            kept = (a["root"] != b["root"]) & (a["id"] != b["id"]) & (least * (1 + similarity) >= similarity * (a["size"] + b["size"]) - 1e-6)
+            found.extend((min(p, q), max(p, q)) for p, q in zip(a["id"][kept].tolist(), b["id"][kept].tolist()))
     return found
 
 
