@@ -96,3 +96,22 @@ def test_thresholds_and_counts():
     assert counts.sum() == 5000 and len(values) <= trees.POINTS and values[-1] == 3999
     cuts = trees.thresholds(np.arange(100.0), np.ones(100), 3)
     assert len(cuts) == 3 and abs(np.diff([0, *cuts, 100]) - 25).max() <= 1.5
+
+
+def test_registered_boosters_run_all_their_rounds(spark, monkeypatch):
+    """The previous booster was registered with 40 of its 100 rounds, the final one with at most 40 of 2000."""
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def fit(train, classes, **settings):
+        asked.append((settings["rounds"], settings["patience"], settings["max_depth"]))
+        raise Asked
+
+    monkeypatch.setattr(boosting, "fit", fit)
+    monkeypatch.setattr(model_queries, "_FITS", {})
+    for build in (model_queries.boosted_fit, model_queries.final_model):
+        with pytest.raises(Asked):
+            build(spark, "/root/testdata/sf0.001")
+    assert asked == [(100, 50, 5), (2000, 50, 7)]
