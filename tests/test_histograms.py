@@ -83,6 +83,15 @@ def test_model_makes_no_python_model_of_each_tree(rows, tmp_path):
     assert len(again.trees) == 2 and again.trees[1].numNodes == model.trees[1].numNodes and again.treeWeights == [0.1, 0.1]
 
 
+def test_labels_that_are_no_class_count_as_other(rows):
+    """Rows without a class may come with a label of their own, or none: no tree pulls towards it, and they have no loss."""
+    odd = [r.withColumn("label", F.when(F.col("i") % 50 == 7, 3.0).otherwise(F.col("label"))) for r in rows]
+    held = odd[1].withColumn("label", F.when(F.col("i") % 50 != 9, F.col("label")))
+    plain = boosting.boost(odd[0], 3, rounds=2, max_depth=2, rate=0.1, validation=held, max_bins=1000)
+    mine = models.fit_boosted(odd[0], ["p", "q", "r"], rounds=2, max_depth=2, subsample=1.0, columns="all", validation=held, max_bins=1000)
+    assert np.array(mine.facts["losses"]) == pytest.approx(np.array(plain.losses), abs=1e-9)
+
+
 def test_a_level_beyond_the_known_ones_is_an_error(rows):
     wrong = rows[0].sparkSession.createDataFrame([(0.0, Vectors.dense([0.0, 0.0, 7.0, 0.0, 0.0, 0.0]))], ["label", "features"]).withMetadata("features", ATTRS)
     layout = histograms.layout_of(rows[0], 32)
